@@ -96,28 +96,38 @@ def for_strategies(bets: DataFrame, strategies: Sequence[Strategy] = PRESETS, ru
     )
 
 
-def bankroll_path(settled: DataFrame, start: float = START_BANKROLL, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Bankroll before and after each bet, with the running extremes.
+def bankroll_path(
+    settled: DataFrame,
+    keys: Sequence[str] = ("strategy",),
+    start: float = START_BANKROLL,
+    segment_rows: int = SEGMENT_ROWS,
+) -> DataFrame:
+    """Bankroll before and after each bet of every bankroll (``keys``), with the running extremes.
 
     Stakes are shares of the current bankroll, so the path is a running product. It is taken inside
     segments of consecutive bouts; growth and extremes of whole segments are scanned on their own and
-    joined back, so no task holds a whole strategy.
+    joined back, so no task holds a whole bankroll. ``log_growth`` is the same path as a sum of
+    logarithms, which cannot overflow on very long runs.
     """
-    part = ["strategy", "_seg"]
+    part = [*keys, "_seg"]
     w = Window.partitionBy(*part).orderBy("bout_id")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    growth = 1 + F.col("ret")
+    growth, log = 1 + F.col("ret"), F.log(1 + F.col("ret"))
     local = settled.withColumn("_seg", F.floor(F.col("bout_id") / segment_rows)).select(
-        "*", F.product(growth).over(upto).alias("_g"), F.product(growth).over(before).alias("_g_before")
+        "*",
+        F.product(growth).over(upto).alias("_g"),
+        F.product(growth).over(before).alias("_g_before"),
+        F.sum(log).over(upto).alias("_log"),
     )
     totals = local.groupBy(*part).agg(
-        F.product(growth).alias("_total"), F.max("_g").alias("_high"), F.min("_g").alias("_low")
+        F.product(growth).alias("_total"), F.max("_g").alias("_high"), F.min("_g").alias("_low"), F.sum(log).alias("_logs")
     )
-    earlier = Window.partitionBy("strategy").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.withColumn("_c", F.coalesce(F.product("_total").over(earlier), F.lit(1.0)))
     carried = carried.select(
         *part,
         "_c",
+        F.coalesce(F.sum("_logs").over(earlier), F.lit(0.0)).alias("_clog"),
         F.max(F.col("_c") * F.col("_high")).over(earlier).alias("_top"),
         F.min(F.col("_c") * F.col("_low")).over(earlier).alias("_bottom"),
     )
@@ -130,20 +140,21 @@ def bankroll_path(settled: DataFrame, start: float = START_BANKROLL, segment_row
         (start * F.col("_c") * F.col("_g")).alias("bankroll"),
         (start * F.greatest(one, "_top", F.col("_c") * F.col("_gmax"))).alias("max_bankroll"),
         (start * F.least(one, "_bottom", F.col("_c") * F.col("_gmin"))).alias("min_bankroll"),
+        (F.col("_clog") + F.col("_log")).alias("log_growth"),
     )
 
 
-def card_path(settled: DataFrame, start: float = START_BANKROLL) -> DataFrame:
+def card_path(settled: DataFrame, keys: Sequence[str] = ("strategy",), start: float = START_BANKROLL) -> DataFrame:
     """Bankroll after each day's card when all its stakes use the bankroll at its start."""
-    cards = settled.groupBy("strategy", "d").agg(
+    cards = settled.groupBy(*keys, "d").agg(
         F.sum("ret").alias("card_return"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("card_share")
     )
-    w = Window.partitionBy("strategy").orderBy("d")  # one row per calendar day
+    w = Window.partitionBy(*keys).orderBy("d")  # one row per calendar day
     before = F.lit(start) * F.coalesce(
         F.product(1 + F.col("card_return")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)
     )
     return cards.withColumn("card_start", before).select(
-        "strategy",
+        *keys,
         "d",
         "card_start",
         (F.col("card_start") * F.col("card_share")).alias("card_stake"),
@@ -151,8 +162,8 @@ def card_path(settled: DataFrame, start: float = START_BANKROLL) -> DataFrame:
     )
 
 
-def card_summary(cards: DataFrame, start: float = START_BANKROLL) -> DataFrame:
-    return cards.groupBy("strategy").agg(
+def card_summary(cards: DataFrame, keys: Sequence[str] = ("strategy",), start: float = START_BANKROLL) -> DataFrame:
+    return cards.groupBy(*keys).agg(
         F.max_by("bankroll", "d").alias("final_bankroll"),
         F.avg("bankroll").alias("mean_bankroll"),
         F.least(F.lit(start), F.min("bankroll")).alias("min_bankroll"),
@@ -165,8 +176,8 @@ def percent(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double") * 100, whole), F.lit(0.0))
 
 
-def backtest_summary(path: DataFrame) -> DataFrame:
-    """Counts, hit rates, gains and losses per strategy in one pass over a bankroll path."""
+def backtest_summary(path: DataFrame, keys: Sequence[str] = ("strategy",)) -> DataFrame:
+    """Counts, hit rates, gains and losses per bankroll in one pass over its path."""
     placed = F.col("share").isNotNull()
     draw = F.col("winner").isNull()
     favourite = F.col("pick_odds") < 0
@@ -176,7 +187,7 @@ def backtest_summary(path: DataFrame) -> DataFrame:
     profit = F.col("bankroll_before") * F.col("ret")
     count = lambda c: F.sum(c.cast("bigint"))
     money = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0.0))
-    out = path.groupBy("strategy").agg(
+    out = path.groupBy(*keys).agg(
         F.max_by("bankroll", "bout_id").alias("final_bankroll"),
         F.max("max_bankroll").alias("max_bankroll"),
         F.min("min_bankroll").alias("min_bankroll"),

@@ -28,8 +28,13 @@ BOUTS_PER_SLICE = 40
 SETTLED = 1e-9
 
 
-def with_k(bouts: DataFrame, skew: Skew, fixed_k: float | None = None) -> DataFrame:
-    """Score of the red side and K of both sides; K follows the bout's ordinal within the pool."""
+def with_k(
+    bouts: DataFrame, skew: Skew, fixed_k: float | None = None, known_counts: DataFrame | None = None
+) -> DataFrame:
+    """Score of the red side and K of both sides; K follows the bout's ordinal within the pool.
+
+    ``known_counts`` (pool, entity, bouts) are bouts before the given ones.
+    """
     score = score_of(outcome_of(F.col("red"), F.col("winner"))).alias("red_score")
     base = bouts.select("pool", "bout_id", "d", "red", "blue", score)
     if fixed_k is not None:
@@ -44,6 +49,8 @@ def with_k(bouts: DataFrame, skew: Skew, fixed_k: float | None = None) -> DataFr
         ),
     )
     ranked = running(sides, KEY, "bout_id", [Run("_n", "count", F.lit(1), prior=False)], skew)
+    if known_counts is not None:
+        ranked = ranked.join(known_counts, KEY, "left").withColumn("_n", F.col("_n") + F.coalesce("bouts", F.lit(0)))
     k = k_factor(F.col("_n"))
     return ranked.groupBy(*base.columns).agg(
         F.max(F.when(F.col("side") == "red", k)).alias("red_k"),
@@ -154,15 +161,17 @@ def replay(
     sweeps_per_job: int = SWEEPS_PER_JOB,
     skew: Skew | None = None,
     frozen: bool = False,
+    known_gains: DataFrame | None = None,
+    known_counts: DataFrame | None = None,
 ) -> DataFrame:
     """Pre-bout ratings ``red_pre`` and ``blue_pre`` of ``bouts`` (pool, bout_id, d, red, blue, winner)."""
     if skew is None:
         sides = bouts.select("pool", F.explode(F.array("red", "blue")).alias("entity"))
         skew = find_skew(sides, KEY)
-    prepared = stage(with_k(bouts, skew, fixed_k))
+    prepared = stage(with_k(bouts, skew, fixed_k, known_counts))
     ends = _time_slices(prepared, per_slice)
     done: list[DataFrame] = []
-    gains, start = None, None
+    gains, start = known_gains, None
     for i, end in enumerate(ends):
         part = prepared.where(F.col("d") <= F.lit(end))
         if start is not None:
@@ -180,13 +189,26 @@ def replay(
             gains = stage(_add_gains(gains, wide))
         start = end
     if not done:
-        return _with_base(prepared, None)
+        return _with_base(prepared, known_gains)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
+def replay_after(bouts: DataFrame, gains: DataFrame | None, **options) -> tuple[DataFrame, DataFrame]:
+    """Continue a stored replay: ratings of new bouts, and the gains and bout counts after them.
+
+    ``gains`` has pool, entity, gain and bouts; all new bouts come after those it covers.
+    """
+    known = None if gains is None else gains.select(*KEY, "gain")
+    counts = None if gains is None else gains.select(*KEY, "bouts")
+    rated = replay(bouts, known_gains=known, known_counts=counts, **options)
+    new = changes(rated).select(*KEY, F.col("change").alias("gain"), F.lit(1).cast("bigint").alias("bouts"))
+    both = new if gains is None else gains.select(*KEY, "gain", "bouts").unionByName(new)
+    return rated, both.groupBy(*KEY).agg(F.sum("gain").alias("gain"), F.sum("bouts").alias("bouts"))
+
+
 def replay_by_period(bouts: DataFrame, fixed_k: float | None = None, **options) -> DataFrame:
     """As ``replay``, with ratings frozen inside a day: all bouts of a card see the ratings before it.
 

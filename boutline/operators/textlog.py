@@ -11,8 +11,13 @@ MARKED_BANKROLL = r"\*\*\* Bankroll: \$([\d.]+) \*\*\*"
 PLAIN_BANKROLL = r"^Bankroll: \$?([\d.]+)"
 
 
+def fixed(c: Column, places: int) -> Column:
+    """Decimal text; rounding to 6 places first removes float noise around ties."""
+    return F.format_string(f"%.{places}f", F.round(F.round(c, 6), places))
+
+
 def money(c: Column) -> Column:
-    return F.format_string("%.2f", F.round(c, 2))
+    return fixed(c, 2)
 
 
 def slip_lines(bets: DataFrame) -> DataFrame:
@@ -24,7 +29,7 @@ def slip_lines(bets: DataFrame) -> DataFrame:
     def side(name: str, odds: str, p: str, k: str) -> Column:
         return F.concat(
             F.col(name).cast("string"), F.lit(": "), F.col(odds).cast("string"), F.lit(" "),
-            F.format_string("%.3f", F.round(p, 3)), F.lit(" "), money(F.col(k)),
+            fixed(F.col(p), 3), F.lit(" "), money(F.col(k)),
         )
 
     stake = F.col("bankroll_before") * F.col("share")

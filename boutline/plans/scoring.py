@@ -177,7 +177,8 @@ def score_metrics(spark: SparkSession, sf: str) -> DataFrame:
     "ensemble_mean",
     views("bouts", """m AS (SELECT bout_id, least(greatest(p_ab + (i - 2) * 0.01::DOUBLE, 0.0), 1.0) AS p FROM bouts, (SELECT unnest(range(5)) AS i)),
 e AS (SELECT bout_id, round(avg(p), 9) AS p, count(*) AS models FROM m GROUP BY bout_id)
-SELECT bout_id, round(p, 6) AS p, models, CASE WHEN p > 0.5 THEN 'win' ELSE 'loss' END AS predicted FROM e"""),
+SELECT bout_id, p, models, CASE WHEN p > 0.5 THEN 'win' ELSE 'loss' END AS predicted FROM e"""),
+    places=9,
 )
 def ensemble_mean(spark: SparkSession, sf: str) -> DataFrame:
     """Five scores per bout around p_ab, averaged."""

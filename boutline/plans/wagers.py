@@ -52,13 +52,16 @@ _SETTLED = f"""{_BETS}, presets AS ({_PRESETS}),
 shares AS (SELECT *, {_SHARE} AS share FROM bets, presets),
 settled AS (SELECT *, {_RET} AS ret, coalesce(pick = winner, FALSE) AS correct FROM shares)"""
 _PATH = f"""{_SETTLED},
-grown AS (SELECT *, 1000.0 * product(1 + ret) OVER (PARTITION BY strategy ORDER BY bout_id ROWS UNBOUNDED PRECEDING) AS bankroll,
-   1000.0 * coalesce(product(1 + ret) OVER (PARTITION BY strategy ORDER BY bout_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS bankroll_before FROM settled),
-path AS (SELECT *, greatest(1000.0, max(bankroll) OVER (PARTITION BY strategy ORDER BY bout_id ROWS UNBOUNDED PRECEDING)) AS max_bankroll,
-   least(1000.0, min(bankroll) OVER (PARTITION BY strategy ORDER BY bout_id ROWS UNBOUNDED PRECEDING)) AS min_bankroll,
+grown AS (SELECT *, 1000.0 * product(1 + ret) OVER (PARTITION BY strategy, red ORDER BY bout_id ROWS UNBOUNDED PRECEDING) AS bankroll,
+   1000.0 * coalesce(product(1 + ret) OVER (PARTITION BY strategy, red ORDER BY bout_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS bankroll_before FROM settled),
+path AS (SELECT *, greatest(1000.0, max(bankroll) OVER (PARTITION BY strategy, red ORDER BY bout_id ROWS UNBOUNDED PRECEDING)) AS max_bankroll,
+   least(1000.0, min(bankroll) OVER (PARTITION BY strategy, red ORDER BY bout_id ROWS UNBOUNDED PRECEDING)) AS min_bankroll,
    bankroll_before * share AS stake FROM grown)"""
 
 
+PORTFOLIO = ["strategy", "red"]
+
+
 def bets(spark: SparkSession, sf: str, mode: str = "closer") -> DataFrame:
     return bt.priced_bets(cleaned(spark, sf), mode)
 
@@ -68,7 +71,8 @@ def settled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def path(spark: SparkSession, sf: str) -> DataFrame:
-    return bt.bankroll_path(settled(spark, sf))
+    """A bankroll of its own for each strategy and red-side entity."""
+    return bt.bankroll_path(settled(spark, sf), PORTFOLIO)
 
 
 @query("implied_prob", views("clean", f"SELECT bout_id, round({_implied('red_odds')}, 6) AS red_prob, round({_implied('blue_odds')}, 6) AS blue_prob FROM clean"))
@@ -167,23 +171,32 @@ def strategy_sweep(spark: SparkSession, sf: str) -> DataFrame:
 _MONEY = "bankroll_before bankroll max_bankroll min_bankroll"
 
 
-@query("bankroll_path", views("clean", f"{_PATH} SELECT strategy, bout_id, {sql_round(_MONEY, 4)} FROM path"), places=4)
+@query("bankroll_path", views("clean", f"{_PATH} SELECT strategy, red, bout_id, {sql_round(_MONEY, 4)} FROM path"), places=4)
 def bankroll_path(spark: SparkSession, sf: str) -> DataFrame:
-    return path(spark, sf).select("strategy", "bout_id", *_MONEY.split())
+    return path(spark, sf).select("strategy", "red", "bout_id", *_MONEY.split())
+
+
+@query(
+    "bankroll_growth",
+    views("clean", f"{_SETTLED} SELECT strategy, bout_id, round(sum(ln(1 + ret)) OVER (PARTITION BY strategy ORDER BY bout_id ROWS UNBOUNDED PRECEDING), 6) AS log_growth FROM settled"),
+)
+def bankroll_growth(spark: SparkSession, sf: str) -> DataFrame:
+    """One bankroll per strategy over all bouts, as logarithm of its growth."""
+    return bt.bankroll_path(settled(spark, sf)).select("strategy", "bout_id", "log_growth")
 
 
 @query(
     "card_bankroll",
     views("clean", f"""{_SETTLED},
-cards AS (SELECT strategy, d, sum(ret) AS r, coalesce(sum(share), 0) AS s FROM settled GROUP BY strategy, d),
+cards AS (SELECT strategy, red, d, sum(ret) AS r, coalesce(sum(share), 0) AS s FROM settled GROUP BY strategy, red, d),
 walk AS (SELECT *, 1000.0 * product(1 + r) OVER w AS bankroll, 1000.0 * product(1 + r) OVER w / (1 + r) AS card_start FROM cards
-   WINDOW w AS (PARTITION BY strategy ORDER BY d ROWS UNBOUNDED PRECEDING))
-SELECT strategy, round(arg_max(bankroll, d), 4) AS final_bankroll, round(avg(bankroll), 4) AS mean_bankroll, round(least(1000.0, min(bankroll)), 4) AS min_bankroll,
-   round(greatest(1000.0, max(bankroll)), 4) AS max_bankroll, round(max(card_start * s), 4) AS max_card_stake FROM walk GROUP BY strategy"""),
+   WINDOW w AS (PARTITION BY strategy, red ORDER BY d ROWS UNBOUNDED PRECEDING))
+SELECT strategy, red, round(arg_max(bankroll, d), 4) AS final_bankroll, round(avg(bankroll), 4) AS mean_bankroll, round(least(1000.0, min(bankroll)), 4) AS min_bankroll,
+   round(greatest(1000.0, max(bankroll)), 4) AS max_bankroll, round(max(card_start * s), 4) AS max_card_stake FROM walk GROUP BY strategy, red"""),
     places=4,
 )
 def card_bankroll(spark: SparkSession, sf: str) -> DataFrame:
-    return bt.card_summary(bt.card_path(settled(spark, sf)))
+    return bt.card_summary(bt.card_path(settled(spark, sf), PORTFOLIO), PORTFOLIO)
 
 
 def _pct(a: str, b: str, name: str) -> str:
@@ -193,7 +206,7 @@ def _pct(a: str, b: str, name: str) -> str:
 @query(
     "backtest_summary",
     views("clean", f"""{_PATH},
-s AS (SELECT strategy, arg_max(bankroll, bout_id) AS final_bankroll, max(max_bankroll) AS max_bankroll, min(min_bankroll) AS min_bankroll,
+s AS (SELECT strategy, red, arg_max(bankroll, bout_id) AS final_bankroll, max(max_bankroll) AS max_bankroll, min(min_bankroll) AS min_bankroll,
    count(*) AS predictions, count(*) FILTER (correct) AS correct_predictions, count(*) FILTER (share IS NOT NULL AND winner IS NOT NULL) AS bets,
    count(*) FILTER (share IS NOT NULL AND correct) AS correct_bets,
    count(*) FILTER (share IS NOT NULL AND pick_odds < 0) AS favourites, count(*) FILTER (share IS NOT NULL AND pick_odds < 0 AND correct) AS favourites_hit,
@@ -201,15 +214,15 @@ s AS (SELECT strategy, arg_max(bankroll, bout_id) AS final_bankroll, max(max_ban
    coalesce(sum(bankroll_before * ret) FILTER (share IS NOT NULL AND pick_odds < 0 AND correct), 0) AS favourite_gain,
    coalesce(sum(stake) FILTER (pick_odds < 0 AND NOT correct AND winner IS NOT NULL), 0) AS favourite_loss,
    coalesce(sum(bankroll_before * ret) FILTER (share IS NOT NULL AND pick_odds >= 0 AND correct), 0) AS underdog_gain,
-   coalesce(sum(stake) FILTER (pick_odds >= 0 AND NOT correct AND winner IS NOT NULL), 0) AS underdog_loss FROM path GROUP BY strategy)
-SELECT strategy, {sql_round('final_bankroll max_bankroll min_bankroll favourite_gain favourite_loss underdog_gain underdog_loss', 4)},
+   coalesce(sum(stake) FILTER (pick_odds >= 0 AND NOT correct AND winner IS NOT NULL), 0) AS underdog_loss FROM path GROUP BY strategy, red)
+SELECT strategy, red, {sql_round('final_bankroll max_bankroll min_bankroll favourite_gain favourite_loss underdog_gain underdog_loss', 4)},
    {sql_big('predictions correct_predictions bets correct_bets favourites favourites_hit underdogs underdogs_hit')},
    {_pct('correct_predictions', 'predictions', 'prediction_pct')}, {_pct('correct_bets', 'bets', 'bet_pct')},
    {_pct('favourites_hit', 'favourites', 'favourite_pct')}, {_pct('underdogs_hit', 'underdogs', 'underdog_pct')} FROM s"""),
     places=4,
 )
 def backtest_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return bt.backtest_summary(path(spark, sf))
+    return bt.backtest_summary(path(spark, sf), PORTFOLIO)
 
 
 @query(
@@ -236,7 +249,7 @@ def card_bets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fmt(x: str, n: int) -> str:
-    return f"printf('%.{n}f', round({x}, {n}))"
+    return f"printf('%.{n}f', CAST(round(CAST(round({x}, 6) AS DECIMAL(30, 6)), {n}) AS DOUBLE) + 0.0)"
 
 
 @query(

@@ -71,7 +71,7 @@ def labelled_values(pages: DataFrame, names: Mapping[str, str]) -> DataFrame:
             F.arrays_zip(_all(F.col("html"), LABEL).alias("label"), _all(F.col("html"), LABELLED).alias("value"))
         ).alias("label", "value"),
     )
-    trimmed = pairs.select("page_id", F.trim("label").alias("label"), F.trim("value").alias("value"))
+    trimmed = pairs.select("page_id", *[F.regexp_replace(c, r"^\s+|\s+$", "").alias(c) for c in ("label", "value")])
     aggs = [F.max(F.when(F.col("label") == label, F.col("value"))).alias(name) for label, name in names.items()]
     return trimmed.groupBy("page_id").agg(*aggs)
 

@@ -6,6 +6,8 @@ table. Rows carry raw text the way scraped bouts do; ``clean_bouts`` types it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,44 +54,62 @@ def _ctrl_text(k: Column) -> Column:
     return F.when(k % 17 == 0, F.lit("--")).otherwise(_clock_text(3 * k))
 
 
-def bouts_from_events(events: DataFrame) -> DataFrame:
+def _corners(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     ev = events_with_k(events).withColumn("bout_id", F.floor(F.col("event_id") / 2).cast("bigint"))
     r = ev.where(F.col("event_id") % 2 == 0).select(
         "bout_id", "ts", F.col("user_id").alias("red"), F.col("value").alias("rv"), F.col("event_type").alias("method"),
         F.col("k").alias("rk"),
     )
     b = ev.where(F.col("event_id") % 2 == 1).select(
-        "bout_id", F.col("user_id").alias("blue"), F.col("value").alias("bv"), F.col("k").alias("bk")
-    )
+        F.col("bout_id").alias("_id"), F.col("ts").alias("_ts"), F.col("user_id").alias("blue"),
+        F.col("value").alias("bv"), F.col("k").alias("bk"),
+    )
+    return r, b
+
+
+def _bout_columns(paired: DataFrame) -> DataFrame:
     rk, bk, rv, bv = F.col("rk"), F.col("bk"), F.col("rv"), F.col("bv")
-    return (
-        r.join(b, "bout_id")
-        .where(F.col("red") != F.col("blue"))
-        .select(
-            "bout_id",
-            "ts",
-            F.col("ts").cast("date").alias("d"),
-            "red",
-            "blue",
-            F.when(rv > bv, F.col("red")).when(bv > rv, F.col("blue")).alias("winner"),
-            "method",
-            (F.col("method") == "purchase").alias("is_title"),
-            (1 + (rk + bk) % 5).alias("round"),
-            _clock_text((3 * rk + bk) % 300).alias("clock"),
-            _ratio_text(rv, rk).alias("red_sig"),
-            _ratio_text(bv, bk).alias("blue_sig"),
-            (rk % 4).alias("red_kd"),
-            (bk % 4).alias("blue_kd"),
-            _ctrl_text(rk).alias("red_ctrl"),
-            _ctrl_text(bk).alias("blue_ctrl"),
-            _odds_text(rk).alias("red_odds"),
-            _odds_text(bk).alias("blue_odds"),
-            ((rk + 1).cast("double") / (rk + bk + 2)).alias("p_ab"),
-            ((bk + 5).cast("double") / (rk + bk + 10)).alias("p_ba"),
-        )
+    return paired.where(F.col("red") != F.col("blue")).select(
+        "bout_id",
+        "ts",
+        F.col("ts").cast("date").alias("d"),
+        "red",
+        "blue",
+        F.when(rv > bv, F.col("red")).when(bv > rv, F.col("blue")).alias("winner"),
+        "method",
+        (F.col("method") == "purchase").alias("is_title"),
+        (1 + (rk + bk) % 5).alias("round"),
+        _clock_text((3 * rk + bk) % 300).alias("clock"),
+        _ratio_text(rv, rk).alias("red_sig"),
+        _ratio_text(bv, bk).alias("blue_sig"),
+        (rk % 4).alias("red_kd"),
+        (bk % 4).alias("blue_kd"),
+        _ctrl_text(rk).alias("red_ctrl"),
+        _ctrl_text(bk).alias("blue_ctrl"),
+        _odds_text(rk).alias("red_odds"),
+        _odds_text(bk).alias("blue_odds"),
+        ((rk + 1).cast("double") / (rk + bk + 2)).alias("p_ab"),
+        ((bk + 5).cast("double") / (rk + bk + 10)).alias("p_ba"),
     )
 
 
+def bouts_from_events(events: DataFrame) -> DataFrame:
+    r, b = _corners(events)
+    return _bout_columns(r.join(b, F.col("bout_id") == F.col("_id")))
+
+
+def paired_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Cleaned bouts with ``ts`` and ``pool`` from a stream of events.
+
+    The two corners meet in a stream-stream join; watermark and time range bound its state.
+    """
+    r, b = _corners(events)
+    r, b = r.withWatermark("ts", delay), b.withWatermark("_ts", delay)
+    near = (F.col("_ts") >= F.col("ts") - F.expr("INTERVAL 1 HOUR")) & (F.col("_ts") <= F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+    raw = _bout_columns(r.join(b, (F.col("bout_id") == F.col("_id")) & near))
+    return clean_bouts(raw, ["ts"]).withColumn("pool", F.col("method"))
+
+
 def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bouts_from_events(table(spark, sf_dir, "events"))
 
@@ -113,9 +133,10 @@ def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def clean_bouts(raw: DataFrame) -> DataFrame:
+def clean_bouts(raw: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Typed stats next to the identifying columns; the text columns are gone."""
     return raw.select(
+        *extra,
         "bout_id",
         "d",
         "red",

@@ -1,0 +1,214 @@
+"""Features and ratings kept up to date while bouts arrive.
+
+Each micro-batch is handled with the batch operators. The state of an entity enters the running
+aggregates as one opening row in front of its new bouts, so hot entities are cut into segments as in
+batch. Bouts wait in a pending table until the watermark (newest time seen minus the delay) passes them,
+then they are applied in order; bouts older than what was already applied go to a late table.
+
+Every batch writes new versions of state, pending and output and reads those of the last finished batch,
+so a repeated batch after a failure replaces its own output and changes nothing else. Versions of state
+and pending older than the last one may be deleted at any time.
+"""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from boutline.operators import ratings as rt
+from boutline.operators import running as run
+from boutline.operators.features import entity_long
+from boutline.operators.running import BASE_STATS, KEY, ORDER, Stat, pyramid
+from boutline.operators.scan import Run, find_skew, running
+
+OPENING = -1  # order value of the state row, before every bout id
+
+
+def _opening_rows(state: DataFrame, terms: Sequence[str]) -> DataFrame:
+    return state.select(
+        "entity",
+        F.lit(OPENING).cast("bigint").alias(ORDER),
+        F.col("bouts").alias("_n"),
+        F.col("win_streak").alias("_w"),
+        F.col("lose_streak").alias("_l"),
+        F.col("wins").alias("_wins"),
+        F.col("title_wins").alias("_titles"),
+        F.col("last_d").alias("d"),
+        *[F.col(f"{k}_sum").alias(f"_t_{k}") for k in terms],
+    )
+
+
+def advance(long: DataFrame, state: DataFrame | None, stats: Sequence[Stat] = BASE_STATS) -> tuple[DataFrame, DataFrame]:
+    """Pre-bout features of ``long`` after ``state``, and the state after it."""
+    terms = list(run.recency_terms(stats))
+    one = F.lit(1).cast("bigint")
+    won, lost = run.is_outcome("win"), run.is_outcome("loss")
+    bouts = long.select(
+        "*", one.alias("_n"), won.alias("_w"), lost.alias("_l"), won.alias("_wins"),
+        (won * F.col("is_title").cast("bigint")).alias("_titles"),
+    )
+    rows = bouts
+    if state is not None:
+        touched = state.join(long.select("entity").distinct(), "entity", "left_semi")
+        rows = bouts.unionByName(_opening_rows(touched, terms), allowMissingColumns=True)
+    else:
+        rows = bouts.select("*", *[F.lit(None).cast("double").alias(f"_t_{k}") for k in terms])
+    skew = find_skew(long, KEY)
+    segment = F.when(F.col(ORDER) == OPENING, F.lit(-1)).otherwise(F.floor(F.col(ORDER) / 1_000_000))
+
+    first = running(
+        rows, KEY, ORDER,
+        [
+            Run("_prior", "sum", F.col("_n")),
+            Run("_w_all", "sum", F.col("_w"), prior=False),
+            Run("_l_all", "sum", F.col("_l"), prior=False),
+            Run("_wins_before", "sum", F.col("_wins")),
+            Run("_titles_before", "sum", F.col("_titles")),
+            Run("_last_d", "last", F.col("d")),
+        ],
+        skew, segment,
+    )
+    is_bout = F.col(ORDER) != OPENING
+    ranked = first.withColumn("prior_bouts", F.coalesce("_prior", F.lit(0))).withColumn("n", F.col("prior_bouts") + 1)
+    ranked = ranked.select(
+        "*",
+        F.when(is_bout & (F.col("outcome") == "loss"), F.col("_w_all")).alias("_w_mark"),
+        F.when(is_bout & (F.col("outcome") == "win"), F.col("_l_all")).alias("_l_mark"),
+        *[F.when(is_bout, v).otherwise(F.col(f"_t_{k}")).alias(f"_v_{k}") for k, v in run.recency_terms(stats).items()],
+    )
+    second = running(
+        ranked, KEY, ORDER,
+        [Run("_w_at", "max", F.col("_w_mark")), Run("_l_at", "max", F.col("_l_mark"))]
+        + [Run(f"_s_{k}", "sum", F.col(f"_v_{k}")) for k in terms],
+        skew, segment,
+    ).where(F.col("bout_id") != OPENING)
+    n = F.col("prior_bouts")
+    zero = F.lit(0)
+    features = second.select(
+        "bout_id", "d", "side", "entity", "opponent", "outcome", "prior_bouts",
+        (F.col("_w_all") - F.col("_w") - F.coalesce("_w_at", zero)).alias("win_streak"),
+        (F.col("_l_all") - F.col("_l") - F.coalesce("_l_at", zero)).alias("lose_streak"),
+        F.coalesce("_wins_before", zero).alias("wins"),
+        F.coalesce("_titles_before", zero).alias("title_wins"),
+        F.datediff("d", "_last_d").alias("layoff_days"),
+        *[(F.when(n > 0, F.coalesce(F.col(f"_s_{k}"), F.lit(0.0))) / pyramid(n)).alias(k) for k in terms],
+        *[F.col(f"_v_{k}").alias(f"_v_{k}") for k in terms],
+        *["_n", "_wins", "_titles"],
+    )
+    after_win = F.when(F.col("outcome") == "win", F.col("win_streak") + 1)
+    after_loss = F.when(F.col("outcome") == "loss", F.col("lose_streak") + 1)
+    gained = features.select(
+        "entity", "bout_id", "d", F.col("_n").alias("bouts"), F.col("_wins").alias("wins"), F.col("_titles").alias("title_wins"),
+        F.when(F.col("outcome") == "draw", F.col("win_streak")).otherwise(F.coalesce(after_win, zero)).alias("win_streak"),
+        F.when(F.col("outcome") == "draw", F.col("lose_streak")).otherwise(F.coalesce(after_loss, zero)).alias("lose_streak"),
+        *[F.col(f"_v_{k}").alias(f"{k}_sum") for k in terms],
+    )
+    if state is not None:
+        old = state.withColumnRenamed("last_d", "d").withColumn("bout_id", F.lit(OPENING).cast("bigint"))
+        gained = gained.unionByName(old)
+    new_state = gained.groupBy("entity").agg(
+        F.sum("bouts").alias("bouts"),
+        F.sum("wins").alias("wins"),
+        F.sum("title_wins").alias("title_wins"),
+        F.max_by("win_streak", "bout_id").alias("win_streak"),
+        F.max_by("lose_streak", "bout_id").alias("lose_streak"),
+        F.max("d").alias("last_d"),
+        *[F.coalesce(F.sum(f"{k}_sum"), F.lit(0.0)).alias(f"{k}_sum") for k in terms],
+    )
+    out = features.drop("_n", "_wins", "_titles", *[f"_v_{k}" for k in terms])
+    return out, new_state
+
+
+@dataclass
+class LiveFeatures:
+    """Stateful sink for a stream of cleaned bouts (with ``ts`` and, for ratings, ``pool``).
+
+    ``root`` is a shared folder. ``delay_seconds`` is how long a bout may be overtaken by later ones.
+    """
+
+    spark: SparkSession
+    root: str
+    delay_seconds: int = 3600
+    stats: Sequence[Stat] = field(default=BASE_STATS)
+    with_ratings: bool = False
+
+    def _path(self, name: str, version: int) -> str:
+        return os.path.join(self.root, name, f"version={version}")
+
+    def _mark(self) -> dict:
+        """Newest version, the stream batch it finished, its watermark and the newest time seen."""
+        schema = "version bigint, batch bigint, applied timestamp, newest timestamp"
+        try:
+            done = self.spark.read.schema(schema).parquet(os.path.join(self.root, "progress"))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return {"version": None, "batch": None, "applied": None, "newest": None}
+        return done.orderBy(F.desc("version")).first().asDict()
+
+    def _read(self, name: str, version: int | None) -> DataFrame | None:
+        return None if version is None else self.spark.read.parquet(self._path(name, version))
+
+    def process(self, batch: DataFrame, batch_id: int | None, flush: bool = False) -> None:
+        """Handle one micro-batch; ``flush`` applies everything that is pending.
+
+        A batch that failed half-way runs again under the same version and replaces its own output.
+        """
+        last = self._mark()
+        if batch_id is not None and last["batch"] is not None and batch_id <= last["batch"]:
+            return  # finished before the restart
+        prev = last["version"]
+        version = 0 if prev is None else prev + 1
+        newest = batch.agg(F.max("ts").cast("timestamp")).first()[0]
+        seen = [x for x in (newest, last["newest"]) if x is not None]
+        newest = max(seen) if seen else None
+        applied = F.lit(last["applied"]).cast("timestamp")
+        late = F.coalesce(F.col("ts") <= applied, F.lit(False))
+        batch.where(late).write.mode("overwrite").parquet(self._path("late", version))
+        fresh = batch.where(~late)
+        waiting = self._read("pending", prev)
+        rows = fresh if waiting is None else fresh.unionByName(waiting)
+        limit = F.lit(newest).cast("timestamp")
+        if not flush:
+            limit = limit - F.make_interval(secs=F.lit(self.delay_seconds))
+        due = F.col("ts") <= limit
+        rows.where(F.coalesce(~due, F.lit(True))).write.mode("overwrite").parquet(self._path("pending", version))
+        rows.where(due).write.mode("overwrite").parquet(self._path("ready", version))
+        ready = self._read("ready", batch_id)
+
+        features, state = advance(entity_long(ready, stats=self.stats), self._read("state", prev), self.stats)
+        features.write.mode("overwrite").parquet(self._path("features", version))
+        state.write.mode("overwrite").parquet(self._path("state", version))
+        if self.with_ratings:
+            rated, gains = rt.replay_after(ready, self._read("gains", prev))
+            rated.write.mode("overwrite").parquet(self._path("ratings", version))
+            gains.write.mode("overwrite").parquet(self._path("gains", version))
+        done = self.spark.range(1, numPartitions=1).select(
+            F.lit(version).cast("bigint").alias("version"),
+            F.lit(last["batch"] if batch_id is None else batch_id).cast("bigint").alias("batch"),
+            F.greatest(limit, applied).alias("applied"),
+            F.lit(newest).cast("timestamp").alias("newest"),
+        )
+        done.write.mode("append").parquet(os.path.join(self.root, "progress"))
+
+    def start(self, stream: DataFrame, **trigger) -> StreamingQuery:
+        return (
+            stream.writeStream.foreachBatch(self.process)
+            .option("checkpointLocation", os.path.join(self.root, "_checkpoint"))
+            .trigger(**(trigger or {"processingTime": "1 minute"}))
+            .start()
+        )
+
+    def finish(self, stream_schema_rows: DataFrame) -> None:
+        """Apply all pending bouts, e.g. at the end of a season; pass an empty frame of the stream's schema."""
+        self.process(stream_schema_rows, None, flush=True)
+
+    def read(self, name: str) -> DataFrame:
+        """All output so far: features, ratings or late."""
+        return self.spark.read.parquet(os.path.join(self.root, name)).drop("version")
