@@ -180,7 +180,7 @@ class LiveFeatures:
         due = F.col("ts") <= limit
         rows.where(F.coalesce(~due, F.lit(True))).write.mode("overwrite").parquet(self._path("pending", version))
         rows.where(due).write.mode("overwrite").parquet(self._path("ready", version))
-        ready = self._read("ready", batch_id)
+        ready = self._read("ready", version)
 
         features, state = advance(entity_long(ready, stats=self.stats), self._read("state", prev), self.stats)
         features.write.mode("overwrite").parquet(self._path("features", version))
