@@ -12,8 +12,7 @@ ACCENTED = "éáęîří"
 PLAIN = "eaeiri"
 
 MINUS_SIGN = "−"
-_RATIO = r"^\s*(\d+) of (\d+)\s*$"
-_CLOCK = r"^\s*(\d+):(\d+)\s*$"
+RATIO_MARK, CLOCK_MARK = " of ", ":"
 
 
 def _group(c: Column, pattern: str, idx: int, kind: str) -> Column:
@@ -21,25 +20,38 @@ def _group(c: Column, pattern: str, idx: int, kind: str) -> Column:
 
 
 def is_ratio(c: Column) -> Column:
-    return c.contains(" of ")
+    return c.contains(RATIO_MARK)
 
 
 def is_clock(c: Column) -> Column:
-    return c.contains(":")
+    return c.contains(CLOCK_MARK)
+
+
+def _before(c: Column, mark: str) -> Column:
+    return F.substring_index(c, mark, 1).try_cast("double")
+
+
+def _after(c: Column, mark: str) -> Column:
+    """Number behind the first mark; NULL when there is no mark or more than one."""
+    rest = F.substr(c, F.instr(c, mark) + F.lit(len(mark)))
+    return F.when(F.instr(c, mark) > 0, rest.try_cast("double"))
 
 
 def ratio_landed(c: Column) -> Column:
-    return F.coalesce(_group(c, _RATIO, 1, "double"), c.try_cast("double"))
+    """x of ``x of y``; a plain number stays as it is."""
+    return _before(c, RATIO_MARK)
 
 
 def ratio_share(c: Column) -> Column:
-    x, y = _group(c, _RATIO, 1, "double"), _group(c, _RATIO, 2, "double")
-    return F.when(y == 0, F.lit(0.0)).otherwise(F.coalesce(x / y, c.try_cast("double")))
+    tried = _after(c, RATIO_MARK)
+    share = F.when(tried == 0, F.lit(0.0)).otherwise(_before(c, RATIO_MARK) / tried)
+    return F.when(is_ratio(c), share).otherwise(c.try_cast("double"))
 
 
 def clock_minutes(c: Column) -> Column:
-    whole = (_group(c, _CLOCK, 1, "double") * 60 + _group(c, _CLOCK, 2, "double")) / 60
-    return F.coalesce(whole, c.try_cast("double"))
+    """Minutes of ``m:ss``; a plain number stays as it is."""
+    whole = (_before(c, CLOCK_MARK) * 60 + _after(c, CLOCK_MARK)) / 60
+    return F.when(is_clock(c), whole).otherwise(c.try_cast("double"))
 
 
 def bout_minutes(round_no: Column, minutes: Column, round_length: int = 5) -> Column:

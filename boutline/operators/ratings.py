@@ -1,11 +1,14 @@
-"""Elo replay over bouts, without a driver-side or single-task loop over rows.
+"""Elo replay over bouts.
 
 ``replay`` gives every bout the ratings after all earlier bouts of its pool. Both sides of a bout
-depend on each other's past, so no window can compute it directly. It is solved by sweeps over a slice
-of time: take the current estimate of all pre-bout ratings, compute every rating change, and replace
-the estimates by the running sums of the changes. A sweep settles at least one more bout of every
-dependency chain, so a slice ends at the exact sequential answer after at most its longest chain;
-because one bout moves a rating only by a small share of an error, it ends long before that.
+depend on each other's past, so no window can compute it directly.
+
+Pools of at most ``POOL_ROWS`` bouts (counted first) are replayed one per group, in parallel over pools.
+A larger pool is never put into one task. It is solved by sweeps over slices of time: take the current
+estimate of all pre-bout ratings, compute every rating change, and replace the estimates by the running
+sums of the changes. A sweep settles at least one more bout of every dependency chain, so a slice ends
+at the exact sequential answer after at most its longest chain; because one bout moves a rating only by
+a small share of an error, it ends long before that.
 
 ``replay_by_period`` freezes ratings inside a day, so chains are counted in days instead of bouts.
 """
@@ -13,16 +16,19 @@ because one bout moves a rating only by a small share of an error, it ends long
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boutline.functions.rating import START_RATING, k_factor, rating_change, score_of
+from boutline.functions.rating import K_REST, K_TIERS, START_RATING, k_factor, rating_change, score_of
 from boutline.operators.longform import outcome_of
-from boutline.operators.scan import NO_SKEW, Run, Skew, find_skew, running
+from boutline.operators.scan import ALL_KEYS, NO_SKEW, Run, Skew, find_skew, running
 from boutline.session import stage
 
 KEY = ["pool", "entity"]
+POOL_ROWS = 500_000
 SWEEPS_PER_JOB = 6
 BOUTS_PER_SLICE = 40
 SETTLED = 1e-9
@@ -154,17 +160,98 @@ def _add_gains(gains: DataFrame | None, rated: DataFrame) -> DataFrame:
     return both.groupBy(*KEY).agg(F.sum("gain").alias("gain"))
 
 
+def _group_replay(fixed_k: float | None, frozen: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Replay of one bounded pool in bout order."""
+
+    def k_of(n: int) -> float:
+        if fixed_k is not None:
+            return fixed_k
+        return next((k for bound, k in K_TIERS if n < bound), K_REST)
+
+    def steps(rows: pd.DataFrame) -> Iterator[tuple[float, float, float, float]]:
+        rating, seen, waiting, day = {}, {}, [], None
+        cols = ("d", "red", "blue", "red_score", "red_base", "blue_base", "red_seen", "blue_seen")
+        for d, red, blue, score, red_base, blue_base, red_seen, blue_seen in zip(*(rows[c] for c in cols), strict=True):
+            if d != day:
+                for entity, change in waiting:
+                    rating[entity] += change
+                waiting, day = [], d
+            own, other = rating.setdefault(red, red_base), rating.setdefault(blue, blue_base)
+            seen[red], seen[blue] = seen.get(red, red_seen) + 1, seen.get(blue, blue_seen) + 1
+            red_k, blue_k = k_of(seen[red]), k_of(seen[blue])
+            surprise = score - 1 / (1 + 10.0 ** ((other - own) / 400))
+            moves = ((red, red_k * surprise), (blue, -blue_k * surprise))
+            if frozen:
+                waiting.extend(moves)
+            else:
+                for entity, change in moves:
+                    rating[entity] += change
+            yield red_k, blue_k, own, other
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("bout_id", ignore_index=True)
+        new = pd.DataFrame(steps(rows), columns=["red_k", "blue_k", "red_pre", "blue_pre"])
+        return pd.concat([rows.drop(columns=["red_seen", "blue_seen"]), new], axis=1)
+
+    return run
+
+
+def _replay_small_pools(
+    bouts: DataFrame, fixed_k: float | None, frozen: bool, gains: DataFrame | None, counts: DataFrame | None
+) -> DataFrame:
+    score = score_of(outcome_of(F.col("red"), F.col("winner"))).alias("red_score")
+    rows = _with_base(bouts.select("pool", "bout_id", "d", "red", "blue", score), gains).drop("red_pre", "blue_pre")
+    for side in ("red", "blue"):
+        if counts is None:
+            rows = rows.withColumn(f"{side}_seen", F.lit(0).cast("bigint"))
+        else:
+            known = counts.select("pool", F.col("entity").alias(side), F.col("bouts").alias("_b"))
+            rows = rows.join(known, ["pool", side], "left")
+            rows = rows.withColumn(f"{side}_seen", F.coalesce("_b", F.lit(0))).drop("_b")
+    names = ["pool", "bout_id", "d", "red", "blue", "red_score", "red_base", "blue_base"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*names).schema.fields)
+    schema += ", red_k double, blue_k double, red_pre double, blue_pre double"
+    rows = rows.select(*names, "red_seen", "blue_seen")
+    return rows.groupBy("pool").applyInPandas(_group_replay(fixed_k, frozen), schema).select(*RATED)
+
+
+RATED = [
+    "pool", "bout_id", "d", "red", "blue", "red_score", "red_k", "blue_k", "red_base", "blue_base", "red_pre", "blue_pre",
+]
+
+
 def replay(
     bouts: DataFrame,
     fixed_k: float | None = None,
-    per_slice: int = BOUTS_PER_SLICE,
-    sweeps_per_job: int = SWEEPS_PER_JOB,
-    skew: Skew | None = None,
     frozen: bool = False,
     known_gains: DataFrame | None = None,
     known_counts: DataFrame | None = None,
+    pool_rows: int | None = None,
+    **options,
 ) -> DataFrame:
     """Pre-bout ratings ``red_pre`` and ``blue_pre`` of ``bouts`` (pool, bout_id, d, red, blue, winner)."""
+    large = find_skew(bouts, ["pool"], POOL_ROWS if pool_rows is None else pool_rows)
+    if large == NO_SKEW:
+        return _replay_small_pools(bouts, fixed_k, frozen, known_gains, known_counts)
+    if large == ALL_KEYS:
+        return replay_in_sweeps(bouts, fixed_k, frozen, known_gains, known_counts, **options)
+    names = F.broadcast(large.heavy)  # listed keys, at most MAX_LISTED_KEYS
+    small = bouts.join(names, "pool", "left_anti")
+    swept = replay_in_sweeps(bouts.join(names, "pool", "left_semi"), fixed_k, frozen, known_gains, known_counts, **options)
+    return _replay_small_pools(small, fixed_k, frozen, known_gains, known_counts).unionByName(swept)
+
+
+def replay_in_sweeps(
+    bouts: DataFrame,
+    fixed_k: float | None = None,
+    frozen: bool = False,
+    known_gains: DataFrame | None = None,
+    known_counts: DataFrame | None = None,
+    per_slice: int = BOUTS_PER_SLICE,
+    sweeps_per_job: int = SWEEPS_PER_JOB,
+    skew: Skew | None = None,
+) -> DataFrame:
+    """``replay`` for pools of any size."""
     if skew is None:
         sides = bouts.select("pool", F.explode(F.array("red", "blue")).alias("entity"))
         skew = find_skew(sides, KEY)
@@ -184,12 +271,12 @@ def replay(
             moved = wide.agg(F.max("_moved")).first()[0]
             if moved is None or moved <= SETTLED:
                 break
-        done.append(wide.drop("_moved"))
+        done.append(wide.select(*RATED))
         if i < len(ends) - 1:
             gains = stage(_add_gains(gains, wide))
         start = end
     if not done:
-        return _with_base(prepared, known_gains)
+        return _with_base(prepared, known_gains).select(*RATED)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

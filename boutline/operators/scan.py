@@ -47,7 +47,7 @@ def find_skew(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> S
     At most rows/limit keys can be heavy. A longer list than ``MAX_LISTED_KEYS`` is not collected;
     every key then gets segments, which gives the same result.
     """
-    limit = limit or SEGMENT_ROWS
+    limit = SEGMENT_ROWS if limit is None else limit
     rows = (
         df.groupBy(*keys)
         .count()

@@ -21,6 +21,7 @@ def build_session(app: str = "boutline", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # no call-site capture per column
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for k, v in settings.items():

@@ -17,35 +17,44 @@ def check(got, want):
         assert (r["red_pre"], r["blue_pre"]) == pytest.approx(want[r["bout_id"]], abs=1e-7)
 
 
-@pytest.mark.parametrize("per_slice", [1000, 15])
-def test_replay_equals_loop(spark, per_slice):
-    rows = random_bouts(150)
-    check(rt.replay(pooled(spark, rows), per_slice=per_slice), replay_ratings(rows))
+def test_sweeps_equal_loop(spark):
+    rows = random_bouts(80)
+    check(rt.replay_in_sweeps(pooled(spark, rows), per_slice=15), replay_ratings(rows))
+
+
+@pytest.mark.parametrize("pool_rows", [1000, 70])
+def test_pools_by_size(spark, pool_rows):
+    """All pools in groups, or the larger one in sweeps."""
+    rows = random_bouts(140)
+    sizes = sorted(sum(r[5] == p for r in rows) for p in "AB")
+    assert sizes[0] <= 70 < sizes[1]
+    check(rt.replay(pooled(spark, rows), pool_rows=pool_rows), replay_ratings(rows))
 
 
 def test_replay_with_hot_entity(spark, monkeypatch):
     monkeypatch.setattr(scan, "SEGMENT_ROWS", 20)
-    rows = random_bouts(120, names=8, hot="e0")
-    check(rt.replay(pooled(spark, rows), per_slice=40), replay_ratings(rows))
+    rows = random_bouts(60, names=8, hot="e0")
+    check(rt.replay_in_sweeps(pooled(spark, rows), per_slice=40), replay_ratings(rows))
 
 
-@pytest.mark.parametrize("per_slice", [1000, 20])
-def test_period_replay_equals_loop(spark, per_slice):
-    rows = random_bouts(120)
-    got = rt.replay_by_period(pooled(spark, rows), fixed_k=32.0, per_slice=per_slice)
+def test_period_replay_equals_loop(spark):
+    rows = random_bouts(60)
+    got = rt.replay_by_period(pooled(spark, rows), fixed_k=32.0, per_slice=20, pool_rows=0)
     check(got, replay_ratings(rows, frozen=True, fixed_k=32))
+    check(rt.replay_by_period(pooled(spark, rows)), replay_ratings(rows, frozen=True))
 
 
 def test_period_replay_with_hot_entity(spark, monkeypatch):
     monkeypatch.setattr(scan, "SEGMENT_ROWS", 20)
-    rows = random_bouts(90, hot="e0")
-    check(rt.replay_by_period(pooled(spark, rows)), replay_ratings(rows, frozen=True))
+    rows = random_bouts(50, hot="e0")
+    check(rt.replay_by_period(pooled(spark, rows), pool_rows=0), replay_ratings(rows, frozen=True))
 
 
-def test_continued_replay(spark):
-    rows = random_bouts(100)
-    first, gains = rt.replay_after(pooled(spark, rows[:60]), None)
-    second, _ = rt.replay_after(pooled(spark, rows[60:]), gains)
+@pytest.mark.parametrize("pool_rows", [1000, 0])
+def test_continued_replay(spark, pool_rows):
+    rows = random_bouts(60)
+    first, gains = rt.replay_after(pooled(spark, rows[:35]), None, pool_rows=pool_rows)
+    second, _ = rt.replay_after(pooled(spark, rows[35:]), gains, pool_rows=pool_rows)
     check(first.unionByName(second), replay_ratings(rows))
 
 
