@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutline.functions import betting
-from boutline.operators.scan import SEGMENT_ROWS
+from boutline.operators.scan import ALL_KEYS, NO_SKEW, SEGMENT_ROWS, Skew
 
 START_BANKROLL = 1000.0
 
@@ -100,43 +100,49 @@ def bankroll_path(
     settled: DataFrame,
     keys: Sequence[str] = ("strategy",),
     start: float = START_BANKROLL,
+    skew: Skew = ALL_KEYS,
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Bankroll before and after each bet of every bankroll (``keys``), with the running extremes.
 
-    Stakes are shares of the current bankroll, so the path is a running product. It is taken inside
-    segments of consecutive bouts; growth and extremes of whole segments are scanned on their own and
-    joined back, so no task holds a whole bankroll. ``log_growth`` is the same path as a sum of
-    logarithms, which cannot overflow on very long runs.
+    Stakes are shares of the current bankroll, so the path is a running product. Unless ``skew`` says that
+    no bankroll is large, it is taken inside segments of consecutive bouts; growth and extremes of whole
+    segments are scanned on their own and joined back, so no task holds a whole bankroll. ``log_growth``
+    is the same path as a sum of logarithms, which cannot overflow on very long runs.
     """
-    part = [*keys, "_seg"]
+    one = F.lit(1.0)
+    growth, log = 1 + F.col("ret"), F.log(1 + F.col("ret"))
+    segmented = skew != NO_SKEW
+    part = [*keys, "_seg"] if segmented else list(keys)
+    rows = settled.withColumn("_seg", F.floor(F.col("bout_id") / segment_rows)) if segmented else settled
     w = Window.partitionBy(*part).orderBy("bout_id")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    growth, log = 1 + F.col("ret"), F.log(1 + F.col("ret"))
-    local = settled.withColumn("_seg", F.floor(F.col("bout_id") / segment_rows)).select(
+    local = rows.select(
         "*",
         F.product(growth).over(upto).alias("_g"),
-        F.product(growth).over(before).alias("_g_before"),
+        F.coalesce(F.product(growth).over(before), one).alias("_g_before"),
         F.sum(log).over(upto).alias("_log"),
     )
-    totals = local.groupBy(*part).agg(
-        F.product(growth).alias("_total"), F.max("_g").alias("_high"), F.min("_g").alias("_low"), F.sum(log).alias("_logs")
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.withColumn("_c", F.coalesce(F.product("_total").over(earlier), F.lit(1.0)))
-    carried = carried.select(
-        *part,
-        "_c",
-        F.coalesce(F.sum("_logs").over(earlier), F.lit(0.0)).alias("_clog"),
-        F.max(F.col("_c") * F.col("_high")).over(earlier).alias("_top"),
-        F.min(F.col("_c") * F.col("_low")).over(earlier).alias("_bottom"),
-    )
-    local = local.select("*", F.max("_g").over(upto).alias("_gmax"), F.min("_g").over(upto).alias("_gmin"))
-    joined = local.join(carried, part)
-    one = F.lit(1.0)
+    extremes = local.select("*", F.max("_g").over(upto).alias("_gmax"), F.min("_g").over(upto).alias("_gmin"))
+    if segmented:
+        totals = local.groupBy(*part).agg(
+            F.product(growth).alias("_total"), F.max("_g").alias("_high"), F.min("_g").alias("_low"), F.sum(log).alias("_logs")
+        )
+        earlier = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+        carried = totals.withColumn("_c", F.coalesce(F.product("_total").over(earlier), one))
+        carried = carried.select(
+            *part,
+            "_c",
+            F.coalesce(F.sum("_logs").over(earlier), F.lit(0.0)).alias("_clog"),
+            F.max(F.col("_c") * F.col("_high")).over(earlier).alias("_top"),
+            F.min(F.col("_c") * F.col("_low")).over(earlier).alias("_bottom"),
+        )
+        joined = extremes.join(carried, part)
+    else:
+        joined = extremes.withColumns({"_c": one, "_clog": F.lit(0.0), "_top": one, "_bottom": one})
     return joined.select(
         *settled.columns,
-        (start * F.col("_c") * F.coalesce("_g_before", one)).alias("bankroll_before"),
+        (start * F.col("_c") * F.col("_g_before")).alias("bankroll_before"),
         (start * F.col("_c") * F.col("_g")).alias("bankroll"),
         (start * F.greatest(one, "_top", F.col("_c") * F.col("_gmax"))).alias("max_bankroll"),
         (start * F.least(one, "_bottom", F.col("_c") * F.col("_gmin"))).alias("min_bankroll"),

@@ -10,7 +10,7 @@ from boutline.operators import backtest as bt
 from boutline.operators import summary as sm
 from boutline.operators import textlog as tl
 from boutline.operators.scan import find_skew
-from boutline.plans.history import cleaned
+from boutline.plans.history import cleaned, entity_skew
 from boutline.plans.registry import query, sql_big, sql_round, views
 from boutline.sources import tables as t
 from boutline.sources.files import prediction_documents
@@ -72,7 +72,7 @@ def settled(spark: SparkSession, sf: str) -> DataFrame:
 
 def path(spark: SparkSession, sf: str) -> DataFrame:
     """A bankroll of its own for each strategy and red-side entity."""
-    return bt.bankroll_path(settled(spark, sf), PORTFOLIO)
+    return bt.bankroll_path(settled(spark, sf), PORTFOLIO, skew=entity_skew(spark, sf))
 
 
 @query("implied_prob", views("clean", f"SELECT bout_id, round({_implied('red_odds')}, 6) AS red_prob, round({_implied('blue_odds')}, 6) AS blue_prob FROM clean"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from boutline.operators import backtest as bt
 from boutline.operators import summary as sm
 from boutline.operators import textlog as tl
-from boutline.operators.scan import ALL_KEYS, find_skew
+from boutline.operators.scan import ALL_KEYS, NO_SKEW, find_skew
 
 DAY = dt.date(2024, 1, 1)
 
@@ -17,11 +17,11 @@ def settled_frame(spark, rets):
     return spark.createDataFrame(rows, "strategy string, bout_id bigint, d date, share double, ret double").repartition(3)
 
 
-@pytest.mark.parametrize("segment_rows", [1000, 7])
-def test_bankroll_path_equals_loop(spark, segment_rows):
+@pytest.mark.parametrize(("segment_rows", "skew"), [(1000, ALL_KEYS), (7, ALL_KEYS), (7, NO_SKEW)])
+def test_bankroll_path_equals_loop(spark, segment_rows, skew):
     rng = random.Random(5)
     rets = [rng.uniform(-0.05, 0.06) for _ in range(60)]
-    got = {r["bout_id"]: r for r in bt.bankroll_path(settled_frame(spark, rets), segment_rows=segment_rows).collect()}
+    got = {r["bout_id"]: r for r in bt.bankroll_path(settled_frame(spark, rets), segment_rows=segment_rows, skew=skew).collect()}
     money, top, low = 1000.0, 1000.0, 1000.0
     for i, r in enumerate(rets):
         assert got[i]["bankroll_before"] == pytest.approx(money)
