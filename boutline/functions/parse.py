@@ -23,6 +23,14 @@ def is_ratio(c: Column) -> Column:
     return c.contains(RATIO_MARK)
 
 
+def looks_like_ratio(c: Column) -> Column:
+    return c.rlike(r"^\s*\d+ of \d+\s*$")
+
+
+def looks_like_clock(c: Column) -> Column:
+    return c.rlike(r"^\s*\d+:\d+\s*$")
+
+
 def is_clock(c: Column) -> Column:
     return c.contains(CLOCK_MARK)
 

@@ -114,7 +114,9 @@ def bankroll_path(
     growth, log = 1 + F.col("ret"), F.log(1 + F.col("ret"))
     segmented = skew != NO_SKEW
     part = [*keys, "_seg"] if segmented else list(keys)
-    rows = settled.withColumn("_seg", F.floor(F.col("bout_id") / segment_rows)) if segmented else settled
+    rows = settled
+    if segmented:
+        rows = rows.withColumn("_seg", F.floor(F.col("bout_id") / segment_rows)).repartition(*part)
     w = Window.partitionBy(*part).orderBy("bout_id")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     local = rows.select(

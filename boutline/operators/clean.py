@@ -17,8 +17,8 @@ def text_layout(df: DataFrame) -> tuple[list[str], list[str]]:
     if not names:
         return [], []
     q = lambda c: F.col(f"`{c}`")
-    aggs = [F.max(parse.is_ratio(q(c))).alias(f"r{i}") for i, c in enumerate(names)]
-    aggs += [F.max(parse.is_clock(q(c))).alias(f"c{i}") for i, c in enumerate(names)]
+    aggs = [F.max(parse.looks_like_ratio(q(c))).alias(f"r{i}") for i, c in enumerate(names)]
+    aggs += [F.max(parse.looks_like_clock(q(c))).alias(f"c{i}") for i, c in enumerate(names)]
     row = df.agg(*aggs).first()
     return (
         [c for i, c in enumerate(names) if row[f"r{i}"]],

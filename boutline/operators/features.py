@@ -13,7 +13,8 @@ from boutline.operators.running import BASE_STATS, Stat
 from boutline.operators.scan import NO_SKEW, Skew, find_skew
 
 MIN_PRIOR_BOUTS = 2
-CARRIED = ("prior_bouts", "win_streak", "lose_streak", "title_wins", "win_rate", "age", "mean_age", "layoff_days")
+CARRIED = ("born", "prior_bouts", "win_streak", "lose_streak", "title_wins", "win_rate", "age", "mean_age", "layoff_days")
+RATINGS = ("elo", "opp_elo")
 
 
 def stat_columns(stats: Sequence[Stat]) -> list[str]:
@@ -55,10 +56,17 @@ def bout_features(
     skew: Skew | None = None,
     min_prior: int = MIN_PRIOR_BOUTS,
     compat: bool = False,
+    ratings: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per eligible bout: decided, both sides experienced, both dates of birth known."""
+    """One row per eligible bout: decided, both sides experienced, both dates of birth known.
+
+    ``ratings`` (bout_id, entity, elo, opp_elo) adds the rating before the bout and the mean rating of
+    past opponents.
+    """
     skew = entity_skew(clean) if skew is None else skew
     sides = side_features(entity_long(clean, master, stats), stats, skew, compat)
+    if ratings is not None:
+        sides = sides.join(ratings.select("bout_id", "entity", *RATINGS), ["bout_id", "entity"], "left")
     is_red = F.col("side") == "red"
     sides = sides.withColumns(
         {
@@ -66,9 +74,10 @@ def bout_features(
             "blue": F.when(is_red, F.col("opponent")).otherwise(F.col("entity")),
             "won": F.when(F.col("outcome") != "draw", (F.col("outcome") == "win").cast("int")),
             "known": F.col("dob").isNotNull().cast("int"),
+            "born": F.year("dob"),
         }
     )
-    cols = feature_columns(stats)
+    cols = [*feature_columns(stats), *(() if ratings is None else RATINGS)]
     wide = sides_to_wide(sides, [*cols, "won", "known"], ["bout_id", "d", "is_title", "red", "blue"])
     fit = (
         F.col("red_won").isNotNull()

@@ -131,6 +131,9 @@ def running(
             .drop("_heavy")
         )
     part = [*keys, "_seg"]
+    # Without this, rows already partitioned by the keys alone would count as partitioned by (keys, segment)
+    # and all segments of a heavy key would stay in one task.
+    cut = cut.repartition(*part)
     totals = (
         cut.where(F.col("_seg").isNotNull())
         .groupBy(*part)

@@ -93,7 +93,7 @@ def _recency_term(stat: str, kind: str) -> str:
 
 RECENCY = [(s, k) for s in ("kd", "sig", "sig_pct", "ctrl") for k in ("rate", "diff", "def") if k != "def" or s == "sig_pct"]
 FEATURES = [
-    "prior_bouts", "win_streak", "lose_streak", "title_wins", "win_rate", "age", "mean_age", "layoff_days",
+    "born", "prior_bouts", "win_streak", "lose_streak", "title_wins", "win_rate", "age", "mean_age", "layoff_days",
     *[f"{s}_{k}" for s, k in RECENCY],
 ]
 
@@ -156,7 +156,7 @@ FROM long l LEFT JOIN master m ON m.entity = l.entity""".replace("(PARTITION BY
        CAST(coalesce(sum(CASE WHEN outcome = 'win' AND is_title THEN 1 ELSE 0 END) OVER {PRIOR}, 0) AS BIGINT) AS title_wins,
        CAST(coalesce(sum(CASE WHEN is_title THEN 1 ELSE 0 END) OVER {PRIOR}, 0) AS BIGINT) AS title_bouts,
        avg(CASE WHEN outcome = 'win' THEN 1.0 ELSE 0.0 END) OVER {PRIOR} AS win_rate,
-       year(d) - year(dob) AS age, avg(year(d) - year(dob)) OVER {PRIOR} AS mean_age,
+       year(dob) AS born, year(d) - year(dob) AS age, avg(year(d) - year(dob)) OVER {PRIOR} AS mean_age,
        datediff('day', last_d, d) AS layoff_days,
        (SELECT count(*) FROM long p WHERE p.entity = h.entity AND p.outcome = 'win' AND p.bout_id < h.bout_id
           AND p.bout_id > coalesce(h.last_loss, -1)) AS win_streak,

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutline.operators import backtest as bt
+from boutline.operators import features as fx
 from boutline.operators import ratings as rt
 from boutline.operators import summary as sm
-from boutline.plans.history import cleaned
-from boutline.plans.registry import query, sql_round, views
+from boutline.plans.history import cleaned, entity_skew
+from boutline.plans.registry import PRIOR, query, sql_round, views
 from boutline.sources import tables as t
 
 FLOOR, CUTOFF = "2024-01-03", "2024-01-20"
@@ -75,6 +76,27 @@ def rating_top(spark: SparkSession, sf: str) -> DataFrame:
     return rt.leaderboard(final.withColumn("rating", F.round("rating", 4)))
 
 
+_POOLED = _REPLAY.replace("x.method AS pool", "'all' AS pool").replace("method AS pool", "'all' AS pool").replace("SELECT method, bout_id", "SELECT 'all', bout_id").replace("PARTITION BY x.method ORDER", "ORDER")
+
+
+@query(
+    "rated_features",
+    views("feats", f"""{_POOLED},
+opp AS (SELECT *, avg(opp_pre) OVER {PRIOR} AS opp_elo FROM rated_sides),
+fit AS (SELECT bout_id FROM feats GROUP BY bout_id HAVING min(prior_bouts) >= 2 AND count(dob) = 2 AND max(outcome) <> 'draw')
+SELECT r.bout_id, round(a.own_pre, 4) AS red_elo, round(c.own_pre, 4) AS blue_elo, round(a.own_pre - c.own_pre, 4) AS elo_oppdiff,
+   round(a.opp_elo, 4) AS red_opp_elo, round(c.opp_elo, 4) AS blue_opp_elo, round(a.opp_elo - c.opp_elo, 4) AS opp_elo_oppdiff
+FROM rated r JOIN fit USING (bout_id) JOIN opp a ON a.bout_id = r.bout_id AND a.entity = r.red JOIN opp c ON c.bout_id = r.bout_id AND c.entity = r.blue""", recursive=True),
+    places=4,
+)
+def rated_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature rows with ratings from one pool of all bouts."""
+    sides = rt.rating_sides(rt.replay(pooled(spark, sf).withColumn("pool", F.lit("all"))))
+    rated = rt.mean_opponent_rating(sides).select("bout_id", "entity", F.col("own_pre").alias("elo"), F.col("opponent_rating").alias("opp_elo"))
+    feats = fx.bout_features(cleaned(spark, sf), t.master(spark, sf), skew=entity_skew(spark, sf), ratings=rated)
+    return feats.select("bout_id", *[x for c in fx.RATINGS for x in (f"red_{c}", f"blue_{c}", f"{c}_oppdiff")])
+
+
 def _period_sql(days: int = 30) -> str:
     """One statement per day: ratings at its start are 1000 plus all earlier changes."""
     parts = [

@@ -76,3 +76,15 @@ def test_plain_scan_has_one_shuffle(spark):
     plan = b._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("Sort [") == 1
+
+
+def test_segments_of_a_heavy_key_are_spread(spark):
+    """Even when the input is already partitioned by the key alone."""
+    df = spark.range(1000).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("key"))
+    df = df.repartition(4, "key")
+    skew = find_skew(df, ["key"], 100)
+    out = running(df, ["key"], "seq", [Run("n", "count", F.lit(1))], skew, F.floor(F.col("seq") / 100))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") >= 1
+    hot = out.where("key = 0").collect()
+    assert all(r["n"] == r["seq"] // 3 for r in hot)
