@@ -16,7 +16,7 @@ from boutline.streaming.live import LiveFeatures
 
 
 def bout_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Cleaned bouts from a stream of events; both halves of a bout are paired by id within an hour."""
+    """Cleaned bouts from a stream of events; both halves of a bout are paired by id within a day."""
     schema = t.table(spark, sf, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     events = raw.withColumn("ts", F.col("ts").cast("timestamp"))

@@ -98,14 +98,16 @@ def bouts_from_events(events: DataFrame) -> DataFrame:
     return _bout_columns(r.join(b, F.col("bout_id") == F.col("_id")))
 
 
-def paired_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+def paired_stream(events: DataFrame, hours: int = 24) -> DataFrame:
     """Cleaned bouts with ``ts`` and ``pool`` from a stream of events.
 
-    The two corners meet in a stream-stream join; watermark and time range bound its state.
+    The two corners meet in a stream-stream join. Watermark and time range bound its state, so both corners
+    must arrive within ``hours`` of each other.
     """
     r, b = _corners(events)
-    r, b = r.withWatermark("ts", delay), b.withWatermark("_ts", delay)
-    near = (F.col("_ts") >= F.col("ts") - F.expr("INTERVAL 1 HOUR")) & (F.col("_ts") <= F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+    r, b = r.withWatermark("ts", f"{hours} hours"), b.withWatermark("_ts", f"{hours} hours")
+    gap = F.expr(f"INTERVAL {hours} HOURS")
+    near = F.col("_ts").between(F.col("ts") - gap, F.col("ts") + gap)
     raw = _bout_columns(r.join(b, (F.col("bout_id") == F.col("_id")) & near))
     return clean_bouts(raw, ["ts"]).withColumn("pool", F.col("method"))
 
