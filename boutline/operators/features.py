@@ -121,24 +121,27 @@ def swapped(features: DataFrame, when: Column | None = None, label: str = "resul
 
 
 def mirrored(features: DataFrame, label: str = "result") -> DataFrame:
-    """Every row and its corner-swapped copy. A side's column without a partner becomes NULL in one half."""
-    names = [swap_name(c) for c in features.columns]
-    copy = features.select(
-        *[
-            (
-                F.when(F.col(c) == "win", F.lit("loss")).when(F.col(c) == "loss", F.lit("win"))
-                if c == label
-                else -F.col(c)
-                if c.endswith("_oppdiff")
-                else F.col(c)
-            ).alias(n)
-            for c, n in zip(features.columns, names, strict=True)
-        ]
-    )
-    both = features.withColumn("mirrored", F.lit(False)).unionByName(
-        copy.withColumn("mirrored", F.lit(True)), allowMissingColumns=True
-    )
-    return both
+    """Every row and its corner-swapped copy. A side's column without a partner becomes NULL in one half.
+
+    Both halves come from one pass over the input, which a union would compute twice.
+    """
+    have = features.columns
+    names = [*have, *[swap_name(c) for c in have if swap_name(c) not in have]]
+    kinds = {f.name: f.dataType for f in features.schema.fields}
+
+    def value(name: str, flip: bool) -> Column:
+        source = swap_name(name) if flip else name
+        if source not in kinds:
+            return F.lit(None).cast(kinds[name] if name in kinds else kinds[swap_name(name)]).alias(name)
+        c = F.col(source)
+        if flip and name == label:
+            c = F.when(c == "win", F.lit("loss")).when(c == "loss", F.lit("win"))
+        elif flip and name.endswith("_oppdiff"):
+            c = -c
+        return c.alias(name)
+
+    halves = [F.struct(*[value(n, flip) for n in names], F.lit(flip).alias("mirrored")) for flip in (False, True)]
+    return features.select(F.inline(F.array(*halves)))
 
 
 def corner_swap_flag(bout_id: Column, seed: int = 42) -> Column:

@@ -106,8 +106,11 @@ def after_last_peak(trials: DataFrame, order: str, value: str, limit: float = 30
 
 def with_position(df: DataFrame, order: str = "bout_id") -> DataFrame:
     """0-based position over the whole table and its row count; no task sees all rows."""
-    total = df.agg(F.count("*")).scalar()
-    return running(df, [], order, [Run("position", "count", F.lit(1))], ALL_KEYS).withColumn("total", total)
+    return numbered(df, order).withColumn("total", F.lit(df.count()))
+
+
+def numbered(df: DataFrame, order: str = "bout_id", name: str = "position") -> DataFrame:
+    return running(df, [], order, [Run(name, "count", F.lit(1))], ALL_KEYS)
 
 
 def position_split(df: DataFrame, order: str = "bout_id", train: float = 0.95, prune: float = 0.3) -> DataFrame:

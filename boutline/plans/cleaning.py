@@ -9,6 +9,7 @@ from boutline.functions import parse
 from boutline.operators import clean, features
 from boutline.operators.backtest import resolve_winner
 from boutline.operators.longform import first_perspective, long_form
+from boutline.operators.summary import numbered
 from boutline.plans.registry import query, sql_round, views
 from boutline.sources import pages as pg
 from boutline.sources import tables as t
@@ -20,10 +21,8 @@ from boutline.sources import tables as t
 )
 def bouts_chronological(spark: SparkSession, sf: str) -> DataFrame:
     """Bouts with a dense chronological number, counted in segments instead of one sorted task."""
-    from boutline.operators.summary import with_position
-
     b = t.bouts(spark, sf).select("bout_id", "d", "red", "blue", "winner", "method")
-    out = with_position(b).withColumn("seq", F.col("position") + 1).drop("position", "total")
+    out = numbered(b).withColumn("seq", F.col("position") + 1).drop("position")
     return out.orderBy("bout_id")
 
 
@@ -226,7 +225,7 @@ WHERE red = blue OR red NOT IN (SELECT entity FROM master WHERE dob IS NOT NULL)
 def invalid_matchups(spark: SparkSession, sf: str) -> DataFrame:
     """Requested pairs (also of an entity with itself); an entity without date of birth counts as unknown."""
     ev = t.table(spark, sf, "events").select(
-        F.floor(F.col("event_id") / 2).cast("bigint").alias("request_id"), "event_id", "user_id"
+        F.shiftright("event_id", 1).alias("request_id"), "event_id", "user_id"
     )
     red = ev.where(F.col("event_id") % 2 == 0).select("request_id", F.col("user_id").alias("red"))
     blue = ev.where(F.col("event_id") % 2 == 1).select("request_id", F.col("user_id").alias("blue"))

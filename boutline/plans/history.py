@@ -273,7 +273,7 @@ FROM card c JOIN ready r ON r.entity = c.red JOIN ready b ON b.entity = c.blue""
 def card_features(spark: SparkSession, sf: str) -> DataFrame:
     """The last day's bouts as an announced card, scored from the state before that day."""
     c = cleaned(spark, sf)
-    day = c.agg(F.max("d")).scalar()
+    day = F.lit(c.agg(F.max("d")).first()[0])  # a literal reaches the scans as a filter
     past = c.where(F.col("d") < day)
     card = c.where(F.col("d") == day).select("bout_id", "red", "blue", "d")
     state = fx.entity_state(fx.entity_long(past), skew=entity_skew(spark, sf))
@@ -299,8 +299,8 @@ def compare_entities(spark: SparkSession, sf: str) -> DataFrame:
     long = fx.entity_long(c)
     state = fx.entity_state(long, skew=entity_skew(spark, sf)).join(t.master(spark, sf).select("entity", "dob"), "entity", "left")
     state = state.withColumn("age", F.year(F.lit("2024-06-01").cast("date")) - F.year("dob"))
-    newest = [c.agg(F.max_by(s, "bout_id")).scalar() for s in ("red", "blue")]
-    return fx.compare_entities(state, *newest, ["bouts", "wins", "last_d", "age"])
+    newest = c.agg(F.max_by("red", "bout_id"), F.max_by("blue", "bout_id")).first()
+    return fx.compare_entities(state, *[F.lit(x) for x in newest], ["bouts", "wins", "last_d", "age"])
 
 
 _AGG = ["own_kd", "own_sig", "minutes"]

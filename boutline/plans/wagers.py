@@ -360,7 +360,9 @@ def prediction_report(spark: SparkSession, sf: str) -> DataFrame:
 @query("card_document")
 def card_document(spark: SparkSession, sf: str) -> DataFrame:
     """JSON documents of each card; a large card is several bounded documents."""
-    b = t.bouts(spark, sf)
-    scored = b.select("bout_id", F.col("p_ab").alias("p"))
-    report = sm.prediction_report(scored, b).join(b.select("bout_id", "d", F.col("p_ab").alias("p")), "bout_id")
-    return prediction_documents(report)
+    p = F.col("p_ab")
+    scored = t.bouts(spark, sf).select(
+        "d", "bout_id", "red", "blue", p.alias("p"), F.greatest(p, 1 - p).alias("probability"),
+        F.when(p > 0.5, F.lit("win")).otherwise(F.lit("loss")).alias("predicted_result"),
+    )
+    return prediction_documents(scored)

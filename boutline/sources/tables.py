@@ -55,7 +55,7 @@ def _ctrl_text(k: Column) -> Column:
 
 
 def _corners(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    ev = events_with_k(events).withColumn("bout_id", F.floor(F.col("event_id") / 2).cast("bigint"))
+    ev = events_with_k(events).withColumn("bout_id", F.shiftright("event_id", 1))
     r = ev.where(F.col("event_id") % 2 == 0).select(
         "bout_id", "ts", F.col("user_id").alias("red"), F.col("value").alias("rv"), F.col("event_type").alias("method"),
         F.col("k").alias("rk"),
