@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from boutline.functions import parse
 from boutline.operators.scan import ALL_KEYS, Run, running
 
+# fixed values: columns without use after the ratios have been split
+REDUNDANT_COLUMNS = (
+    "Red Sig. str. %",
+    "Red Td %",
+    "Blue Sig. str. %",
+    "Blue Td %",
+    "Red Sig. str",
+    "Blue Sig. str",
+    "Red Sig. str%",
+    "Blue Sig. str%",
+)
+
 
 def text_layout(df: DataFrame) -> tuple[list[str], list[str]]:
     """Columns that hold a ratio or a clock in any row, found in one pass over the data."""
@@ -55,7 +67,7 @@ def without_titles(df: DataFrame, title: str, words: Sequence[str]) -> DataFrame
 
 def clean_raw(
     raw: DataFrame,
-    drop: Sequence[str] = (),
+    drop: Sequence[str] = REDUNDANT_COLUMNS,
     exclude: Sequence[str] = ("Women", "Open"),
     winner: str = "Winner",
     title: str = "Title",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 from boutline.operators.scan import NO_SKEW, Run, Skew, running
 
 KEY, ORDER = ["entity"], "bout_id"
+# fixed values: weights of the career statistics in the hand-weighted power rating
+POWER_WEIGHTS = {
+    "SLpM": 3.0,
+    "Str_Acc": 3.0,
+    "SApM": -3.0,
+    "Str_Def": 5.0,
+    "TD_Avg": 2.0,
+    "TD_Acc": 2.0,
+    "TD_Def": 5.0,
+    "Sub_Avg": 3.0,
+}
 PRIME_AGE_DAYS = 25 * 365
 UNKNOWN_AGE_GAP_DAYS = 5 * 365
 
@@ -196,7 +207,7 @@ def latest_bouts(long: DataFrame, count: int) -> DataFrame:
 def power_rating(
     long: DataFrame,
     records: DataFrame,
-    stat_weights: dict[str, float],
+    stat_weights: Mapping[str, float] = POWER_WEIGHTS,
     last: int = 5,
     top: int = 25,
     step: int = 3,

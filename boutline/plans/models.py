@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutline.functions import parse
+from boutline.operators import backtest as bt
 from boutline.operators import features as fx
 from boutline.operators import model as md
 from boutline.operators import summary as sm
@@ -67,6 +68,20 @@ def walk_forward_scores(spark: SparkSession, sf: str) -> DataFrame:
     return md.walk_forward(feats, cols, days[1:], **SMALL)
 
 
+@query("walk_forward_backtest")
+def walk_forward_backtest(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole backtest: retrained models, odds, stakes of every strategy, and how each one grew."""
+    scores = walk_forward_scores(spark, sf).select("bout_id", "p_ab", "p_ba")
+    odds = cleaned(spark, sf).select("bout_id", "d", "red", "blue", "winner", "red_odds", "blue_odds")
+    bets = stage(bt.for_strategies(bt.priced_bets(odds.join(scores, "bout_id"))))
+    return bt.bankroll_path(bets).groupBy("strategy").agg(
+        F.count("*").alias("predictions"),
+        F.count("share").alias("bets"),
+        F.count_if("correct").alias("correct_predictions"),
+        F.max_by("log_growth", "bout_id").alias("log_growth"),
+    )
+
+
 @query("rf_baseline")
 def rf_baseline(spark: SparkSession, sf: str) -> DataFrame:
     """Random forest on physique alone, split by a hash of the bout."""

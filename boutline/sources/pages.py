@@ -23,6 +23,31 @@ BODY_CELL = r"(?s)<td(?:\s[^>]*)?>(.*?)</td>"
 ROW = r"(?s)<tr(?:\s[^>]*)?>(.*?)</tr>"
 PARAGRAPH = r"(?s)<p(?:\s[^>]*)?>\s*(.*?)\s*</p>"
 
+# fixed values: labels on entity and bout pages and the columns they fill
+ENTITY_LABELS = {
+    "SLpM": "SLpM",
+    "Str. Acc.": "Str_Acc",
+    "SApM": "SApM",
+    "Str. Def": "Str_Def",
+    "TD Avg.": "TD_Avg",
+    "TD Acc.": "TD_Acc",
+    "TD Def.": "TD_Def",
+    "Sub. Avg.": "Sub_Avg",
+    "Height": "Height",
+    "Weight": "Weight",
+    "Reach": "Reach",
+    "STANCE": "Stance",
+    "DOB": "DOB",
+}
+BOUT_LABELS = {
+    "Method": "Method",
+    "Round": "Round",
+    "Time": "Time",
+    "Time format": "Time Format",
+    "Referee": "Referee",
+    "Details": "Details",
+}
+
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
