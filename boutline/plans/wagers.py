@@ -178,7 +178,8 @@ def bankroll_path(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "bankroll_growth",
-    views("clean", f"{_SETTLED} SELECT strategy, bout_id, round(sum(ln(1 + ret)) OVER (PARTITION BY strategy ORDER BY bout_id ROWS UNBOUNDED PRECEDING), 6) AS log_growth FROM settled"),
+    views("clean", f"{_SETTLED} SELECT strategy, bout_id, round(sum(ln(1 + ret)) OVER (PARTITION BY strategy ORDER BY bout_id ROWS UNBOUNDED PRECEDING), 4) AS log_growth FROM settled"),
+    places=4,
 )
 def bankroll_growth(spark: SparkSession, sf: str) -> DataFrame:
     """One bankroll per strategy over all bouts, as logarithm of its growth."""
