@@ -165,6 +165,9 @@ class LiveFeatures:
             return  # finished before the restart
         prev = last["version"]
         version = 0 if prev is None else prev + 1
+        # stored first: every action on the micro-batch itself would run its sources and joins again
+        batch.write.mode("overwrite").parquet(self._path("incoming", version))
+        batch = self._read("incoming", version)
         newest = batch.agg(F.max("ts").cast("timestamp")).first()[0]
         seen = [x for x in (newest, last["newest"]) if x is not None]
         newest = max(seen) if seen else None
