@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.llm import mixing
+from boutline.llm import mixing, quality, sharding, topk
 from boutline.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +24,51 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+SHARDS = 24
+
+
+@query("op1_reshard")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents moved from shards by source (uneven) to 24 shards of equal bytes, read back from the new files."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit(""))), F.lit(SHARDS))
+    plan = sharding.reshard(docs.select("doc_id", "text", old.cast("int").alias("old_shard")), F.col("old_shard"), SHARDS, SHARDS)
+    files = sharding.rewrite(plan, only=list(range(SHARDS)))
+    return files.select(
+        "doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "old_shard",
+    )
+
+
 @query("op8_mixing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document when sources are mixed 5:2:1 to 150 % of the corpus."""
     return mixing.mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    "op2_topk",
+    """WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS t
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.t, c.t), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one by integer inner product."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.whole_numbers("embedding").alias("terms"))
+    return topk.top_k(vectors, F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)))
+
+
+@query("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    out = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    stats = out.columns[-2]
+    s = F.col(stats)
+    return out.select(
+        "doc_id", *[s[c].alias(c) for c in quality.BASE], quality.base_failed(stats).alias("base_failed"), "kept",
+        *[s[c].alias(c) for c in quality.MORE],
+    )

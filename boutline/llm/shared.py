@@ -73,7 +73,7 @@ def prefix_sums(
     totals = totals.withColumn("_seg_before", F.coalesce(F.sum("_seg_sum").over(before), F.lit(0).cast("long"))).drop("_seg_sum")
     inner = Window.partitionBy(*line, seg).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        df.join(totals, [*line, seg])
+        df.join(totals.hint("shuffle_hash"), [*line, seg])  # totals: a few numbers per segment
         .withColumn(out, F.col("_seg_before") + F.coalesce(F.sum(amount).over(inner), F.lit(0).cast("long")))
         .drop("_seg_before")
     )
