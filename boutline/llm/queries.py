@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.llm import mixing, quality, sharding, topk
+from boutline.llm import mixing, quality, sharding, topk, warc
 from boutline.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_warc")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to WARC archives and read back."""
+    records, _ = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 @query("op8_mixing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document when sources are mixed 5:2:1 to 150 % of the corpus."""
