@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.llm import mixing, quality, sharding, topk, warc
+from boutline.llm import mixing, packing, quality, sharding, tokenfile, topk, warc
 from boutline.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+@query("op7_tokenfile")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document written to range-coded files and read back."""
+    return tokenfile.read_files(tokenfile.write_files(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 @query("op8_mixing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document when sources are mixed 5:2:1 to 150 % of the corpus."""
@@ -79,3 +85,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[s[c].alias(c) for c in quality.BASE], quality.base_failed(stats).alias("base_failed"), "kept",
         *[s[c].alias(c) for c in quality.MORE],
     )
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces packed into sequences of at most 1024 tokens."""
+    return packing.packed_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
