@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.llm import mixing, packing, quality, sharding, simhash, tokenfile, topk, warc
+from boutline.llm import lmscore, mixing, packing, quality, sharding, simhash, tokenfile, topk, warc
 from boutline.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_lmscore")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under an interpolated bigram model of the training documents."""
+    return lmscore.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces packed into sequences of at most 1024 tokens."""
