@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from boutline.llm.shared import SPACE, WORD, fresh, let, stage, text_of
 
 WINDOW = 8
-SYMBOLS = "#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_chars_seen", "n_lines", "n_upper", "n_digits", "n_marks"]
 FEATURES = {
@@ -72,31 +71,34 @@ def _dup_lines(text: Column) -> Column:
 
 
 def with_stats(docs: DataFrame) -> DataFrame:
-    """``docs`` with a struct column of the counts in ``BASE`` and ``MORE``; its name is returned by ``stats_name``.
+    """``docs`` with one more column at the end: a struct of the counts in ``BASE`` and ``MORE``, see ``stat``.
 
-    A null text counts as empty, and all its counts are 0.
+    A null text counts as empty, and all its counts are 0. The struct comes out of a generator, so that filters and
+    several uses of it do not compute it anew.
     """
     (name,) = fresh(docs, "text_stats")
     text = text_of()
     only = lambda keep: F.length(F.regexp_replace(text, keep, "")).cast("long")
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    counted = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeats(w).cast("long").alias("r")))
-    out = docs.withColumn(name, counted)
-    return out.withColumn(
-        name,
-        F.struct(
-            F.col(name)["n"].alias("n_words"),
-            only(SPACE).alias("word_chars"),
-            only("[^#*$%&|<>]+").alias("n_symbols"),
-            _dup_lines(text).cast("long").alias("n_dup_lines"),
-            F.col(name)["r"].alias("n_repeat_words"),
-            F.length(text).cast("long").alias("n_chars_seen"),
-            F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
-            only("[^A-Z]+").alias("n_upper"),
-            only("[^0-9]+").alias("n_digits"),
-            only("[^!?;:\"()]+").alias("n_marks"),
-        ),
+    counted = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeats(w).cast("long").alias("n_repeat_words")))
+    stats = F.struct(
+        counted.alias("by_word"),
+        only(SPACE).alias("word_chars"),
+        only("[^#*$%&|<>]+").alias("n_symbols"),
+        _dup_lines(text).cast("long").alias("n_dup_lines"),
+        F.length(text).cast("long").alias("n_chars_seen"),
+        F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
+        only("[^A-Z]+").alias("n_upper"),
+        only("[^0-9]+").alias("n_digits"),
+        only("[^!?;:\"()]+").alias("n_marks"),
     )
+    return docs.select("*", F.explode(F.array(stats)).alias(name))
+
+
+def stat(stats: str, name: str) -> Column:
+    """One of the counts in the column ``stats``."""
+    s = F.col(stats)
+    return s["by_word"][name] if name in ("n_words", "n_repeat_words") else s[name]
 
 
 def stats_name(df: DataFrame) -> str:
@@ -104,8 +106,8 @@ def stats_name(df: DataFrame) -> str:
 
 
 def base_failed(stats: str) -> Column:
-    s = F.col(stats)
-    return (s["n_words"] < 20) | (100 * s["n_repeat_words"] > 30 * s["n_words"])
+    n = stat(stats, "n_words")
+    return (n < 20) | (100 * stat(stats, "n_repeat_words") > 30 * n)
 
 
 @dataclass(frozen=True)
@@ -146,7 +148,7 @@ class DecisionList:
 
 def _on(sql: str, stats: str) -> str:
     for n in BASE + MORE:
-        sql = sql.replace(n, f"`{stats}`.{n}")
+        sql = sql.replace(n, f"`{stats}`." + ("by_word." if n in ("n_words", "n_repeat_words") else "") + n)
     return sql
 
 
@@ -251,3 +253,9 @@ def judge(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     stats = stats_name(out)
     (kept,) = fresh(out, "kept")
     return out.withColumn(kept, ~base_failed(stats) & rules.verdict(stats))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that are kept, as they are."""
+    out = judge(docs, labels, **how)
+    return out.where(F.col(out.columns[-1])).select(*docs.columns)

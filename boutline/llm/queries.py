@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from boutline.llm import lmscore, mixing, packing, quality, secrets, sharding, simhash, tokenfile, topk, warc
 from boutline.llm.shared import table
 
@@ -98,10 +99,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     out = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     stats = out.columns[-2]
-    s = F.col(stats)
     return out.select(
-        "doc_id", *[s[c].alias(c) for c in quality.BASE], quality.base_failed(stats).alias("base_failed"), "kept",
-        *[s[c].alias(c) for c in quality.MORE],
+        "doc_id", *[quality.stat(stats, c).alias(c) for c in quality.BASE], quality.base_failed(stats).alias("base_failed"), "kept",
+        *[quality.stat(stats, c).alias(c) for c in quality.MORE],
     )
 
 
@@ -115,3 +115,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces packed into sequences of at most 1024 tokens."""
     return packing.packed_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
