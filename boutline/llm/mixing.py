@@ -18,7 +18,7 @@ from boutline.llm.shared import WORD, prefix_sums, same, segment_count, stage
 POINTS = 2**31
 GOLDEN = 1327217885  # the odd whole number next to 2**31 / 1.618...
 CELL_BITS = 19  # points are looked up by their upper 12 bits
-MARGIN = 32  # slots beyond the need of each source; covers the sequence's discrepancy
+MARGIN = 16  # slots beyond the need of each source; covers the sequence's discrepancy
 
 
 @dataclass
@@ -131,7 +131,11 @@ def mix(
         .withColumn("chunk", F.expr(f"slot div {chunk}"))
         .withColumn("one", F.lit(1).cast("long"))
     )
-    slots = prefix_sums(slots, ["sid"], "chunk", ["slot"], "one", "rank").where("rank < need")
+    # a source has some slots more than it needs: they are left out evenly over the schedule
+    have = slots.groupBy("sid").agg(F.sum("one").alias("have"))
+    ranked = prefix_sums(slots, ["sid"], "chunk", ["slot"], "one", "_rank").join(have, "sid")
+    nth = lambda r: F.expr(f"CAST((CAST({r} AS DECIMAL(19, 0)) * CAST(need AS DECIMAL(19, 0))) div have AS BIGINT)")
+    slots = ranked.withColumn("rank", nth("_rank")).where(F.col("rank") < nth("(_rank + 1)"))
     slots = (
         slots.withColumn("block", F.expr("rank % pass_blocks"))
         .withColumn("_before", F.expr("rank div pass_blocks") * F.col("_size") + F.col("block") * block)

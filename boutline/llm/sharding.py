@@ -96,9 +96,9 @@ def _cuts(flows: list[list[int]]) -> Column:
             continue
         inner = F.when(F.lit(False), F.lit(0))
         for at, j in reversed(runs[1:]):
-            inner = inner.when(F.col("_at") >= F.lit(at), F.lit(j))
-        case = case.when(F.col("_old") == old, inner.otherwise(F.lit(runs[0][1])))
-    return case.otherwise(F.col("_old"))
+            inner = inner.when(F.col("__at") >= F.lit(at), F.lit(j))
+        case = case.when(F.col("__old") == old, inner.otherwise(F.lit(runs[0][1])))
+    return case.otherwise(F.col("__old"))
 
 
 def _in_proportion(parts: list[int], total: int) -> list[int]:
@@ -115,21 +115,21 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, capacities: list[int
 
     Sizes are UTF-8 bytes plus 8 a row; null texts have none. Capacities are shares: they are scaled to the corpus.
     Rows that equal each other may land in different shards; null ids come first on their line; an empty table gives an
-    empty plan. The rows get ``size``, ``shard`` and ``slot``, gapless from 0 in the shard.
+    empty plan. Columns whose names begin with two underscores are reserved. The rows get ``size``, ``shard`` and ``slot``, gapless from 0 in the shard.
     """
     kept = [c for c in docs.columns if c.lower() not in ("size", "shard", "slot")]  # replaced by the results
-    docs = docs.select(*kept, F.coalesce(old_shard, F.lit(0)).cast("int").alias("_old"), (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("_size"))
-    level = F.floor(F.log2("_size") * 4).cast("int")
-    per = docs.groupBy("_old", level.alias("_level")).agg(F.sum("_size").alias("s"), F.count("*").alias("n")).collect()  # shards x some 200 levels
+    docs = docs.select(*kept, F.coalesce(old_shard, F.lit(0)).cast("int").alias("__old"), (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("__bytes"))
+    level = F.floor(F.log2("__bytes") * 4).cast("int")
+    per = docs.groupBy("__old", level.alias("__level")).agg(F.sum("__bytes").alias("s"), F.count("*").alias("n")).collect()  # shards x some 200 levels
     shares = [1] * capacities if isinstance(capacities, int) else list(capacities)
-    supply = [sum(r["s"] for r in per if r["_old"] == i) for i in range(n_old)]
+    supply = [sum(r["s"] for r in per if r["__old"] == i) for i in range(n_old)]
     total = sum(supply)
     capacity = _in_proportion(shares, total)
     flow = min_cost_flow(supply, capacity)
 
     bytes_by_level: dict[int, int] = {}
     for r in per:
-        bytes_by_level[r["_level"]] = bytes_by_level.get(r["_level"], 0) + r["s"]
+        bytes_by_level[r["__level"]] = bytes_by_level.get(r["__level"], 0) + r["s"]
     bound, below = 0, 0
     for lv in sorted(bytes_by_level):
         bound, below = lv + 1, below + bytes_by_level[lv]
@@ -137,42 +137,42 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, capacities: list[int
             break
     rows = sum(r["n"] for r in per)
     pieces = segment_count(rows)
-    lines = docs.withColumn("_class", (level < bound).cast("int")).withColumn("_seg", F.pmod(F.xxhash64("doc_id"), F.lit(pieces)))
-    keys, order = ["_old", "_class", "_seg"], ["doc_id", "_size", "_mark"]
-    lines = lines.withColumn("_mark", F.xxhash64("text"))
+    lines = docs.withColumn("__class", (level < bound).cast("int")).withColumn("__seg", F.pmod(F.xxhash64("doc_id"), F.lit(pieces)))
+    keys, order = ["__old", "__class", "__seg"], ["doc_id", "__bytes", "__mark"]
+    lines = lines.withColumn("__mark", F.xxhash64("text"))
     narrow = lines.select(*keys, *order)
-    upto = W.partitionBy("_old", "_class").orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
-    starts = narrow.groupBy(*keys).agg(F.sum("_size").alias("_sum"))
-    starts = starts.withColumn("_start", F.coalesce(F.sum("_sum").over(upto), F.lit(0).cast("long"))).drop("_sum")
+    upto = W.partitionBy("__old", "__class").orderBy("__seg").rowsBetween(W.unboundedPreceding, -1)
+    starts = narrow.groupBy(*keys).agg(F.sum("__bytes").alias("__sum"))
+    starts = starts.withColumn("__start", F.coalesce(F.sum("__sum").over(upto), F.lit(0).cast("long"))).drop("__sum")
 
     def placed(df: DataFrame, known: DataFrame, shard: Column) -> DataFrame:
         """A row's middle byte on its line says where it goes; ``_rank`` numbers the rows of a segment."""
         inside = W.partitionBy(*keys).orderBy(*order)
-        before = F.coalesce(F.sum("_size").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+        before = F.coalesce(F.sum("__bytes").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
         df = df.join(known.hint("shuffle_hash"), keys)
-        df = df.withColumns({"_at": F.col("_start") + before + F.expr("_size div 2"), "_rank": F.row_number().over(inside)})
+        df = df.withColumns({"__at": F.col("__start") + before + F.expr("__bytes div 2"), "__rank": F.row_number().over(inside)})
         return df.withColumn("shard", shard.cast("int"))
 
-    big_supply = [sum(r["s"] for r in per if r["_old"] == i and r["_level"] >= bound) for i in range(n_old)]
+    big_supply = [sum(r["s"] for r in per if r["__old"] == i and r["__level"] >= bound) for i in range(n_old)]
     big_flow = [_in_proportion(f, s) for f, s in zip(flow, big_supply, strict=True)]
-    big = placed(narrow.where("_class = 0"), starts, _cuts(big_flow))
-    there = {r["shard"]: r["s"] for r in big.groupBy("shard").agg(F.sum("_size").alias("s")).collect()}
+    big = placed(narrow.where("__class = 0"), starts, _cuts(big_flow))
+    there = {r["shard"]: r["s"] for r in big.groupBy("shard").agg(F.sum("__bytes").alias("s")).collect()}
     room = [max(0, c - there.get(j, 0)) for j, c in enumerate(capacity)]
     small_supply = [s - b for s, b in zip(supply, big_supply, strict=True)]
     # large documents may overfill a shard or leave more room than there is to fill
     small_flow = min_cost_flow(small_supply, _in_proportion(room if sum(room) else shares, sum(small_supply)))
 
-    shard = F.when(F.col("_class") == 0, _cuts(big_flow)).otherwise(_cuts(small_flow))
-    groups = placed(narrow, starts, shard).groupBy(*keys, "shard").agg(F.count("*").alias("_n"), F.min("_rank").alias("_first"))
+    shard = F.when(F.col("__class") == 0, _cuts(big_flow)).otherwise(_cuts(small_flow))
+    groups = placed(narrow, starts, shard).groupBy(*keys, "shard").agg(F.count("*").alias("__n"), F.min("__rank").alias("__first"))
     earlier = W.partitionBy("shard").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
-    groups = groups.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long")) - F.col("_first"))
-    bases = groups.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("shard", "_base"))).alias("_bases"))
+    groups = groups.withColumn("__base", F.coalesce(F.sum("__n").over(earlier), F.lit(0).cast("long")) - F.col("__first"))
+    bases = groups.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("shard", "__base"))).alias("__bases"))
     rows_out = placed(lines, starts.join(bases, keys), shard)
-    rows_out = rows_out.withColumn("slot", (F.element_at("_bases", F.col("shard")) + F.col("_rank")).cast("long"))
+    rows_out = rows_out.withColumn("slot", (F.element_at("__bases", F.col("shard")) + F.col("__rank")).cast("long"))
     moved = [(i, j, f[j]) for fl in (big_flow, small_flow) for i, f in enumerate(fl) for j in range(len(f)) if i != j and f[j]]
     touched = sorted({k for i, j, _ in moved for k in (i, j) if k < len(capacity)})
-    keep = [c for c in rows_out.columns if c not in {*keys, "_mark", "_start", "_bases", "_at", "_rank"}]
-    return Plan(rows_out.select(*keep).withColumnRenamed("_size", "size"), sum(x for *_, x in moved), touched)
+    keep = [c for c in rows_out.columns if c not in {*keys, "__mark", "__start", "__bases", "__at", "__rank"}]
+    return Plan(rows_out.select(*keep).withColumnRenamed("__bytes", "size"), sum(x for *_, x in moved), touched)
 
 
 def rewrite(plan: Plan, folder: str | None = None, only: list[int] | None = None) -> DataFrame:
