@@ -108,15 +108,18 @@ def bankroll_path(
     Stakes are shares of the current bankroll, so the path is a running product. Unless ``skew`` says that
     no bankroll is large, it is taken inside segments of consecutive bouts; growth and extremes of whole
     segments are scanned on their own and joined back, so no task holds a whole bankroll. ``log_growth``
-    is the same path as a sum of logarithms, which cannot overflow on very long runs.
+    is the same path as a sum of logarithms, which cannot overflow on very long runs; a total loss makes it
+    minus infinity from then on.
     """
     one = F.lit(1.0)
-    growth, log = 1 + F.col("ret"), F.log(1 + F.col("ret"))
+    growth = 1 + F.col("ret")
+    log = F.when(growth > 0, F.log(growth)).when(growth.isNotNull(), F.lit(float("-inf")))  # ruin stays ruin
     segmented = skew != NO_SKEW
-    part = [*keys, "_seg"] if segmented else list(keys)
+    part = ["_key", "_seg"] if segmented else list(keys)
     rows = settled
-    if segmented:
-        rows = rows.withColumn("_seg", F.floor(F.col("bout_id") / segment_rows)).repartition(*part)
+    if segmented:  # keys as one struct: null keys meet as well
+        cut = F.coalesce(F.floor(F.col("bout_id") / segment_rows), F.lit(-1))
+        rows = rows.withColumns({"_key": F.struct(*keys), "_seg": cut}).repartition(*part)
     w = Window.partitionBy(*part).orderBy("bout_id")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     local = rows.select(
@@ -130,7 +133,7 @@ def bankroll_path(
         totals = local.groupBy(*part).agg(
             F.product(growth).alias("_total"), F.max("_g").alias("_high"), F.min("_g").alias("_low"), F.sum(log).alias("_logs")
         )
-        earlier = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = Window.partitionBy("_key").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
         carried = totals.withColumn("_c", F.coalesce(F.product("_total").over(earlier), one))
         carried = carried.select(
             *part,

@@ -99,6 +99,11 @@ def _combine(run: Run, carried: Column, local: Column) -> Column:
     return F.coalesce(local, carried)
 
 
+def _together(keys: Sequence[str]) -> Column:
+    """The keys as one value that is never null: fields of equal structs may be null, so null keys meet as well."""
+    return F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -124,13 +129,15 @@ def running(
     if skew.everyone:
         cut = df.withColumn("_seg", segment)
     else:
-        flag = F.broadcast(skew.heavy.withColumn("_heavy", F.lit(True)))  # at most MAX_LISTED_KEYS rows
+        flag = skew.heavy.select(_together(keys).alias("_key"), F.lit(True).alias("_heavy"))
         cut = (
-            df.join(flag, keys, "left")
+            df.withColumn("_key", _together(keys))
+            .join(F.broadcast(flag), "_key", "left")  # at most MAX_LISTED_KEYS rows
             .withColumn("_seg", F.when(F.col("_heavy"), segment).otherwise(F.lit(None)))
-            .drop("_heavy")
+            .drop("_heavy", "_key")
         )
-    part = [*keys, "_seg"]
+    cut = cut.withColumn("_key", _together(keys))
+    part = ["_key", "_seg"]
     # Without this, rows already partitioned by the keys alone would count as partitioned by (keys, segment)
     # and all segments of a heavy key would stay in one task.
     cut = cut.repartition(*part)
@@ -139,7 +146,7 @@ def running(
         .groupBy(*part)
         .agg(*[_reduce(r, order).alias(f"_t_{r.name}") for r in runs])
     )
-    w_seg = Window.partitionBy(*keys).orderBy("_seg")
+    w_seg = Window.partitionBy("_key").orderBy("_seg")
     carried = totals.select(*part, *[_carry(r, f"_t_{r.name}", w_seg).alias(f"_c_{r.name}") for r in runs])
     w_in = Window.partitionBy(*part).orderBy(order)
     local = cut.join(carried, part, "left")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutline.operators.scan import ALL_KEYS, Run, running
 
-PAIRWISE_COLUMNS = 16
+FLAT = 1e-10  # a variance below this share of the second moment is rounding
 CLIP = 1e-15
 
 
@@ -44,37 +45,45 @@ def prediction_report(scored: DataFrame, bouts: DataFrame) -> DataFrame:
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Absolute correlation of every pair (earlier column, later column) as rows.
+    """Absolute correlation of every pair (earlier column, later column) as rows, for any number of columns.
 
-    One pass either way: few columns use plain aggregates, many use the vector summary of Spark ML.
+    Each pair uses the rows where both columns have a number. Every task reduces its rows to sums per pair (matrix
+    products over Arrow batches of centred values), so only pairs are shuffled. Without variance ``r`` is NULL.
     """
-    spark = df.sparkSession
-    pairs = list(combinations(range(len(cols)), 2))
-    if len(cols) <= PAIRWISE_COLUMNS:
-        aggs = [F.abs(F.corr(cols[i], cols[j])).alias(f"_{i}_{j}") for i, j in pairs]
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-                    F.lit(i).alias("pos_a"), F.lit(j).alias("pos_b"), F.col(f"_{i}_{j}").alias("r"),
-                )
-                for i, j in pairs
-            ]
-        )
-        return df.agg(*aggs).select(F.inline(rows))
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="skip").transform(df.select(*cols))
-    m = Correlation.corr(vec, "_v").first()[0].toArray()  # columns x columns
-    out = [(cols[i], cols[j], i, j, float(abs(m[i, j]))) for i, j in pairs]
-    return spark.createDataFrame(out, "col_a string, col_b string, pos_a int, pos_b int, r double")
+    cols = list(cols)
+    numbers = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"_{i}") for i, c in enumerate(cols)])
+    centre = [x or 0.0 for x in numbers.agg(*[F.avg(c) for c in numbers.columns]).first()]
+    i, j = np.triu_indices(len(cols), 1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, ss, p = np.zeros((4, len(cols), len(cols)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - centre
+            known = ~np.isnan(x)
+            x, known = np.where(known, x, 0.0), known.astype(float)
+            n += known.T @ known
+            s += x.T @ known
+            ss += (x * x).T @ known
+            p += x.T @ x
+        parts = {"pos_a": i.astype(np.int32), "pos_b": j.astype(np.int32), "n": n[i, j], "x": s[i, j], "y": s[j, i], "xx": ss[i, j], "yy": ss[j, i], "xy": p[i, j]}
+        yield pa.RecordBatch.from_pydict(parts)
+
+    schema = "pos_a int, pos_b int, n double, x double, y double, xx double, yy double, xy double"
+    total = numbers.mapInArrow(sums, schema).groupBy("pos_a", "pos_b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    spread = lambda one, two: F.expr(f"CASE WHEN n * {two} - {one} * {one} > {FLAT} * n * {two} THEN n * {two} - {one} * {one} END")
+    r = F.least(F.lit(1.0), F.abs(F.expr("n * xy - x * y")) / F.sqrt(spread("x", "xx")) / F.sqrt(spread("y", "yy")))
+    r = F.when(spread("x", "xx").isNotNull() & spread("y", "yy").isNotNull(), r)
+    names = F.array(*[F.lit(c) for c in cols])
+    return total.select(F.get(names, F.col("pos_a")).alias("col_a"), F.get(names, F.col("pos_b")).alias("col_b"), "pos_a", "pos_b", r.alias("r"))
 
 
 def prune_correlated(pairs: DataFrame, limit: float = 0.95) -> DataFrame:
-    """Later columns with their largest correlation to an earlier one and whether they are dropped."""
+    """Later columns with their largest correlation to an earlier one and whether they are dropped.
+
+    Columns without variance have no correlation; they stay.
+    """
     return pairs.groupBy(F.col("col_b").alias("column"), F.col("pos_b").alias("position")).agg(
-        F.max("r").alias("max_r"), (F.max("r") > limit).alias("dropped")
+        F.max("r").alias("max_r"), F.coalesce(F.max("r") > limit, F.lit(False)).alias("dropped")
     )
 
 
@@ -83,6 +92,12 @@ def kept_columns(pairs: DataFrame, cols: Sequence[str], limit: float = 0.95) ->
     return [c for c in cols if c not in dropped]
 
 
+def label_correlation(df: DataFrame, cols: Sequence[str], label: Column) -> DataFrame:
+    """(feature, importance): absolute correlation of every column with a label."""
+    pairs = correlation_pairs(df.select(*cols, label.cast("double").alias("_label")), [*cols, "_label"])
+    return pairs.where(F.col("col_b") == "_label").select(F.col("col_a").alias("feature"), F.col("r").alias("importance"))
+
+
 def low_importance(importance: DataFrame, share: float = 0.15) -> DataFrame:
     """Features strictly below the given percentile of importance; one row per feature."""
     cut = importance.agg(F.percentile("importance", F.lit(share))).scalar()

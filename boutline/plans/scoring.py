@@ -77,13 +77,15 @@ def rating_top(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _POOLED = _REPLAY.replace("x.method AS pool", "'all' AS pool").replace("method AS pool", "'all' AS pool").replace("SELECT method, bout_id", "SELECT 'all', bout_id").replace("PARTITION BY x.method ORDER", "ORDER")
+for _cte in ("b AS (", "rated AS (", "rated_sides AS ("):  # computed once, not per use
+    _POOLED = _POOLED.replace("\n" + _cte, "\n" + _cte.replace("AS (", "AS MATERIALIZED ("))
 
 
 @query(
     "rated_features",
-    views("feats", f"""{_POOLED},
+    views("hist", f"""{_POOLED},
 opp AS (SELECT *, avg(opp_pre) OVER {PRIOR} AS opp_elo FROM rated_sides),
-fit AS (SELECT bout_id FROM feats GROUP BY bout_id HAVING min(prior_bouts) >= 2 AND count(dob) = 2 AND max(outcome) <> 'draw')
+fit AS (SELECT bout_id FROM hist GROUP BY bout_id HAVING min(n) >= 3 AND count(dob) = 2 AND max(outcome) <> 'draw')
 SELECT r.bout_id, round(a.own_pre, 4) AS red_elo, round(c.own_pre, 4) AS blue_elo, round(a.own_pre - c.own_pre, 4) AS elo_oppdiff,
    round(a.opp_elo, 4) AS red_opp_elo, round(c.opp_elo, 4) AS blue_opp_elo, round(a.opp_elo - c.opp_elo, 4) AS opp_elo_oppdiff
 FROM rated r JOIN fit USING (bout_id) JOIN opp a ON a.bout_id = r.bout_id AND a.entity = r.red JOIN opp c ON c.bout_id = r.bout_id AND c.entity = r.blue""", recursive=True),
@@ -247,6 +249,5 @@ def low_importance(spark: SparkSession, sf: str) -> DataFrame:
     """Features whose strength (correlation with the result) is below the 15th percentile."""
     num = numeric_columns(spark, sf).where(F.col("winner").isNotNull())
     label = (F.col("winner") == F.col("red")).cast("double")
-    row = num.agg(*[F.abs(F.corr(F.col(c), label)).alias(c) for c in _COLS])
-    imp = row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in _COLS])))
+    imp = sm.label_correlation(num, _COLS, label)
     return sm.low_importance(imp)

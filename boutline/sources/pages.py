@@ -12,16 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HREF = r'href="([^"]*)"'
-LABEL = r'<i class="[^"]*label[^"]*">\s*([^<:]*):?\s*</i>'
-LABELLED = r'<i class="[^"]*label[^"]*">\s*[^<:]*:?\s*</i>\s*([^<]*)'
+LABEL = r'(?s)<i class="[^"]*(?:label|title)[^"]*">(.*?)</i>'
+LABELLED = (
+    r'(?s)<i class="[^"]*(?:label|title)[^"]*">.*?</i>(.*?)'
+    r'(?=<i class="[^"]*(?:label|title)|</?(?:p|li|ul|div|section|table|body|h[1-6])[\s>]|$)'
+)
 PERSON = r'(?s)<div class="[^"]*person[^"]*">.*?</div>'
-STATUS = r'<i class="[^"]*status[^"]*">\s*([^<]*?)\s*</i>'
-PERSON_NAME = r'<h3 class="[^"]*name[^"]*">\s*([^<]*?)\s*</h3>'
+STATUS = r'(?s)<i class="[^"]*status[^"]*">(.*?)</i>'
+PERSON_NAME = r'(?s)<h3 class="[^"]*name[^"]*">(.*?)</h3>'
 TABLE = r"(?s)<table(?:\s[^>]*)?>(.*?)</table>"
-HEAD_CELL = r"(?s)<th(?:\s[^>]*)?>\s*(.*?)\s*</th>"
+HEAD_CELL = r"(?s)<th(?:\s[^>]*)?>(.*?)</th>"
 BODY_CELL = r"(?s)<td(?:\s[^>]*)?>(.*?)</td>"
 ROW = r"(?s)<tr(?:\s[^>]*)?>(.*?)</tr>"
-PARAGRAPH = r"(?s)<p(?:\s[^>]*)?>\s*(.*?)\s*</p>"
+PARAGRAPH = r"(?s)<p(?:\s[^>]*)?>(.*?)</p>"
 
 # fixed values: labels on entity and bout pages and the columns they fill
 ENTITY_LABELS = {
@@ -53,6 +56,15 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def inner_text(html: Column) -> Column:
+    """The text of an element with that of its children, trimmed."""
+    return F.regexp_replace(F.regexp_replace(html, "<[^>]*>", ""), r"^\s+|\s+$", "")
+
+
+def _texts(html: Column, pattern: str) -> Column:
+    return F.transform(_all(html, pattern), inner_text)
+
+
 def page_links(pages: DataFrame, token: str | None = None) -> DataFrame:
     """One row per link of a page, in page order; only links holding ``token`` when it is given."""
     links = pages.select("page_id", "url", F.posexplode(_all(F.col("html"), HREF)).alias("pos", "link"))
@@ -81,10 +93,12 @@ def expand_links(pages: DataFrame, start: DataFrame, tokens: list[str]) -> DataF
 
     Addresses are distinct at every level, so a page that many link to is read once.
     """
+    known = pages.select("page_id", "url")
     level = start.select("page_id", "url", "html")
     for token in tokens:
         links = page_links(level, token).select(absolute_link(F.col("url"), F.col("link")).alias("url")).distinct()
-        level = pages.join(links, "url", "left_semi").select("page_id", "url", "html")
+        found = known.join(links, "url", "left_semi").select("page_id")  # texts follow by number, only where needed
+        level = pages.select("page_id", "url", "html").join(found, "page_id", "left_semi")
     return level
 
 
@@ -96,7 +110,8 @@ def labelled_values(pages: DataFrame, names: Mapping[str, str]) -> DataFrame:
             F.arrays_zip(_all(F.col("html"), LABEL).alias("label"), _all(F.col("html"), LABELLED).alias("value"))
         ).alias("label", "value"),
     )
-    trimmed = pairs.select("page_id", *[F.regexp_replace(c, r"^\s+|\s+$", "").alias(c) for c in ("label", "value")])
+    label = F.regexp_replace(inner_text(F.col("label")), r"\s*:$", "")
+    trimmed = pairs.select("page_id", label.alias("label"), inner_text(F.col("value")).alias("value"))
     aggs = [F.max(F.when(F.col("label") == label, F.col("value"))).alias(name) for label, name in names.items()]
     return trimmed.groupBy("page_id").agg(*aggs)
 
@@ -105,7 +120,7 @@ def outcomes(pages: DataFrame) -> DataFrame:
     """Winner, loser and draw flag from the status of both persons of a page."""
     person = pages.select("page_id", F.explode(_all(F.col("html"), PERSON, 0)).alias("p"))
     person = person.select(
-        "page_id", F.regexp_extract("p", STATUS, 1).alias("status"), F.regexp_extract("p", PERSON_NAME, 1).alias("name")
+        "page_id", inner_text(F.regexp_extract("p", STATUS, 1)).alias("status"), inner_text(F.regexp_extract("p", PERSON_NAME, 1)).alias("name")
     )
     return person.groupBy("page_id").agg(
         F.max(F.when(F.col("status") == "W", F.col("name"))).alias("winner"),
@@ -124,10 +139,10 @@ def stat_tables(pages: DataFrame) -> DataFrame:
         "page_id",
         "table_no",
         F.posexplode(
-            F.arrays_zip(_all(F.col("t"), HEAD_CELL).alias("header"), _all(F.col("t"), BODY_CELL).alias("cell"))
+            F.arrays_zip(_texts(F.col("t"), HEAD_CELL).alias("header"), _all(F.col("t"), BODY_CELL).alias("cell"))
         ).alias("pos", "hc"),
     ).where(F.col("hc.header").isNotNull() & F.col("hc.cell").isNotNull())
-    texts = cells.select("page_id", "table_no", "pos", F.col("hc.header").alias("header"), _all(F.col("hc.cell"), PARAGRAPH).alias("ps"))
+    texts = cells.select("page_id", "table_no", "pos", F.col("hc.header").alias("header"), _texts(F.col("hc.cell"), PARAGRAPH).alias("ps"))
     sides = texts.select(
         "page_id",
         "table_no",
@@ -154,9 +169,8 @@ def history_rows(pages: DataFrame, columns: list[str]) -> DataFrame:
     out = []
     for i, name in enumerate(columns):
         cell = F.get("c", F.lit(i))
-        ps = _all(cell, PARAGRAPH)
-        bare = F.trim(F.regexp_replace(cell, "<[^>]*>", ""))
-        out.append(F.coalesce(F.get(ps, F.lit(0)), bare).alias(name))
+        ps = _texts(cell, PARAGRAPH)
+        out.append(F.coalesce(F.get(ps, F.lit(0)), inner_text(cell)).alias(name))
         out.append(F.get(ps, F.lit(1)).alias(f"{name}_opp"))
     return cells.select("page_id", "row_no", *out)
 

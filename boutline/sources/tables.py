@@ -94,8 +94,17 @@ def _bout_columns(paired: DataFrame) -> DataFrame:
 
 
 def bouts_from_events(events: DataFrame) -> DataFrame:
-    r, b = _corners(events)
-    return _bout_columns(r.join(b, F.col("bout_id") == F.col("_id")))
+    """Both corners of a bout meet in one pass over the events; a bout needs exactly one event of either corner."""
+    ev = events_with_k(events).withColumn("bout_id", F.shiftright("event_id", 1))
+    corner = lambda odd: F.col("event_id") % 2 == odd
+    of = lambda c, odd: F.max(F.when(corner(odd), F.col(c)))
+    # dealt out by bout first, one sort serves the whole aggregate
+    paired = ev.repartition("bout_id").groupBy("bout_id").agg(
+        F.count_if(corner(0)).alias("_reds"), F.count_if(corner(1)).alias("_blues"), of("ts", 0).alias("ts"),
+        of("user_id", 0).alias("red"), of("value", 0).alias("rv"), of("event_type", 0).alias("method"), of("k", 0).alias("rk"),
+        of("user_id", 1).alias("blue"), of("value", 1).alias("bv"), of("k", 1).alias("bk"),
+    )
+    return _bout_columns(paired.where("_reds = 1 AND _blues = 1"))
 
 
 def paired_stream(events: DataFrame, hours: int = 24) -> DataFrame:

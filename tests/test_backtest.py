@@ -126,6 +126,41 @@ def test_scores_and_pruning(spark):
         assert big[r["col_a"], r["col_b"]] == pytest.approx(r["r"], abs=1e-9)
 
 
+def test_pruning_with_constant_null_and_many_columns(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    data = rng.normal(5, 2, (300, 22))
+    data[:, 4] = data[:, 1] * 3 + 1
+    data[:, 2] = 0.1
+    data[rng.random(data.shape) < 0.15] = np.nan
+    data[:, 9] = np.nan
+    cols = [f"c{i}" for i in range(22)]
+    pdf = pd.DataFrame(data, columns=cols)
+    df = spark.createDataFrame([tuple(None if np.isnan(x) else float(x) for x in r) for r in data], ", ".join(f"{c} double" for c in cols))
+    want = pdf.corr().abs()
+    for width in (5, 22):
+        pairs = sm.correlation_pairs(df.repartition(3), cols[:width])
+        got = {(r["col_a"], r["col_b"]): r["r"] for r in pairs.collect()}
+        assert len(got) == width * (width - 1) // 2
+        for (a, b), r in got.items():
+            w = want.loc[a, b]
+            assert (r is None and np.isnan(w)) or ("c2" in (a, b) and r is None) or r == pytest.approx(w, abs=1e-9)
+        assert sm.kept_columns(pairs, cols[:width]) == [c for c in cols[:width] if c != "c4"]
+
+
+def test_ruin_stays_ruin(spark):
+    rows = [("s", i, r) for i, r in enumerate([0.5, -1.0, 0.5])] + [(None, i, 0.1) for i in range(20)]
+    df = spark.createDataFrame(rows, "strategy string, bout_id long, ret double")
+    path = bt.bankroll_path(df, segment_rows=2).collect()
+    assert len(path) == 23
+    ruined = {r["bout_id"]: (r["bankroll"], r["log_growth"]) for r in path if r["strategy"]}
+    assert ruined[0][0] == pytest.approx(1500.0) and ruined[1] == ruined[2] == (0.0, float("-inf"))
+    last = max((r for r in path if r["strategy"] is None), key=lambda r: r["bout_id"])
+    assert last["bankroll"] == pytest.approx(1000 * 1.1**20)
+
+
 def test_low_importance(spark):
     df = spark.createDataFrame([(f"f{i}", float(i)) for i in range(21)], "feature string, importance double")
     assert sorted(r["feature"] for r in sm.low_importance(df).collect()) == ["f0", "f1", "f2"]

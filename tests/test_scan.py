@@ -88,3 +88,12 @@ def test_segments_of_a_heavy_key_are_spread(spark):
     assert plan.count("REPARTITION_BY_COL") >= 1
     hot = out.where("key = 0").collect()
     assert all(r["n"] == r["seq"] // 3 for r in hot)
+
+
+@pytest.mark.parametrize("mode", ["heavy", "all"])
+def test_null_keys_keep_their_carry(spark, mode):
+    rows = [(None, i) for i in range(20)] + [("a", i) for i in range(5)]
+    df = spark.createDataFrame(rows, "key string, seq bigint")
+    skew = find_skew(df, ["key"], 10) if mode == "heavy" else ALL_KEYS
+    got = running(df, ["key"], "seq", [Run("n", "count", F.lit(1))], skew, segment=F.floor(F.col("seq") / 3)).collect()
+    assert sorted((r["key"] is None, r["seq"], r["n"]) for r in got) == sorted((k is None, i, i) for k, i in rows)

@@ -129,3 +129,23 @@ def test_mirrored_rows_are_dropped(spark):
     rows = [("a", "b", "e1", 1), ("b", "a", "e1", 2), ("a", "b", "e2", 3), ("b", "a", "e2", 4)]
     df = spark.createDataFrame(rows, "entity string, opponent string, event string, n int")
     assert sorted(r["n"] for r in longform.first_perspective(df, "event", ["n"]).collect()) == [1, 3]
+
+
+def test_nested_markup(spark):
+    html = """<div class="x-person"><i class="x-status"> W </i><h3 class="x-name"><a href="/p/1"> Al <b>Bo</b></a></h3></div>
+<div class="x-person"><i class="x-status">L</i><h3 class="x-name"><a>Cy</a></h3></div>
+<p><i class="text"><i class="x-label"> Method: </i> <i> KO/TKO </i></i><i class="text"><i class="x-label">Referee:</i> <span>D <b>E</b></span></i></p>
+<table><tr><th><b>KD</b></th></tr><tr><td><p><a>1</a></p><p> <i>0</i> </p></td></tr></table>"""
+    df = spark.createDataFrame([(1, html)], "page_id int, html string")
+    assert pages.outcomes(df).first().asDict() == {"page_id": 1, "winner": "Al Bo", "loser": "Cy", "draw": False}
+    v = pages.labelled_values(df, pages.BOUT_LABELS).first()
+    assert (v["Method"], v["Referee"], v["Round"]) == ("KO/TKO", "D E", None)
+    assert {(r["side"], r["header"]): r["value"] for r in pages.stat_tables(df).collect()} == {("red", "KD"): "1", ("blue", "KD"): "0"}
+
+
+def test_entity_labels(spark):
+    html = """<ul><li><i class="x-item-title x">Height:</i> 5' 11" </li><li><i class="x-item-title">STANCE:</i>
+ <b>Southpaw</b></li></ul>"""
+    df = spark.createDataFrame([(1, html)], "page_id int, html string")
+    v = pages.labelled_values(df, pages.ENTITY_LABELS).first()
+    assert (v["Height"], v["Stance"], v["Reach"]) == ("5' 11\"", "Southpaw", None)
