@@ -59,7 +59,20 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op6_warc")
+_DIGIT = "instr('0123456789abcdef', substr(x, CAST({0} AS BIGINT), 1)) - 1"
+_BASE32 = (
+    "list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + "
+    f"(((({_DIGIT.format('i * 5 // 4 + 1')}) * 16 + {_DIGIT.format('i * 5 // 4 + 2')}) >> (3 - CAST(i * 5 % 4 AS INTEGER))) & 31), 1)), 'string_agg', '')"
+)
+
+
+@query(
+    "op6_warc",
+    f"""WITH d AS (SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+h AS (SELECT *, max(page_id) OVER (PARTITION BY x, payload_bytes) AS head FROM d)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+   CASE WHEN page_id <> head THEN head END AS refers_to, url FROM h""",
+)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written to WARC archives and read back."""
     records, _ = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
