@@ -26,7 +26,7 @@ from boutline.llm.tokens import encode_documents, encoder, slices
 
 MAGIC = b"TKM1"
 BLOCK = 1 << 20
-LANES, LANE_IDS = 4096, 64  # most lanes of a block, fewest ids of a lane
+LANES, LANE_IDS = 8192, 64  # most lanes of a block, fewest ids of a lane
 HEAD = struct.Struct("<4sIIIIIII")  # magic, ids, lanes, vocabulary, documents' bytes, payload bytes, crc of ids, crc of what follows
 TOTAL_BITS = 27
 TOTAL = 1 << TOTAL_BITS

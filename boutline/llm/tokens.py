@@ -8,6 +8,7 @@ as well; texts with other runs of white space go to the library whole.
 from __future__ import annotations
 
 import os
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +49,10 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> np.ndarray:
         if len(self.known) > PIECES_KEPT:
             self._reset()
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        if new:
+        place = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        at = np.flatnonzero(place < 0)
+        if len(at):
+            new = [pieces[i] for i in at.tolist()]
             if self.leading:
                 spelled = [p[1:] if p[:1] == "\x01" else p if p[:1] == "\n" else " " + p for p in new]
             else:
@@ -60,17 +62,18 @@ class Encoder:
             ends = self.start[-1] + np.cumsum(lengths)
             while ends[-1] > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[self.start[-1] : ends[-1]] = np.fromiter((x for c in coded for x in c), np.int32, int(lengths.sum()))
-            first = len(self.start) - 1
+            self.ids[self.start[-1] : ends[-1]] = np.fromiter(chain.from_iterable(coded), np.int32, int(lengths.sum()))
+            place[at] = len(self.start) - 1 + np.arange(len(at))
             self.start = np.concatenate([self.start, ends])
-            known.update(zip(new, range(first, first + len(new)), strict=True))
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+            self.known.update(zip(new, place[at].tolist(), strict=True))
+        return place
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.leading:
             texts = pc.binary_join_element_wise("\x01", pc.replace_substring(texts, "\n", " \n"), "")
         else:
-            texts = pc.replace_substring(texts, "\n", " ")
+            # a letter and the mark after it are never one token here
+            texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), r"(\p{L})([.,])", r"\1 \2")
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
         place = self._learn(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
