@@ -108,10 +108,10 @@ def bankroll_path(
     Stakes are shares of the current bankroll, so the path is a running product. Unless ``skew`` says that
     no bankroll is large, it is taken inside segments of consecutive bouts; growth and extremes of whole
     segments are scanned on their own and joined back, so no task holds a whole bankroll. ``log_growth``
-    is the same path as a sum of logarithms, which cannot overflow on very long runs; a total loss makes it
-    minus infinity from then on.
+    is the same path as a sum of logarithms, which cannot overflow on very long runs, ``log_high`` and ``log_low``
+    are its extremes; a total loss makes it minus infinity from then on.
     """
-    one = F.lit(1.0)
+    one, zero = F.lit(1.0), F.lit(0.0)
     growth = 1 + F.col("ret")
     log = F.when(growth > 0, F.log(growth)).when(growth.isNotNull(), F.lit(float("-inf")))  # ruin stays ruin
     segmented = skew != NO_SKEW
@@ -128,23 +128,30 @@ def bankroll_path(
         F.coalesce(F.product(growth).over(before), one).alias("_g_before"),
         F.sum(log).over(upto).alias("_log"),
     )
-    extremes = local.select("*", F.max("_g").over(upto).alias("_gmax"), F.min("_g").over(upto).alias("_gmin"))
+    running = lambda f, c: f(c).over(upto)
+    extremes = local.withColumns(
+        {"_gmax": running(F.max, "_g"), "_gmin": running(F.min, "_g"), "_lmax": running(F.max, "_log"), "_lmin": running(F.min, "_log")}
+    )
     if segmented:
         totals = local.groupBy(*part).agg(
-            F.product(growth).alias("_total"), F.max("_g").alias("_high"), F.min("_g").alias("_low"), F.sum(log).alias("_logs")
-        )
+            F.product(growth).alias("_total"), F.max("_g").alias("_high"), F.min("_g").alias("_low"), F.sum(log).alias("_logs"),
+            F.max("_log").alias("_lhigh"), F.min("_log").alias("_llow"),
+        )
         earlier = Window.partitionBy("_key").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
         carried = totals.withColumn("_c", F.coalesce(F.product("_total").over(earlier), one))
+        carried = carried.withColumn("_clog", F.coalesce(F.sum("_logs").over(earlier), F.lit(0.0)))
         carried = carried.select(
             *part,
             "_c",
-            F.coalesce(F.sum("_logs").over(earlier), F.lit(0.0)).alias("_clog"),
+            "_clog",
+            F.max(F.col("_clog") + F.col("_lhigh")).over(earlier).alias("_ltop"),
+            F.min(F.col("_clog") + F.col("_llow")).over(earlier).alias("_lbottom"),
             F.max(F.col("_c") * F.col("_high")).over(earlier).alias("_top"),
             F.min(F.col("_c") * F.col("_low")).over(earlier).alias("_bottom"),
         )
         joined = extremes.join(carried, part)
     else:
-        joined = extremes.withColumns({"_c": one, "_clog": F.lit(0.0), "_top": one, "_bottom": one})
+        joined = extremes.withColumns({"_c": one, "_clog": zero, "_top": one, "_bottom": one, "_ltop": zero, "_lbottom": zero})
     return joined.select(
         *settled.columns,
         (start * F.col("_c") * F.col("_g_before")).alias("bankroll_before"),
@@ -152,9 +159,23 @@ def bankroll_path(
         (start * F.greatest(one, "_top", F.col("_c") * F.col("_gmax"))).alias("max_bankroll"),
         (start * F.least(one, "_bottom", F.col("_c") * F.col("_gmin"))).alias("min_bankroll"),
         (F.col("_clog") + F.col("_log")).alias("log_growth"),
+        F.greatest(zero, "_ltop", F.col("_clog") + F.col("_lmax")).alias("log_high"),
+        F.least(zero, "_lbottom", F.col("_clog") + F.col("_lmin")).alias("log_low"),
     )
 
 
+def strategy_summary(path: DataFrame, keys: Sequence[str] = ("strategy",), start: float = START_BANKROLL) -> DataFrame:
+    """Each bankroll as a whole: logarithms of its end and extremes, ruin, bets; money where a double holds it."""
+    money = lambda c: F.when(F.abs(c) < 700, start * F.exp(c))
+    placed = F.col("share").isNotNull()
+    out = path.groupBy(*keys).agg(
+        F.max_by("log_growth", "bout_id").alias("log_growth"), F.max("log_high").alias("log_high"), F.min("log_low").alias("log_low"),
+        F.count_if(placed & F.col("winner").isNotNull()).alias("bets"), F.count_if(placed & F.col("correct")).alias("correct_bets"),
+    )
+    ruined = F.col("log_growth") == F.lit(float("-inf"))
+    return out.withColumns({"ruined": ruined, "final_bankroll": F.when(ruined, F.lit(0.0)).otherwise(money(F.col("log_growth")))})
+
+
 def card_path(settled: DataFrame, keys: Sequence[str] = ("strategy",), start: float = START_BANKROLL) -> DataFrame:
     """Bankroll after each day's card when all its stakes use the bankroll at its start."""
     cards = settled.groupBy(*keys, "d").agg(

@@ -186,6 +186,21 @@ def bankroll_growth(spark: SparkSession, sf: str) -> DataFrame:
     return bt.bankroll_path(settled(spark, sf)).select("strategy", "bout_id", "log_growth")
 
 
+@query(
+    "strategy_bankroll",
+    views("clean", f"""{_SETTLED},
+logs AS (SELECT *, sum(ln(1 + ret)) OVER (PARTITION BY strategy ORDER BY bout_id ROWS UNBOUNDED PRECEDING) AS log_growth FROM settled),
+s AS (SELECT strategy, arg_max(log_growth, bout_id) AS log_growth, greatest(0.0, max(log_growth)) AS log_high, least(0.0, min(log_growth)) AS log_low,
+   count(*) FILTER (share IS NOT NULL AND winner IS NOT NULL) AS bets, count(*) FILTER (share IS NOT NULL AND correct) AS correct_bets FROM logs GROUP BY strategy)
+SELECT strategy, {sql_round('log_growth log_high log_low', 4)}, bets, correct_bets, FALSE AS ruined FROM s"""),
+    places=4,
+)
+def strategy_bankroll(spark: SparkSession, sf: str) -> DataFrame:
+    """One bankroll per strategy over all bouts: how it ends, how far it rose and fell, and its bets."""
+    out = bt.strategy_summary(bt.bankroll_path(settled(spark, sf)))
+    return out.select("strategy", "log_growth", "log_high", "log_low", "bets", "correct_bets", "ruined")
+
+
 @query(
     "card_bankroll",
     views("clean", f"""{_SETTLED},
