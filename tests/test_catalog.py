@@ -5,12 +5,13 @@ import pytest
 from tests.conftest import SMALL
 
 import __spark_entry__ as contract
+from boutline.plans import catalog
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 KINDS = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -44,5 +45,9 @@ def test_query_without_sql_gives_rows(spark, name):
     assert len(QUERIES[name](spark, SMALL).head(1)) == 1
 
 
+def test_contract_lists_every_query():
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
