@@ -21,12 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutline.llm.shared import shared_folder, stage
+from boutline.llm.shared import discard, shared_folder, stage
 from boutline.llm.tokens import slices
 
 FOLDS, SCORED_FOLD, WEIGHT_FOLD = 7, 2, 3  # documents by crc32 of their id: not learned from; left out for the weights
 END, BEGIN = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b" ")  # no word holds white space
 TARGET_BYTES = 16 << 20  # text per counting task
+PACK_BYTES = 4 << 20  # text per pack; what a pack holds in memory is about thirty times that
 GRID = 4  # steps per doubling of the probabilities from which weights are learned
 STREAM, WORDS, PAIRS, SOLVED, GRID_ROW, SUMS = range(6)
 ROW = "pack long, kind int, target int, data binary, extra binary, x long, y long"
@@ -100,7 +101,7 @@ def _order(keys: np.ndarray, tasks: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _ask(batches: Iterator[pa.RecordBatch], targets: int) -> Iterator[pa.RecordBatch]:
     n = 0
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", PACK_BYTES):
             pack = _pack_of(pa.concat_arrays([pc.fill_null(part.column("text"), "")]))
             name = (TaskContext.get().partitionId() << 32) + n
             n += 1
@@ -236,10 +237,12 @@ def scores(docs: DataFrame) -> DataFrame:
     asked = spark.read.schema(schema).parquet(folder).select(*FORM.names)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     answers = stage(asked.where(F.col("kind").isin(WORDS, PAIRS)).repartition(parts, "target").groupBy("target").applyInArrow(_answer, ROW))
+    discard(spark, f"{folder}/kind={PAIRS}")  # answered
     sums = {r["target"]: (r["n"], r["v"]) for r in answers.where(F.col("kind") == SUMS).groupBy("target").agg(F.sum("x").alias("n"), F.sum("y").alias("v")).collect()}
     (n_all, v_all), (n_fold, _) = sums.get(0, (0, 0)), sums.get(1, (0, 0))
     back = answers.where("kind <> " + str(SUMS)).unionByName(asked.where(F.col("kind").isin(STREAM, WORDS)))
     solved = stage(back.groupBy("pack").applyInArrow(_solve(targets, n_all, n_fold), ROW), "kind").select(*FORM.names)
+    discard(spark, folder)
     cells = solved.where(F.col("kind") == GRID_ROW).groupBy("x").agg(F.sum("y").alias("n")).collect()  # buckets x 255 x 255 at most
     grid = [(r["x"] >> 16, (r["x"] >> 8) & 255, r["x"] & 255, r["n"]) for r in cells]
     found = mixture_weights(grid, 1.0 / (v_all + 1))

@@ -25,6 +25,12 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return os.path.join(checkpoint_root(spark), f"{kind}-{uuid.uuid4().hex}")
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a stored step that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have, also not in other case."""
     taken = {c.lower() for c in df.columns}

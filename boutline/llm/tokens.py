@@ -111,10 +111,10 @@ def encoder(vocabulary: str, leading: bool) -> Encoder:
     return _encoders[key]
 
 
-def slices(batch: pa.RecordBatch, column: str):
-    """Parts of a batch with about ``BATCH_BYTES`` of text each; a longer text is a part of its own."""
+def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES):
+    """Parts of a batch with about ``most`` bytes of text each; a longer text is a part of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = np.cumsum(sizes) // BATCH_BYTES
+    part = np.cumsum(sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
