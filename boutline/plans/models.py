@@ -16,7 +16,7 @@ from boutline.plans.scoring import CUTOFF, epochs
 from boutline.session import stage
 from boutline.sources import tables as t
 
-SMALL = {"maxIter": 5, "maxDepth": 3}
+TRIALS = 5
 
 
 def staged_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,14 +41,14 @@ def fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list[str
 @query("gbt_scores")
 def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
     train, test, kept = fitted(spark, sf)
-    return md.score(md.fit_boosted(train, kept, **SMALL), test)
+    return md.score(md.fit_early(train, kept), test)
 
 
 @query("gbt_ensemble")
 def gbt_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     """Five models with their own settings and seeds, averaged."""
     train, test, kept = fitted(spark, sf)
-    sets = [{**SMALL, "maxIter": 3, "subsamplingRate": s} for s in (0.5, 0.6, 0.7, 0.8, 1.0)]
+    sets = [{"subsamplingRate": s} for s in (0.5, 0.6, 0.7, 0.8, 1.0)]
     scores = md.ensemble_scores(train, test, kept, sets)
     return sm.ensemble_mean(scores.select("bout_id", F.col("p_win").alias("p")))
 
@@ -56,16 +56,47 @@ def gbt_ensemble(spark: SparkSession, sf: str) -> DataFrame:
 @query("feature_importance")
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     train, test, kept = fitted(spark, sf)
-    return md.permutation_importance(md.fit_boosted(train, kept, **SMALL), test, kept)
+    return md.permutation_importance(md.fit_early(train, kept), test, kept)
+
+
+def tuning_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    """Training rows without mirrored copies, and the kept columns."""
+    train = staged_features(spark, sf).where(F.col("d") < F.lit(CUTOFF).cast("date"))
+    cols = side_columns()
+    kept = sm.kept_columns(sm.correlation_pairs(train, cols), cols)
+    return md.numeric_inputs(train, kept).select("bout_id", "label", *kept), kept
+
+
+@query("cv_losses")
+def cv_losses(spark: SparkSession, sf: str) -> DataFrame:
+    """Log loss of each expanding-window fold."""
+    rows, kept = tuning_rows(spark, sf)
+    return spark.createDataFrame(list(enumerate(md.cross_validate(rows, kept))), "fold bigint, log_loss double")
+
+
+@query("tuning_trials")
+def tuning_trials(spark: SparkSession, sf: str) -> DataFrame:
+    """Settings drawn by the search with their mean log loss, best first."""
+    rows, kept = tuning_rows(spark, sf)
+    found = md.random_search(rows, kept, TRIALS)
+    kinds = {int: "bigint", float: "double", str: "string"}
+    names = {k: kinds[type(v[0])] for k, v in md.SEARCH_SPACE.items()}
+    form = "place bigint, log_loss double, " + ", ".join(f"{k} {v}" for k, v in names.items())
+    return spark.createDataFrame([(i, loss, *[params[k] for k in names]) for i, (loss, params) in enumerate(found)], form)
 
 
 @query("walk_forward_scores")
 def walk_forward_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Both corner orders scored by the newest model trained before each bout."""
+    """Both corner orders scored by the newest model trained before each bout, on the columns kept from that past."""
     feats = staged_features(spark, sf)
     days = epochs(feats)
-    cols = [f"{s}_{c}" for c in ("win_rate", "sig_diff", "kd_diff") for s in ("red", "blue")]
-    return md.walk_forward(feats, cols, days[1:], **SMALL)
+    cols, out = side_columns(), None
+    for i, start in enumerate(days[1:], 1):
+        known = feats if i + 1 == len(days) else feats.where(F.col("d") < F.lit(days[i + 1]))
+        kept = sm.kept_columns(sm.correlation_pairs(feats.where(F.col("d") < F.lit(start)), cols), cols)
+        s = md.walk_forward(known, kept, [start], fit=lambda train, kept=kept: md.fit_early(train, kept))
+        out = s if out is None else out.unionByName(s)
+    return out
 
 
 @query("walk_forward_backtest")
@@ -97,4 +128,4 @@ def rf_baseline(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.with_master(b.select("bout_id", "red", "blue", result.alias("result")), master, ["height", "weight", "accuracy"])
     rows = stage(md.numeric_inputs(rows.na.drop(subset=cols).select("bout_id", "result", *cols), cols))
     in_train = F.pmod(F.xxhash64("bout_id"), F.lit(5)) != 0
-    return md.score(md.fit_forest(rows.where(in_train), cols, trees=10), rows.where(~in_train))
+    return md.score(md.fit_forest(rows.where(in_train), cols), rows.where(~in_train))
