@@ -16,9 +16,9 @@ _VALUE = "([A-Za-z0-9+/_.=-]+)"
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?""" + _VALUE
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # whole runs of 20 and more, as a run is matched from its start
 HEX = r"[0-9a-f]{24,}"
-WEAK_ID = r"""((?i:access_?key_?id|client_?id|key_?id|account_?id|app_?id|user_?name|user|login))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,64})"""
-WEAK_KEY = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/]{0,39}[0-9])(?=[A-Z0-9+/]{0,39}[a-z])(?=[a-z0-9+/]{0,39}[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_=-])"
-ENDPOINT = r"(?i:https?|wss?|amqps?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|s3|ftp)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]{4,200}"
+WEAK_ID = r"""((?i:access_?key_?id|client_?id|key_?id|account_?id|app_?id|user_?name|user|login))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,})"""
+WEAK_KEY = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/]*[0-9])(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{40,}+={0,2}+(?![A-Za-z0-9+/_=-])"
+ENDPOINT = r"(?i:https?|wss?|amqps?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|s3|ftp)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]{4,}"
 BASE = ["assign", "access", "hex"]
 ADDED = ["key_id", "key_string", "endpoint"]
 SCOPE = 200  # code points around a part in which its complement must lie
