@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from boutline.llm import lmscore, mixing, packing, quality, secrets, sharding, simhash, tokenfile, topk, warc
+from boutline.llm import lmscore, mixing, packing, periods, quality, secrets, sharding, simhash, tokenfile, topk, warc
 from boutline.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +130,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op13_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, every tenth of which is made periodic first."""
+    out = periods.with_runs(periods.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    runs = F.col(out.columns[-1])["runs"]
+    best = out.select("doc_id", out.columns[-1], F.explode(F.array(periods.strongest(runs))).alias("best"))
+    top = lambda n: F.col("best")[n].alias(n)
+    return best.select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), top("start"), top("length"), top("period"),
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(periods.spelled(runs), 256).alias("runs_sha256"), F.sha2(F.col(out.columns[-1])["collapsed"], 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
