@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from boutline.llm import lmscore, mixing, packing, periods, quality, secrets, sharding, simhash, tokenfile, topk, warc
+from boutline.llm import align, lmscore, mixing, packing, periods, quality, secrets, sharding, simhash, tokenfile, topk, warc
 from boutline.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +130,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op12_align")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document's tokens in two tokenizers, and how common the links are in the corpus."""
+    out = align.aligned(table(spark, sf_dir, "documents").select("doc_id", "text"), spell=False).drop("text")
+    name = out.columns[-1]
+    out = align.with_support(out, name)
+    of = lambda n: F.col(name)[n].alias(n)
+    return out.select("doc_id", *map(of, ("n_a", "n_b", "n_groups", "n_links")), *out.columns[-2:], of("groups_sha256"))
+
+
 @query("op13_runs")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in every document, every tenth of which is made periodic first."""
