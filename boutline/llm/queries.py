@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from boutline.llm import align, lmscore, mixing, packing, periods, quality, secrets, sharding, simhash, tokenfile, topk, warc
+from boutline.llm import align, decontam, lmscore, mixing, packing, periods, quality, secrets, sharding, simhash, tokenfile, topk, warc
 from boutline.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +130,31 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{decontam.UPPER}', '{decontam.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op11_decontam",
+    f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, w, least(10, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS t FROM i),
+s AS (SELECT DISTINCT k FROM i),
+x AS (SELECT r, k, unnest(list_transform(range(1, len(w) - k + 2), lambda p: {{'p': p, 't': array_to_string(w[p:p + k - 1], ' ')}})) AS u FROM d, s),
+h AS (SELECT x.r, x.k, x.u.p AS p, g.item_id FROM x JOIN g ON x.k = g.k AND x.u.t = g.t),
+n AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT r, k, p FROM h)) GROUP BY r),
+m AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+   n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside passages of ten words that a benchmark item holds, and those items."""
+    out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
 @query("op12_align")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of every document's tokens in two tokenizers, and how common the links are in the corpus."""
