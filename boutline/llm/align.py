@@ -15,8 +15,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,9 @@ from boutline.llm.tokens import slices
 
 SPACE_MARK = "▁"
 MOST_FREQUENT = 50_000
-PIECES_KEPT = 200_000  # distinct pieces, and four times as many links, that a worker remembers before it starts anew
+PIECES_KEPT = 400_000  # distinct pieces, and four times as many links, that a worker remembers before it starts anew
+PIECES_AT_ONCE = 50_000
+LONG_GROUP = 64  # links of a group that are listed one by one
 _BLANK = r"\s\x1c-\x1f\x85"
 _CUT = re.compile(rf"(?<=[^{_BLANK}])(?=[ \n][^{_BLANK}])")
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -53,23 +56,27 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def groups_of(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, int]]:
-    """Slices (a from, a to, b from, b to) between the ends that both lists have; the lists end at the same byte."""
-    a_index = {end: i + 1 for i, end in enumerate(a_ends)}
-    b_index = {end: i + 1 for i, end in enumerate(b_ends)}
-    out, a, b = [], 0, 0
-    for end in sorted(a_index.keys() & b_index.keys()):
-        out.append((a, a_index[end], b, b_index[end]))
-        a, b = a_index[end], b_index[end]
-    return out
+def groups_of(a_ends: list[int], b_ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends that both lists have, in order, and how many a and b tokens lie up to each; the lists end at the same byte."""
+    a_index = dict(zip(a_ends, range(1, len(a_ends) + 1), strict=True))
+    b_index = dict(zip(b_ends, range(1, len(b_ends) + 1), strict=True))
+    common = sorted(a_index.keys() & b_index.keys())
+    upto = [np.fromiter(map(index.__getitem__, common), np.int64, len(common)) for index in (a_index, b_index)]
+    return np.array(common, np.int64), *upto
 
 
-def _ends(pieces: list[bytes]) -> list[int]:
-    out, at = [], 0
-    for p in pieces:
-        at += len(p)
-        out.append(at)
-    return out
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+@dataclass
+class Pieces:
+    """Alignments of some texts: counts (n_a, n_b, n_groups, n_links; zeros if the bytes differ), spelled groups, and links."""
+
+    counts: np.ndarray
+    spelled: list[str]
+    pairs: np.ndarray  # a << 32 | b, and how often
+    start: np.ndarray  # of each text's links, and the end
 
 
 class Aligner:
@@ -91,11 +98,15 @@ class Aligner:
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=place(b_vocabulary))
         spell = byte_of_letter()
-        self.a_bytes = {i: bytes(spell[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in spell for c in t)}
+        tokens = {i: t for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self.a_bytes = [bytes(spell.get(c, 0) for c in tokens.get(i, "")) for i in range(max(tokens) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)
         ]
+        self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.words = [f"{i}{end}" for i in range(len(self.a_bytes)) for end in ",|"]
+        self.words += [f"{i}{end}" for i in range(len(pieces)) for end in (",", ";", "")]
         # cuts are safe if no piece goes on after a space and none holds a line end
         self.cuts = not any(SPACE_MARK in p.lstrip(SPACE_MARK) or "\n" in p for p in pieces)
         self._reset()
@@ -103,47 +114,91 @@ class Aligner:
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
         self.spelled: list[str] = []
-        self.counts: list[tuple[int, int, int, int]] = []  # n_a, n_b, n_groups, n_links; n_a = 0: bytes differ
-        self.pairs = np.empty((2, 1 << 14), np.int64)  # pair and how often
-        self.start = [0]
+        self.counts = np.empty((4, 1 << 12), np.int64)
+        self.pairs = np.empty((2, 1 << 14), np.int64)
+        self.start = np.zeros(1, np.int64)
 
     def _b_ids(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts that begin with a space (which the model adds by itself) or a line end."""
         coded = self.b.encode([t[1:] if t[:1] == " " else t for t in texts], num_threads=1)
         return [ids if t[:1] == " " else ids[1:] for t, ids in zip(texts, coded, strict=True)]
 
-    def _aligned(self, texts: list[str]) -> Iterator[tuple[tuple[int, int, int, int], str, Counter]]:
-        """Counts, spelled groups and links of texts that begin with a space or a line end."""
+    def _aligned(self, texts: list[str]) -> Pieces:
+        """Alignments of texts that begin with a space or a line end and are not empty, as one stream of bytes."""
         run = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
-        for text, coded, b in zip(texts, run(texts, add_special_tokens=False), self._b_ids(texts), strict=True):
-            a, raw = coded.ids, text.encode()
-            a_parts, b_parts = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
-                yield (0, 0, 0, 0), "", Counter()
-                continue
-            groups = groups_of(_ends(a_parts), _ends(b_parts))
-            links, total = Counter(), 0
-            for a0, a1, b0, b1 in groups:
-                total += (a1 - a0) * (b1 - b0)
-                of_b = Counter(b[b0:b1]).items()
-                for x, n in Counter(a[a0:a1]).items():  # equal ids of a group count at once
-                    for y, m in of_b:
-                        links[x << 32 | y] += n * m
-            spelled = ";".join(",".join(map(str, a[a0:a1])) + "|" + ",".join(map(str, b[b0:b1])) for a0, a1, b0, b1 in groups)
-            yield (len(a), len(b), len(groups), total), spelled, links
+        raw = [t.encode() for t in texts]
+        a, b = [e.ids for e in run(texts, add_special_tokens=False)], self._b_ids(texts)
+        back = lambda ids, spelled: b"".join(map(spelled.__getitem__, ids))
+        good = np.ones(len(texts), bool)
+        for ids, spelled in ((a, self.a_bytes), (b, self.b_bytes)):
+            good &= np.fromiter((back(x, spelled) == r for x, r in zip(ids, raw, strict=True)), bool, len(texts))
+        if not good.all():
+            a, b, raw = ([x for x, g in zip(rows, good.tolist(), strict=True) if g] for rows in (a, b, raw))
+        of_a, of_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, of_a), (b, of_b)))
+        ends, a_to, b_to = groups_of(np.cumsum(self.a_size[ids_a]).tolist(), np.cumsum(self.b_size[ids_b]).tolist())
+        a_in, b_in = np.diff(a_to, prepend=0), np.diff(b_to, prepend=0)
+        a_from, b_from = a_to - a_in, b_to - b_in
+        owner = np.searchsorted(np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))), ends)
+
+        n_groups = np.bincount(owner, minlength=len(raw))
+        n_links = np.bincount(owner, a_in * b_in, minlength=len(raw)).astype(np.int64)  # whole below 2^53
+        counts = np.zeros((4, len(texts)), np.int64)
+        counts[:, good] = of_a, of_b, n_groups, n_links
+
+        code = np.empty(len(ids_a) + len(ids_b), np.int64)  # every token with the mark behind it, groups in order
+        last = np.zeros(len(ids_a), np.int64)
+        last[a_to - 1] = 1
+        code[np.arange(len(ids_a)) + np.repeat(b_from, a_in)] = 2 * ids_a + last
+        last = np.zeros(len(ids_b), np.int64)
+        last[b_to - 1] = 1
+        last[np.cumsum(of_b) - 1] = 2
+        code[np.arange(len(ids_b)) + np.repeat(a_to, b_in)] = 2 * len(self.a_bytes) + 3 * ids_b + last
+        words, bounds = list(map(self.words.__getitem__, code.tolist())), _offsets(of_a + of_b).tolist()
+        rows = iter(["".join(words[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)])
+        spelled = [next(rows) if g else "" for g in good.tolist()]
+
+        pairs, times, whose = self._links(ids_a, ids_b, a_from, a_in, b_from, b_in, owner)
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[good] = np.bincount(whose, minlength=len(raw))
+        return Pieces(counts, spelled, np.stack([pairs, times]), _offsets(sizes))
+
+    @staticmethod
+    def _links(ids_a, ids_b, a_from, a_in, b_from, b_in, owner) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs of each group, by owner; in long groups equal pairs are counted instead of listed."""
+        many = a_in * b_in
+        listed = np.where(many <= LONG_GROUP, many, 0)
+        group = np.repeat(np.arange(len(many)), listed)
+        at = np.arange(len(group)) - np.repeat(np.cumsum(listed) - listed, listed)
+        pairs = [ids_a[a_from[group] + at // b_in[group]] << 32 | ids_b[b_from[group] + at % b_in[group]]]
+        times, whose = [np.ones(len(group), np.int64)], [owner[group]]
+        for g in np.flatnonzero(many > LONG_GROUP).tolist():
+            a, n = np.unique(ids_a[a_from[g] : a_from[g] + a_in[g]], return_counts=True)
+            b, m = np.unique(ids_b[b_from[g] : b_from[g] + b_in[g]], return_counts=True)
+            pairs.append((a[:, None] << 32 | b[None, :]).ravel())
+            times.append((n[:, None] * m[None, :]).ravel())
+            whose.append(np.full(len(a) * len(b), owner[g]))
+        pairs, times, whose = map(np.concatenate, (pairs, times, whose))
+        if len(many) and (many > LONG_GROUP).any():
+            order = np.argsort(whose, kind="stable")
+            pairs, times, whose = pairs[order], times[order], whose[order]
+        return pairs, times, whose
 
     def _learn(self, pieces: list[str]) -> None:
         new = list({p for p in pieces if p not in self.known})
-        for piece, (counts, spelled, links) in zip(new, self._aligned(new), strict=True):
-            self.known[piece] = len(self.spelled)
-            self.spelled.append(spelled)
-            self.counts.append(counts)
-            end = self.start[-1] + len(links)
+        for i in range(0, len(new), PIECES_AT_ONCE):
+            some = new[i : i + PIECES_AT_ONCE]
+            found = self._aligned(some)
+            first, end = len(self.spelled), int(self.start[-1] + found.start[-1])
+            self.known.update(zip(some, range(first, first + len(some)), strict=True))
+            self.spelled += found.spelled
+            while len(self.spelled) > self.counts.shape[1]:
+                self.counts = np.concatenate([self.counts, np.empty_like(self.counts)], axis=1)
             while end > self.pairs.shape[1]:
                 self.pairs = np.concatenate([self.pairs, np.empty_like(self.pairs)], axis=1)
-            self.pairs[0, self.start[-1] : end] = list(links.keys())
-            self.pairs[1, self.start[-1] : end] = list(links.values())
-            self.start.append(end)
+            self.counts[:, first : len(self.spelled)] = found.counts
+            self.pairs[:, self.start[-1] : end] = found.pairs
+            self.start = np.concatenate([self.start, self.start[-1] + found.start[1:]])
 
     def align(self, texts: list[str]) -> Iterator[tuple[tuple[int, int, int, int], str, np.ndarray, np.ndarray]]:
         """Per text: counts, spelled groups, distinct pairs (a << 32 | b) and how often each is linked."""
@@ -152,21 +207,22 @@ class Aligner:
             self._reset()
         cut = [(_CUT.split(" " + t) if self.cuts else [" " + t]) if t else [] for t in texts]
         self._learn([p for c in cut for p in c])
-        counts, start = np.array(self.counts, np.int64).reshape(-1, 4), np.array(self.start, np.int64)
         for text, pieces in zip(texts, cut, strict=True):
             at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-            own = counts[at]
+            own = self.counts[:, at]
             if not len(at):
                 yield none
-            elif (own[:, 0] == 0).any():  # the bytes of a piece differ: compare the whole text
-                ((whole, spelled, links),) = self._aligned([" " + text])
-                yield whole, spelled, np.array(list(links.keys()), np.int64), np.array(list(links.values()), np.int64)
+                continue
+            if (own[0] == 0).any():  # the bytes of a piece differ: compare the whole text
+                whole = self._aligned([" " + text])
+                own, spelled, (pairs, times) = whole.counts, whole.spelled[0], whole.pairs
             else:
-                size = start[at + 1] - start[at]
-                shift = np.repeat(start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                pair, where = np.unique(self.pairs[0, shift], return_inverse=True)
-                times = np.bincount(where, self.pairs[1, shift]).astype(np.int64)  # whole below 2^53
-                yield tuple(own.sum(axis=0).tolist()), ";".join(map(self.spelled.__getitem__, at.tolist())), pair, times
+                spelled = ";".join(map(self.spelled.__getitem__, at.tolist()))
+                size = self.start[at + 1] - self.start[at]
+                place = np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                pairs, times = self.pairs[0, place], self.pairs[1, place]
+            distinct, where = np.unique(pairs, return_inverse=True)
+            yield tuple(own.sum(axis=1).tolist()), spelled, distinct, np.bincount(where, times, len(distinct)).astype(np.int64)
 
 
 def aligner(a_vocabulary: str, b_vocabulary: str) -> Aligner:
