@@ -266,7 +266,7 @@ def scores(docs: DataFrame) -> DataFrame:
                 count, context = one[codes], one[before]
                 weight = table[bucket(context)]
                 p = weight[:, 0] * two[pair_of] / np.maximum(context, 1) + weight[:, 1] * count / max(1, n_all) + weight[:, 2] / (v_all + 1)
-                base = np.log10(count + 1) - np.log10((n_all + 1) * (v_all + 1))
+                base = np.log10(count + 1) - np.log10(n_all + v_all + 1)
                 sums = [np.add.reduceat(x, begin) for x in ((count > 0).astype(np.int64), base, np.log10(p))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, mask=marks >= FOLDS), pa.array(marks % FOLDS == SCORED_FOLD), pa.array(sizes), pa.array(sums[0]),
