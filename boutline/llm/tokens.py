@@ -18,6 +18,7 @@ END = 2
 PIECES_KEPT = 1_000_000  # distinct pieces a worker remembers before it starts anew
 BATCH_BYTES = 8 << 20
 _BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_LETTER_MARK = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}\x{400}-\x{481}])([.,])"  # not U+0130
 _WHOLE = _BLANK + "{2}|\\x01"
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
@@ -72,8 +73,8 @@ class Encoder:
         if self.leading:
             texts = pc.binary_join_element_wise("\x01", pc.replace_substring(texts, "\n", " \n"), "")
         else:
-            # a letter and the mark after it are never one token here
-            texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), r"(\p{L})([.,])", r"\1 \2")
+            # a letter and the mark after it are never one token here, if the letter's lower-case form ends with a letter
+            texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), _LETTER_MARK, r"\1 \2")
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
         place = self._learn(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
