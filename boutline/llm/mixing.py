@@ -1,6 +1,7 @@
 """Mixing sources to target weights with a low-discrepancy schedule of equal-token blocks.
 
-The golden-ratio sequence, in whole numbers modulo 2**31, gives every slot a point; the point's place among the
+The golden-ratio sequence, in whole numbers modulo 2**31, gives every slot a point (with more slots than points, each
+point is cut into as many as needed, see ``points_of``); the point's place among the
 cumulative weights names the slot's source; the slot's rank among the slots of its source names a block of that
 source. Blocks are equal runs of words on a line that holds the documents of a source in hashed order. Everything is
 expressed with DataFrame functions.
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutline.llm.shared import WORD, prefix_sums, same, segment_count, stage
@@ -78,6 +79,17 @@ def source_targets(sized: DataFrame, share: float, cap: float, weights: tuple[in
     )
 
 
+def finer_bits(n_slots: int) -> int:
+    """Bits that each of ``POINTS`` points is cut by, so that no two slots share a point (at most 2**62 slots)."""
+    return max(0, (max(1, n_slots) - 1).bit_length() - (POINTS - 1).bit_length())
+
+
+def points_of(slot: str, bits: int) -> Column:
+    """Distinct points below ``POINTS`` * 2**bits: rounds of the golden-ratio sequence, each at its own fine place."""
+    coarse, cuts = (F.col(slot) % POINTS) * GOLDEN % POINTS, 1 << bits
+    return coarse * F.lit(cuts) + F.expr(f"{slot} div {POINTS}") * F.lit(GOLDEN % cuts | 1) % F.lit(cuts)
+
+
 def mix(
     docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), block: int = 256, seed: int = 7
 ) -> Mix:
@@ -112,28 +124,30 @@ def mix(
     sources = sources.withColumn("_want", F.when(F.col("need") > 0, F.col("need") + MARGIN).otherwise(0)).withColumn("_cum", F.sum("_want").over(upto))
     sources = stage(sources)
     n_slots = sources.agg(F.max("_cum")).first()[0] or 0
-    point = lambda c: F.floor(c * F.lit(float(POINTS)) / F.lit(float(max(1, n_slots)))).cast("long")
+    bits = finer_bits(n_slots)
+    point = lambda c: F.expr(f"CAST((CAST({c} AS DECIMAL(19, 0)) * {POINTS << bits}) div {max(1, n_slots)} AS BIGINT)")
     cells = (
         sources.where("need > 0")
-        .withColumn("lo", point(F.col("_cum") - F.col("_want")))
-        .withColumn("hi", point(F.col("_cum")))
-        .withColumn("cell", F.explode(F.sequence(F.shiftright("lo", CELL_BITS), F.shiftright(F.col("hi") - 1, CELL_BITS))))
+        .withColumn("lo", point("_cum - _want"))
+        .withColumn("hi", point("_cum"))
+        .withColumn("cell", F.explode(F.sequence(F.shiftright("lo", CELL_BITS + bits), F.shiftright(F.col("hi") - 1, CELL_BITS + bits))))
         .select("cell", "lo", "hi", "sid", "quota", "pass_blocks", "need", F.col("source_size").alias("_size"))
     )
     chunk = max(1024, n_slots // 65536)
+    have = F.when(F.col("have") < F.col("need"), F.raise_error(F.lit("too few slots for a source"))).otherwise(F.col("have"))
     slots = (
         spark.range(n_slots)
         .withColumnRenamed("id", "slot")
-        .withColumn("u", (F.col("slot") % POINTS) * GOLDEN % POINTS)
-        .withColumn("cell", F.shiftright("u", CELL_BITS))
+        .withColumn("u", points_of("slot", bits))
+        .withColumn("cell", F.shiftright("u", CELL_BITS + bits))
         .join(cells, "cell")
         .where("u >= lo AND u < hi")
         .withColumn("chunk", F.expr(f"slot div {chunk}"))
         .withColumn("one", F.lit(1).cast("long"))
     )
     # a source has some slots more than it needs: they are left out evenly over the schedule
-    have = slots.groupBy("sid").agg(F.sum("one").alias("have"))
-    ranked = prefix_sums(slots, ["sid"], "chunk", ["slot"], "one", "_rank").join(have, "sid")
+    counted = slots.groupBy("sid", "need").agg(F.sum("one").alias("have")).select("sid", have.alias("have"))
+    ranked = prefix_sums(slots, ["sid"], "chunk", ["slot"], "one", "_rank").join(counted, "sid")
     nth = lambda r: F.expr(f"CAST((CAST({r} AS DECIMAL(19, 0)) * CAST(need AS DECIMAL(19, 0))) div have AS BIGINT)")
     slots = ranked.withColumn("rank", nth("_rank")).where(F.col("rank") < nth("(_rank + 1)"))
     slots = (
