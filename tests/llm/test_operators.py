@@ -437,6 +437,27 @@ def test_mixing_awkward(spark, awkward, empty):
     assert mixing.mix(empty).taken().count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixing_with_more_slots_than_points(spark, sf, docs, monkeypatch):
+    """Points are cut finer: no two slots share one, and sources still take the whole of their targets."""
+    want = {r["doc_id"]: r["target"] for r in rows_of(QUERIES["op8_mixing"](spark, sf))}
+    for name, value in (("POINTS", 1 << 8), ("GOLDEN", 159), ("CELL_BITS", 4)):
+        monkeypatch.setattr(mixing, name, value)
+    got = mixing.mix(table(spark, sf, "documents"))
+    n = got.slots.count()
+    assert n > 256 and mixing.finer_bits(n) > 0
+    bits = mixing.finer_bits(1000)
+    points = [r["u"] for r in spark.range(1000).select(mixing.points_of("id", bits).alias("u")).collect()]
+    assert len(set(points)) == 1000 and max(points) < 256 << bits
+    rows = rows_of(got.taken())
+    taken, target = defaultdict(int), {}
+    source = {d["doc_id"]: d["source"] for d in docs}
+    for r in rows:
+        assert r["target"] == want[r["doc_id"]] and r["taken"] <= 2 * r["size"]
+        taken[source[r["doc_id"]]] += r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+    assert all(taken[s] == int(target[s]) for s in target)
+
+
 def test_mix_rows_follow_the_schedule(spark, sf):
     m = mixing.mix(table(spark, sf, "documents"))
     rows = rows_of(m.rows())
@@ -466,11 +487,11 @@ def test_lm_query(spark, sf, docs):
     held = [0.0, 0.0, 0]
     for r in rows:
         t = toks[r["doc_id"]]
-        base = sum(np.log10((c[w] + 1) / ((n + 1) * (v + 1))) for w in t)
+        base = sum(np.log10((c[w] + 1) / (n + 1 * (v + 1))) for w in t)
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (fold[r["doc_id"]] == 2, len(t), sum(c[w] > 0 for w in t), n)
         assert abs(r["base_score"] - base) < 1e-6 * abs(base) and r["score"] < 0
         if r["held_out"]:
-            held = [held[0] + base + len(t) * np.log10(v + 1), held[1] + r["score"], held[2] + len(t)]
+            held = [held[0] + base, held[1] + r["score"], held[2] + len(t)]
     assert held[1] / held[2] > held[0] / held[2] + 0.1  # better than smoothed unigrams on documents not learned from
 
 
