@@ -1,21 +1,27 @@
 """Elo replay over bouts.
 
 ``replay`` gives every bout the ratings after all earlier bouts of its pool. Both sides of a bout
-depend on each other's past, so no window can compute it directly.
+depend on each other's past, so no window can compute it directly. But a bout only waits for earlier
+bouts that are linked to it through shared entities.
 
-Pools of at most ``POOL_ROWS`` bouts (counted first) are replayed one per group, in parallel over pools.
-A larger pool is never put into one task. It is solved by sweeps over slices of time: take the current
-estimate of all pre-bout ratings, compute every rating change, and replace the estimates by the running
-sums of the changes. A sweep settles at least one more bout of every dependency chain, so a slice ends
-at the exact sequential answer after at most its longest chain; because one bout moves a rating only by
-a small share of an error, it ends long before that.
+So the line of bouts of every pool is cut into slices, and a slice into groups that share no entity:
+whole connected components of the graph of its bouts. Groups are replayed bout by bout in parallel, and
+the ratings after a slice are a stored table that the next slice starts from. The result is exactly the
+sequential one, whatever the cuts.
 
-``replay_by_period`` freezes ratings inside a day, so chains are counted in days instead of bouts.
+No group holds more than about ``GROUP_BOUTS`` bouts. A slice of a pool that is no longer than that is one
+group, whatever its components. Longer slices are taken while entities are so many that components stay small;
+a slice with a component above the bound is halved, and its halves are replayed one after the other.
+
+``replay_by_period`` freezes ratings inside a day. Slices then end with a day, and a slice of a single
+day needs no groups: all its bouts only wait for the days before.
 """
 
 from __future__ import annotations
 
 import math
+import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -23,45 +29,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutline.functions.rating import K_REST, K_TIERS, START_RATING, k_factor, rating_change, score_of
+from boutline.operators.components import connected_components
 from boutline.operators.longform import outcome_of
-from boutline.operators.scan import ALL_KEYS, NO_SKEW, Run, Skew, find_skew, running
-from boutline.session import stage
+from boutline.operators.scan import Run, Skew, find_skew, running
+from boutline.session import checkpoint_root, stage
 
 KEY = ["pool", "entity"]
-POOL_ROWS = 500_000
-SWEEPS_PER_JOB = 6
-BOUTS_PER_SLICE = 40
-SETTLED = 1e-9
+GROUP_BOUTS = 100_000
+BOUTS_PER_ENTITY = 0.4  # in a slice of a large pool: below 0.5, components of random pairings stay small
 
 
-def with_k(
-    bouts: DataFrame, skew: Skew, fixed_k: float | None = None, known_counts: DataFrame | None = None
-) -> DataFrame:
-    """Score of the red side and K of both sides; K follows the bout's ordinal within the pool.
+def with_k(rows: DataFrame, fixed_k: float | None = None, known: DataFrame | None = None) -> DataFrame:
+    """K of both sides of ``rows`` (pool, bout_id, red, blue, ...); it follows the bout's ordinal within the pool.
 
-    ``known_counts`` (pool, entity, bouts) are bouts before the given ones.
+    ``known`` (pool, entity, bouts) counts the bouts before the given ones.
     """
-    score = score_of(outcome_of(F.col("red"), F.col("winner"))).alias("red_score")
-    base = bouts.select("pool", "bout_id", "d", "red", "blue", score)
     if fixed_k is not None:
-        return base.withColumns({"red_k": F.lit(fixed_k), "blue_k": F.lit(fixed_k)})
-    sides = base.select(
-        "*",
-        F.inline(
-            F.array(
-                F.struct(F.lit("red").alias("side"), F.col("red").alias("entity")),
-                F.struct(F.lit("blue").alias("side"), F.col("blue").alias("entity")),
-            )
-        ),
-    )
-    ranked = running(sides, KEY, "bout_id", [Run("_n", "count", F.lit(1), prior=False)], skew)
-    if known_counts is not None:
-        ranked = ranked.join(known_counts, KEY, "left").withColumn("_n", F.col("_n") + F.coalesce("bouts", F.lit(0)))
+        return rows.withColumns({"red_k": F.lit(fixed_k), "blue_k": F.lit(fixed_k)})
+    side = lambda s: F.struct(F.lit(s).alias("side"), F.col(s).alias("entity"))
+    sides = rows.select("*", F.inline(F.array(side("red"), side("blue"))))
+    ranked = running(sides, KEY, "bout_id", [Run("_n", "count", F.lit(1), prior=False)], find_skew(sides, KEY))
+    if known is not None:
+        ranked = ranked.join(known.select(*KEY, "bouts"), KEY, "left").withColumn("_n", F.col("_n") + F.coalesce("bouts", F.lit(0)))
     k = k_factor(F.col("_n"))
-    return ranked.groupBy(*base.columns).agg(
-        F.max(F.when(F.col("side") == "red", k)).alias("red_k"),
-        F.max(F.when(F.col("side") == "blue", k)).alias("blue_k"),
-    )
+    return ranked.groupBy(*rows.columns).agg(*[F.max(F.when(F.col("side") == s, k)).alias(f"{s}_k") for s in ("red", "blue")])
 
 
 def _change(side: str) -> Column:
@@ -84,84 +75,29 @@ def changes(rated: DataFrame) -> DataFrame:
     )
 
 
-def _gain_before_day(long: DataFrame, skew: Skew) -> DataFrame:
-    """Sum of the entity's changes on earlier days."""
-    day = F.datediff("d", F.lit("1970-01-01").cast("date"))
-    if skew == NO_SKEW:
-        w = Window.partitionBy(*KEY).orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
-        return long.withColumn("_gain", F.sum("change").over(w))
-    daily = long.groupBy(*KEY, "d").agg(F.sum("change").alias("_day"))
-    w = Window.partitionBy(*KEY).orderBy("d").rowsBetween(Window.unboundedPreceding, -1)  # one row per day
-    before = daily.select(*KEY, "d", F.sum("_day").over(w).alias("_gain"))
-    return long.join(before, [*KEY, "d"], "left")
-
-
-def _sweep(wide: DataFrame, skew: Skew, frozen: bool, track: bool) -> DataFrame:
-    def half(side: str) -> Column:
-        return F.struct(
-            F.lit(side).alias("side"),
-            F.col(side).alias("entity"),
-            _change(side).alias("change"),
-            F.col(f"{side}_pre").alias("was"),
+def _with_base(part: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Ratings and bout counts of both sides at the start of the slice."""
+    for side in ("red", "blue"):
+        if known is None:
+            part = part.withColumns({f"{side}_base": F.lit(START_RATING), f"{side}_seen": F.lit(0).cast("bigint")})
+            continue
+        before = known.select("pool", F.col("entity").alias(side), F.col("gain").alias("_g"), F.col("bouts").alias("_b"))
+        part = part.join(before, ["pool", side], "left").withColumns(
+            {f"{side}_base": START_RATING + F.coalesce("_g", F.lit(0.0)), f"{side}_seen": F.coalesce("_b", F.lit(0).cast("bigint"))}
         )
+        part = part.drop("_g", "_b")
+    return part
 
-    carried = ["pool", "bout_id", "d", "red", "blue", "red_score", "red_k", "blue_k", "red_base", "blue_base"]
-    long = wide.select(*carried, F.inline(F.array(half("red"), half("blue"))))
-    if frozen:
-        long = _gain_before_day(long, skew)
-    else:
-        long = running(long, KEY, "bout_id", [Run("_gain", "sum", F.col("change"))], skew)
-    base = F.when(F.col("side") == "red", F.col("red_base")).otherwise(F.col("blue_base"))
-    pre = base + F.coalesce("_gain", F.lit(0.0))
-    aggs = [F.max(F.when(F.col("side") == s, pre)).alias(f"{s}_pre") for s in ("red", "blue")]
-    if track:
-        aggs.append(F.max(F.abs(pre - F.col("was"))).alias("_moved"))
-    return long.groupBy(*carried).agg(*aggs)
-
-
-def _time_slices(bouts: DataFrame, per_slice: int) -> list:
-    """Last day of each slice, so that an entity has about ``per_slice`` bouts in one.
 
-    Reads one row per calendar day to the driver.
-    """
-    sides = bouts.select("pool", F.explode(F.array("red", "blue")).alias("entity"))
-    longest = sides.groupBy(*KEY).count().agg(F.max("count")).first()[0] or 0
-    days = bouts.groupBy("d").count().orderBy("d").collect()
-    slices = min(len(days), max(1, math.ceil(longest / per_slice)))
-    share = sum(r["count"] for r in days) / max(slices, 1)
-    ends, seen = [], 0
-    for r in days:
-        seen += r["count"]
-        if seen >= share * (len(ends) + 1) - 0.5:
-            ends.append(r["d"])
-    if days and (not ends or ends[-1] != days[-1]["d"]):
-        ends.append(days[-1]["d"])
-    return ends
-
-
-def _with_base(part: DataFrame, gains: DataFrame | None) -> DataFrame:
-    """Ratings of both sides at the start of the slice, also the first estimate for its bouts."""
-    if gains is None:
-        bases = {"red_base": F.lit(START_RATING), "blue_base": F.lit(START_RATING)}
-        part = part.withColumns(bases)
-    else:
-        for side in ("red", "blue"):
-            known = gains.select("pool", F.col("entity").alias(side), F.col("gain").alias("_g"))
-            part = part.join(known, ["pool", side], "left").withColumn(
-                f"{side}_base", START_RATING + F.coalesce("_g", F.lit(0.0))
-            )
-            part = part.drop("_g")
-    return part.withColumns({"red_pre": F.col("red_base"), "blue_pre": F.col("blue_base")})
-
-
-def _add_gains(gains: DataFrame | None, rated: DataFrame) -> DataFrame:
-    new = changes(rated).select(*KEY, F.col("change").alias("gain"))
-    both = new if gains is None else gains.unionByName(new)
-    return both.groupBy(*KEY).agg(F.sum("gain").alias("gain"))
+def _after(known: DataFrame | None, rated: DataFrame) -> DataFrame:
+    """Gain and bout count of every entity after the rated bouts."""
+    new = changes(rated).select(*KEY, F.col("change").alias("gain"), F.lit(1).cast("bigint").alias("bouts"))
+    both = new if known is None else known.select(*KEY, "gain", "bouts").unionByName(new)
+    return both.groupBy(*KEY).agg(F.sum("gain").alias("gain"), F.sum("bouts").alias("bouts"))
 
 
 def _group_replay(fixed_k: float | None, frozen: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Replay of one bounded pool in bout order."""
+    """Replay of one bounded group in bout order."""
 
     def k_of(n: int) -> float:
         if fixed_k is not None:
@@ -196,112 +132,113 @@ def _group_replay(fixed_k: float | None, frozen: bool) -> Callable[[pd.DataFrame
     return run
 
 
-def _replay_small_pools(
-    bouts: DataFrame, fixed_k: float | None, frozen: bool, gains: DataFrame | None, counts: DataFrame | None
-) -> DataFrame:
-    score = score_of(outcome_of(F.col("red"), F.col("winner"))).alias("red_score")
-    rows = _with_base(bouts.select("pool", "bout_id", "d", "red", "blue", score), gains).drop("red_pre", "blue_pre")
-    for side in ("red", "blue"):
-        if counts is None:
-            rows = rows.withColumn(f"{side}_seen", F.lit(0).cast("bigint"))
-        else:
-            known = counts.select("pool", F.col("entity").alias(side), F.col("bouts").alias("_b"))
-            rows = rows.join(known, ["pool", side], "left")
-            rows = rows.withColumn(f"{side}_seen", F.coalesce("_b", F.lit(0))).drop("_b")
+RATED = [
+    "pool", "bout_id", "d", "red", "blue", "red_score", "red_k", "blue_k", "red_base", "blue_base", "red_pre", "blue_pre",
+]
+
+
+def _replay_groups(part: DataFrame, group: Column, fixed_k: float | None, frozen: bool, known: DataFrame | None) -> DataFrame:
+    """Bouts of one value of (pool, ``group``) share no entity with those of another."""
+    rows = _with_base(part.withColumn("group", group), known)
     names = ["pool", "bout_id", "d", "red", "blue", "red_score", "red_base", "blue_base"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*names).schema.fields)
     schema += ", red_k double, blue_k double, red_pre double, blue_pre double"
-    rows = rows.select(*names, "red_seen", "blue_seen")
-    return rows.groupBy("pool").applyInPandas(_group_replay(fixed_k, frozen), schema).select(*RATED)
+    kept = rows.select(*names, "red_seen", "blue_seen", "group")
+    run = _group_replay(fixed_k, frozen)
+    return kept.groupBy("pool", "group").applyInPandas(lambda pdf: run(pdf.drop(columns="group")), schema).select(*RATED)
 
 
-RATED = [
-    "pool", "bout_id", "d", "red", "blue", "red_score", "red_k", "blue_k", "red_base", "blue_base", "red_pre", "blue_pre",
-]
+def _replay_day(part: DataFrame, fixed_k: float | None, known: DataFrame | None) -> DataFrame:
+    """Bouts of a single day per pool with ratings frozen: every bout takes the ratings before the day."""
+    rows = _with_base(with_k(part, fixed_k, known), known)
+    return rows.withColumns({"red_pre": F.col("red_base"), "blue_pre": F.col("blue_base")}).select(*RATED)
+
+
+def _sliced(rows: DataFrame, frozen: bool, bound: int) -> DataFrame:
+    """``place`` of each bout in its pool (of the first bout of its day if frozen), and the number of its ``slice``."""
+    lengths = rows.groupBy("pool").agg((F.approx_count_distinct("red") * BOUTS_PER_ENTITY).cast("bigint").alias("wide"))
+    lengths = lengths.select("pool", F.greatest("wide", F.lit(bound)).alias("length"))
+    if frozen:
+        daily = rows.groupBy("pool", "d").agg(F.count("*").alias("n"))  # one row per pool and day
+        before = Window.partitionBy("pool").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+        daily = daily.select(F.col("pool").alias("p"), F.col("d").alias("day"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("place"))
+        rows = rows.join(daily, F.col("pool").eqNullSafe(F.col("p")) & F.col("d").eqNullSafe(F.col("day"))).drop("p", "day")
+    else:
+        rows = running(rows, ["pool"], "bout_id", [Run("place", "count", F.lit(1))], find_skew(rows, ["pool"], bound))
+    return rows.join(lengths, "pool").withColumn("slice", F.floor(F.col("place") / F.col("length")).cast("int")).drop("length")
+
+
+def _halves(part: DataFrame) -> list[DataFrame]:
+    """The earlier and the later half of each pool's places; both have rows of every pool with two places."""
+    ends = part.groupBy("pool").agg(((F.min("place") + F.max("place")) / 2).alias("middle"))
+    cut = part.join(ends, "pool")
+    early = F.col("place") < F.col("middle")
+    return [stage(cut.where(half).drop("middle")) for half in (early, ~early)]
+
+
+def _parts(part: DataFrame, frozen: bool, bound: int) -> Iterator[tuple[DataFrame, Column | None]]:
+    """Slices in order, each with a column that names the groups inside a pool (None: a single day of frozen ratings)."""
+    sizes = part.groupBy("pool").agg(F.count("*").alias("n"), F.count_distinct("place").alias("places"))
+    most, places = sizes.agg(F.max("n"), F.max("places")).first()
+    if (most or 0) <= bound:
+        yield part, F.lit(0).cast("bigint")
+        return
+    if frozen and places == 1:
+        yield part, None
+        return
+    roots = connected_components(part, ["pool"], "red", "blue")
+    labelled = stage(part.join(roots.withColumnRenamed("vertex", "red"), ["pool", "red"]))
+    if labelled.groupBy("pool", "root").count().agg(F.max("count")).first()[0] <= bound:
+        groups = max(1, math.ceil(4 * most / bound))  # small components share a group of a quarter of the bound
+        yield labelled, F.pmod(F.xxhash64("root"), F.lit(groups).cast("bigint"))
+        return
+    for half in _halves(part):
+        yield from _parts(half, frozen, bound)
 
 
 def replay(
     bouts: DataFrame,
     fixed_k: float | None = None,
     frozen: bool = False,
-    known_gains: DataFrame | None = None,
-    known_counts: DataFrame | None = None,
-    pool_rows: int | None = None,
-    **options,
-) -> DataFrame:
-    """Pre-bout ratings ``red_pre`` and ``blue_pre`` of ``bouts`` (pool, bout_id, d, red, blue, winner)."""
-    large = find_skew(bouts, ["pool"], POOL_ROWS if pool_rows is None else pool_rows)
-    if large == NO_SKEW:
-        return _replay_small_pools(bouts, fixed_k, frozen, known_gains, known_counts)
-    if large == ALL_KEYS:
-        return replay_in_sweeps(bouts, fixed_k, frozen, known_gains, known_counts, **options)
-    names = F.broadcast(large.heavy)  # listed keys, at most MAX_LISTED_KEYS
-    small = bouts.join(names, "pool", "left_anti")
-    swept = replay_in_sweeps(bouts.join(names, "pool", "left_semi"), fixed_k, frozen, known_gains, known_counts, **options)
-    return _replay_small_pools(small, fixed_k, frozen, known_gains, known_counts).unionByName(swept)
-
-
-def replay_in_sweeps(
-    bouts: DataFrame,
-    fixed_k: float | None = None,
-    frozen: bool = False,
-    known_gains: DataFrame | None = None,
-    known_counts: DataFrame | None = None,
-    per_slice: int = BOUTS_PER_SLICE,
-    sweeps_per_job: int = SWEEPS_PER_JOB,
-    skew: Skew | None = None,
+    known: DataFrame | None = None,
+    group_bouts: int | None = None,
 ) -> DataFrame:
-    """``replay`` for pools of any size."""
-    if skew is None:
-        sides = bouts.select("pool", F.explode(F.array("red", "blue")).alias("entity"))
-        skew = find_skew(sides, KEY)
-    prepared = stage(with_k(bouts, skew, fixed_k, known_counts))
-    ends = _time_slices(prepared, per_slice)
-    done: list[DataFrame] = []
-    gains, start = known_gains, None
-    for i, end in enumerate(ends):
-        part = prepared.where(F.col("d") <= F.lit(end))
-        if start is not None:
-            part = part.where(F.col("d") > F.lit(start))
-        wide = _with_base(part, gains)
-        while True:
-            for j in range(sweeps_per_job):
-                wide = _sweep(wide, skew, frozen, track=j == sweeps_per_job - 1)
-            wide = stage(wide)
-            moved = wide.agg(F.max("_moved")).first()[0]
-            if moved is None or moved <= SETTLED:
-                break
-        done.append(wide.select(*RATED))
-        if i < len(ends) - 1:
-            gains = stage(_add_gains(gains, wide))
-        start = end
-    if not done:
-        return _with_base(prepared, known_gains).select(*RATED)
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def replay_after(bouts: DataFrame, gains: DataFrame | None, **options) -> tuple[DataFrame, DataFrame]:
+    """Pre-bout ratings ``red_pre`` and ``blue_pre`` of ``bouts`` (pool, bout_id, d, red, blue, winner).
+
+    ``known`` (pool, entity, gain, bouts) is the state after earlier bouts. Slices are stored as they are done.
+    """
+    bound = GROUP_BOUTS if group_bouts is None else group_bouts
+    spark = bouts.sparkSession
+    score = score_of(outcome_of(F.col("red"), F.col("winner"))).alias("red_score")
+    rows = stage(bouts.select("pool", "bout_id", "d", "red", "blue", score))
+    most = rows.groupBy("pool").count().agg(F.max("count")).first()[0] or 0
+    if most <= bound:
+        return _replay_groups(rows, F.lit(0).cast("bigint"), fixed_k, frozen, known)
+    sliced = stage(_sliced(rows, frozen, bound), "slice")
+    last = sliced.agg(F.max("slice")).first()[0]
+    folder = os.path.join(checkpoint_root(spark), "ratings-" + uuid.uuid4().hex)
+    done, schema = 0, None
+    for i in range(last + 1):
+        for part, group in _parts(sliced.where(F.col("slice") == i).drop("slice"), frozen, bound):
+            path = os.path.join(folder, f"step={done}")
+            rated = _replay_day(part, fixed_k, known) if group is None else _replay_groups(part, group, fixed_k, frozen, known)
+            rated.write.parquet(path)
+            schema, done = rated.schema, done + 1
+            known = stage(_after(known, spark.read.schema(schema).parquet(path)))
+    return spark.read.schema(schema).parquet(*[os.path.join(folder, f"step={j}") for j in range(done)])
+
+
+def replay_after(bouts: DataFrame, known: DataFrame | None, **options) -> tuple[DataFrame, DataFrame]:
     """Continue a stored replay: ratings of new bouts, and the gains and bout counts after them.
 
-    ``gains`` has pool, entity, gain and bouts; all new bouts come after those it covers.
+    ``known`` has pool, entity, gain and bouts; all new bouts come after those it covers.
     """
-    known = None if gains is None else gains.select(*KEY, "gain")
-    counts = None if gains is None else gains.select(*KEY, "bouts")
-    rated = replay(bouts, known_gains=known, known_counts=counts, **options)
-    new = changes(rated).select(*KEY, F.col("change").alias("gain"), F.lit(1).cast("bigint").alias("bouts"))
-    both = new if gains is None else gains.select(*KEY, "gain", "bouts").unionByName(new)
-    return rated, both.groupBy(*KEY).agg(F.sum("gain").alias("gain"), F.sum("bouts").alias("bouts"))
+    rated = replay(bouts, known=known, **options)
+    return rated, _after(known, rated)
 
 
 def replay_by_period(bouts: DataFrame, fixed_k: float | None = None, **options) -> DataFrame:
-    """As ``replay``, with ratings frozen inside a day: all bouts of a card see the ratings before it.
-
-    Chains are then at most as long as the number of days in a slice, even for an entity that holds a
-    large share of all bouts.
-    """
+    """As ``replay``, with ratings frozen inside a day: all bouts of a card see the ratings before it."""
     return replay(bouts, fixed_k, frozen=True, **options)
 
 

@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from tests.helpers import frame, random_bouts, replay_ratings
 
 from boutline.operators import ratings as rt
 from boutline.operators import scan
+from boutline.operators.components import connected_components
 
 
 def pooled(spark, rows):
@@ -17,47 +20,66 @@ def check(got, want):
         assert (r["red_pre"], r["blue_pre"]) == pytest.approx(want[r["bout_id"]], abs=1e-7)
 
 
-def test_sweeps_equal_loop(spark):
-    rows = random_bouts(80)
-    check(rt.replay_in_sweeps(pooled(spark, rows), per_slice=15), replay_ratings(rows))
+@pytest.mark.parametrize("names,bound", [(6, 1000), (6, 30), (60, 12), (150, 8)])
+def test_groups_equal_loop(spark, monkeypatch, names, bound):
+    """One group per pool; short slices in one group each; slices cut into components, and halved where one is too large."""
+    seen = []
+    parts = rt._parts
+    monkeypatch.setattr(rt, "_parts", lambda *a: (seen.append(p[1]) or p for p in parts(*a)))
+    monkeypatch.setattr(rt, "BOUTS_PER_ENTITY", 0.7)
+    rows = random_bouts(140, names=names)
+    check(rt.replay(pooled(spark, rows), group_bouts=bound), replay_ratings(rows))
+    assert len(seen) >= (0 if bound == 1000 else 3)
+    assert any("pmod" in str(g) for g in seen) == (names >= 60)
 
 
-@pytest.mark.parametrize("pool_rows", [1000, 70])
-def test_pools_by_size(spark, pool_rows):
-    """All pools in groups, or the larger one in sweeps."""
-    rows = random_bouts(140)
-    sizes = sorted(sum(r[5] == p for r in rows) for p in "AB")
-    assert sizes[0] <= 70 < sizes[1]
-    check(rt.replay(pooled(spark, rows), pool_rows=pool_rows), replay_ratings(rows))
+def test_components_are_halved(spark, monkeypatch):
+    """Slices of the whole pool: every component above the bound sends both halves through again."""
+    monkeypatch.setattr(rt, "BOUTS_PER_ENTITY", 100.0)
+    rows = random_bouts(60, names=40)
+    check(rt.replay(pooled(spark, rows), group_bouts=10), replay_ratings(rows))
 
 
 def test_replay_with_hot_entity(spark, monkeypatch):
     monkeypatch.setattr(scan, "SEGMENT_ROWS", 20)
-    rows = random_bouts(60, names=8, hot="e0")
-    check(rt.replay_in_sweeps(pooled(spark, rows), per_slice=40), replay_ratings(rows))
+    rows = random_bouts(80, names=8, hot="e0")
+    check(rt.replay(pooled(spark, rows), group_bouts=25), replay_ratings(rows))
 
 
-def test_period_replay_equals_loop(spark):
-    rows = random_bouts(60)
-    got = rt.replay_by_period(pooled(spark, rows), fixed_k=32.0, per_slice=20, pool_rows=0)
-    check(got, replay_ratings(rows, frozen=True, fixed_k=32))
-    check(rt.replay_by_period(pooled(spark, rows)), replay_ratings(rows, frozen=True))
+@pytest.mark.parametrize("days,bound", [(10, 20), (40, 7), (3, 5), (10, 1000)])
+def test_period_replay_equals_loop(spark, days, bound):
+    """Slices of several days, and days with more bouts than a group may have."""
+    rows = random_bouts(60, names=30, days=days)
+    check(rt.replay_by_period(pooled(spark, rows), group_bouts=bound), replay_ratings(rows, frozen=True))
+    if bound < 1000:
+        check(rt.replay_by_period(pooled(spark, rows), fixed_k=32.0, group_bouts=bound), replay_ratings(rows, frozen=True, fixed_k=32))
 
 
 def test_period_replay_with_hot_entity(spark, monkeypatch):
-    monkeypatch.setattr(scan, "SEGMENT_ROWS", 20)
-    rows = random_bouts(50, hot="e0")
-    check(rt.replay_by_period(pooled(spark, rows), pool_rows=0), replay_ratings(rows, frozen=True))
+    monkeypatch.setattr(scan, "SEGMENT_ROWS", 5)
+    rows = random_bouts(50, hot="e0", days=4)
+    check(rt.replay_by_period(pooled(spark, rows), group_bouts=5), replay_ratings(rows, frozen=True))
 
 
-@pytest.mark.parametrize("pool_rows", [1000, 0])
-def test_continued_replay(spark, pool_rows):
+@pytest.mark.parametrize("bound", [1000, 10])
+def test_continued_replay(spark, bound):
     rows = random_bouts(60)
-    first, gains = rt.replay_after(pooled(spark, rows[:35]), None, pool_rows=pool_rows)
-    second, _ = rt.replay_after(pooled(spark, rows[35:]), gains, pool_rows=pool_rows)
+    first, known = rt.replay_after(pooled(spark, rows[:35]), None, group_bouts=bound)
+    second, _ = rt.replay_after(pooled(spark, rows[35:]), known, group_bouts=bound)
     check(first.unionByName(second), replay_ratings(rows))
 
 
+def test_connected_components(spark):
+    r = random.Random(4)
+    edges = [(p, r.randrange(60), r.randrange(60)) for p in "AB" for _ in range(35)] + [("C", i, i + 1) for i in range(50)]
+    root = {(p, v): v for p, a, b in edges for v in (a, b)}
+    for _ in range(60):
+        for p, a, b in edges:
+            root[p, a] = root[p, b] = min(root[p, a], root[p, b])
+    got = connected_components(spark.createDataFrame(edges, "pool string, a long, b long"), ["pool"]).collect()
+    assert {(x["pool"], x["vertex"]): x["root"] for x in got} == root and len(got) == len(root)
+
+
 def test_equal_k_keeps_the_sum(spark):
     final = rt.final_ratings(rt.replay(pooled(spark, random_bouts(80)), fixed_k=32.0)).collect()
     assert sum(r["rating"] for r in final) == pytest.approx(1000.0 * len(final))
