@@ -246,13 +246,17 @@ def with_master(bouts: DataFrame, master: DataFrame, cols: Sequence[str]) -> Dat
     return bouts
 
 
-def history_aggregates(long: DataFrame, values: Sequence[str]) -> DataFrame:
-    """Mean, sum and deviation of each value per entity."""
+def history_aggregates(long: DataFrame, values: Sequence[str], places: int = 9) -> DataFrame:
+    """Mean, sum and deviation of each value per entity.
+
+    Sums are rounded to ``places`` first, so that the order of addition cannot decide how a mean is rounded later.
+    """
     aggs = []
     for c in values:
+        total = F.round(F.sum(c), places)
         aggs += [
-            F.avg(c).alias(f"{c}_avg"),
-            F.sum(c).alias(f"{c}_sum"),
+            F.try_divide(total, F.count(c)).alias(f"{c}_avg"),
+            total.alias(f"{c}_sum"),
             F.when(F.count(c) > 1, F.stddev(c)).alias(f"{c}_std"),
         ]
     return long.groupBy("entity").agg(*aggs)

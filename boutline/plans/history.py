@@ -308,7 +308,7 @@ _AGG = ["own_kd", "own_sig", "minutes"]
 
 @query(
     "entity_opponent_aggs",
-    views("long", f"""a AS (SELECT entity, {", ".join(f"avg({c}) AS {c}_avg, sum({c}) AS {c}_sum, stddev_samp({c}) AS {c}_std" for c in _AGG)} FROM long GROUP BY entity)
+    views("long", f"""a AS (SELECT entity, {", ".join(f"round(sum({c}), 9) / count({c}) AS {c}_avg, round(sum({c}), 9) AS {c}_sum, stddev_samp({c}) AS {c}_std" for c in _AGG)} FROM long GROUP BY entity)
 SELECT b.bout_id, {", ".join(f"round({s}.{c}_{k}, 4) AS {n}_{c}_{k}" for s, n in (('r', 'red'), ('u', 'blue')) for c in _AGG for k in ('avg', 'sum', 'std'))}
 FROM bouts b JOIN a r ON r.entity = b.red JOIN a u ON u.entity = b.blue"""),
     places=4,

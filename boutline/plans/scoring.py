@@ -76,16 +76,31 @@ def rating_top(spark: SparkSession, sf: str) -> DataFrame:
     return rt.leaderboard(final.withColumn("rating", F.round("rating", 4)))
 
 
-_POOLED = _REPLAY.replace("x.method AS pool", "'all' AS pool").replace("method AS pool", "'all' AS pool").replace("SELECT method, bout_id", "SELECT 'all', bout_id").replace("PARTITION BY x.method ORDER", "ORDER")
-for _cte in ("b AS (", "rated AS (", "rated_sides AS ("):  # computed once, not per use
-    _POOLED = _POOLED.replace("\n" + _cte, "\n" + _cte.replace("AS (", "AS MATERIALIZED ("))
+# one pool of all bouts: every step rates the bouts whose sides' previous bouts are rated, so steps are as many as the longest chain
+_CHAINS = f"""sides AS MATERIALIZED (SELECT bout_id, red AS entity, TRUE AS is_red FROM bouts UNION ALL SELECT bout_id, blue, FALSE FROM bouts),
+linked AS MATERIALIZED (SELECT *, row_number() OVER w AS n, coalesce(lag(bout_id) OVER w, -1) AS prev, coalesce(lag(is_red) OVER w, TRUE) AS prev_red
+   FROM sides WINDOW w AS (PARTITION BY entity ORDER BY bout_id)),
+b AS MATERIALIZED (SELECT x.bout_id, x.red, x.blue, CASE WHEN x.winner IS NULL THEN 0.5 WHEN x.winner = x.red THEN 1.0 ELSE 0.0 END::DOUBLE AS s,
+   {_K.format(n='r.n')} AS rk, {_K.format(n='u.n')} AS bk, r.prev AS rp, r.prev_red AS rr, u.prev AS bp, u.prev_red AS br
+   FROM bouts x JOIN linked r ON r.bout_id = x.bout_id AND r.is_red JOIN linked u ON u.bout_id = x.bout_id AND NOT u.is_red),
+replay(bout_id, red_pre, blue_pre, red_post, blue_post) USING KEY (bout_id) AS (
+  SELECT -1::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 1000.0::DOUBLE, 1000.0::DOUBLE
+  UNION
+  SELECT bout_id, ra, rb, ra + rk * (s - e), rb + bk * (e - s) FROM (
+    SELECT *, 1 / (1 + pow(10.0::DOUBLE, (rb - ra) / 400)) AS e FROM (
+      SELECT b.*, CASE WHEN b.rr THEN x.red_post ELSE x.blue_post END AS ra, CASE WHEN b.br THEN y.red_post ELSE y.blue_post END AS rb
+      FROM b JOIN recurring.replay x ON x.bout_id = b.rp JOIN recurring.replay y ON y.bout_id = b.bp LEFT JOIN recurring.replay z ON z.bout_id = b.bout_id,
+         (SELECT count(*) AS n FROM replay) AS latest
+      WHERE z.bout_id IS NULL AND latest.n > 0))),
+rated AS MATERIALIZED (SELECT b.bout_id, red, blue, red_pre, blue_pre FROM b JOIN replay USING (bout_id)),
+rated_sides AS MATERIALIZED (SELECT bout_id, red AS entity, red_pre AS own_pre, blue_pre AS opp_pre FROM rated UNION ALL SELECT bout_id, blue, blue_pre, red_pre FROM rated)"""
 
 
 @query(
     "rated_features",
-    views("hist", f"""{_POOLED},
-opp AS (SELECT *, avg(opp_pre) OVER {PRIOR} AS opp_elo FROM rated_sides),
-fit AS (SELECT bout_id FROM hist GROUP BY bout_id HAVING min(n) >= 3 AND count(dob) = 2 AND max(outcome) <> 'draw')
+    views("hist", f"""{_CHAINS},
+opp AS MATERIALIZED (SELECT *, avg(opp_pre) OVER {PRIOR} AS opp_elo FROM rated_sides),
+fit AS MATERIALIZED (SELECT bout_id FROM hist GROUP BY bout_id HAVING min(n) >= 3 AND count(dob) = 2 AND max(outcome) <> 'draw')
 SELECT r.bout_id, round(a.own_pre, 4) AS red_elo, round(c.own_pre, 4) AS blue_elo, round(a.own_pre - c.own_pre, 4) AS elo_oppdiff,
    round(a.opp_elo, 4) AS red_opp_elo, round(c.opp_elo, 4) AS blue_opp_elo, round(a.opp_elo - c.opp_elo, 4) AS opp_elo_oppdiff
 FROM rated r JOIN fit USING (bout_id) JOIN opp a ON a.bout_id = r.bout_id AND a.entity = r.red JOIN opp c ON c.bout_id = r.bout_id AND c.entity = r.blue""", recursive=True),
