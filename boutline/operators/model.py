@@ -87,13 +87,18 @@ def log_loss_of(label: Column, p: Column) -> Column:
     return -F.log(F.least(F.greatest(right, F.lit(CLIP)), F.lit(1 - CLIP)))
 
 
+def fit_ensemble(train: DataFrame, inputs: Sequence[str], param_sets: Sequence[dict], seed: int = 42) -> list[PipelineModel]:
+    """One early-stopped model per setting, each with a seed of its own."""
+    return [fit_early(train, inputs, seed + i, **params) for i, params in enumerate(param_sets)]
+
+
 def ensemble_scores(
     train: DataFrame, test: DataFrame, inputs: Sequence[str], param_sets: Sequence[dict], seed: int = 42
 ) -> DataFrame:
     """One row per test row and model; the caller averages them."""
     out = None
-    for i, params in enumerate(param_sets):
-        s = score(fit_early(train, inputs, seed + i, **params), test).withColumn("model", F.lit(i))
+    for i, model in enumerate(fit_ensemble(train, inputs, param_sets, seed)):
+        s = score(model, test).withColumn("model", F.lit(i))
         out = s if out is None else out.unionByName(s)
     return out
 

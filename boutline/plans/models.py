@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutline.functions import parse
+from boutline.operators import attributions as at
 from boutline.operators import backtest as bt
 from boutline.operators import features as fx
 from boutline.operators import model as md
@@ -17,6 +18,7 @@ from boutline.session import stage
 from boutline.sources import tables as t
 
 TRIALS = 5
+MEMBERS = [{"subsamplingRate": s} for s in (0.5, 0.6, 0.7, 0.8, 1.0)]
 
 
 def staged_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,15 +50,15 @@ def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
 def gbt_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     """Five models with their own settings and seeds, averaged."""
     train, test, kept = fitted(spark, sf)
-    sets = [{"subsamplingRate": s} for s in (0.5, 0.6, 0.7, 0.8, 1.0)]
-    scores = md.ensemble_scores(train, test, kept, sets)
+    scores = md.ensemble_scores(train, test, kept, MEMBERS)
     return sm.ensemble_mean(scores.select("bout_id", F.col("p_win").alias("p")))
 
 
 @query("feature_importance")
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean absolute attribution of each input over all test rows and the five models of the ensemble."""
     train, test, kept = fitted(spark, sf)
-    return md.permutation_importance(md.fit_early(train, kept), test, kept)
+    return at.mean_attribution(md.fit_ensemble(train, kept, MEMBERS), test, kept)
 
 
 def tuning_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
