@@ -36,6 +36,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.leading = leading
+        self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
         self._reset()
 
     def _reset(self) -> None:
@@ -74,6 +75,8 @@ class Encoder:
             texts = pc.binary_join_element_wise("\x01", pc.replace_substring(texts, "\n", " \n"), "")
         else:
             # a letter and the mark after it are never one token here, if the letter's lower-case form ends with a letter
+            if self.lowers:  # fewer distinct pieces; names of special tokens count only as they are written
+                texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
             texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), _LETTER_MARK, r"\1 \2")
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()

@@ -57,7 +57,7 @@ def test_blocks_are_independent_and_checked():
 def test_encoder_equals_library(vocabulary, leading):
     coder = tokens.Encoder(vocabulary, leading)
     r = random.Random(5)
-    parts = ["the", "The", "don't", "x.", "a,b", "..", "é", "é", "漢字", "😀", "<|endoftext|>", " ", "  ", "\n", "\t", " ", "\x01", "'s", "12", "ΑΣ", ",", "　", "İ", "I\u0307", "\u0958", "\ufb1d", "ŉ", "é."]
+    parts = ["the", "The", "don't", "x.", "a,b", "..", "é", "é", "漢字", "😀", "<|endoftext|>", " ", "  ", "\n", "\t", " ", "\x01", "'s", "12", "ΑΣ", ",", "　", "İ", "I\u0307", "<|ENDOFTEXT|>", "<|", "E\u0301A", "\u0958", "\ufb1d", "ŉ", "é."]
     texts = ["", " ", "\n", " a", "a\n", "a \n b", "İ.", "A.İ.", "İ. Melih", "\u0958.", "\ufb2a,", *("".join(r.choice(parts) + r.choice(["", " "]) for _ in range(r.randint(1, 14))) for _ in range(3000))]
     for _ in range(2):  # the second time from memory
         ids, sizes = coder.encode(pa.array(texts))
