@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boutline.functions import parse
 from boutline.operators import clean, features
 from boutline.operators.backtest import resolve_winner
-from boutline.operators.longform import first_perspective, long_form
+from boutline.operators.longform import first_perspective, long_form, sides_to_wide
 from boutline.operators.summary import numbered
 from boutline.plans.registry import query, sql_round, views
+from boutline.session import stage
 from boutline.sources import pages as pg
 from boutline.sources import tables as t
 
@@ -334,6 +335,35 @@ def link_in_degree(spark: SparkSession, sf: str) -> DataFrame:
     return pg.link_in_degree(t.table(spark, sf, "pages"))
 
 
+LEVELS = 6
+
+
+def chain_pages(bouts: DataFrame) -> DataFrame:
+    """One page per bout with links to the next bouts of both sides, and an absolute one to a page that is not stored."""
+    w = Window.partitionBy("entity").orderBy("bout_id")
+    sides = long_form(bouts).select("bout_id", "side", F.lead("bout_id").over(w).alias("next"))
+    after = sides_to_wide(sides, ["next"])
+    link = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit('<a href="/bout/'), F.col(c).cast("string"), F.lit('">next</a>'))).otherwise("")
+    html = F.concat(F.lit("<html><body>"), link("red_next"), link("blue_next"), F.lit('<a href="http://elsewhere/bout/1">other</a></body></html>'))
+    url = F.concat(F.lit("http://contests/bout/"), F.col("bout_id").cast("string"))
+    return after.select(F.col("bout_id").alias("page_id"), url.alias("url"), html.alias("html"))
+
+
+@query(
+    "link_expansion",
+    views("bouts", f"""s AS (SELECT bout_id, red AS entity FROM bouts UNION ALL SELECT bout_id, blue FROM bouts),
+e AS (SELECT DISTINCT bout_id, lead(bout_id) OVER (PARTITION BY entity ORDER BY bout_id) AS target FROM s),
+reach(page_id, level) AS (SELECT bout_id, 0::BIGINT FROM bouts WHERE d = (SELECT min(d) FROM bouts)
+  UNION SELECT target, level + 1 FROM reach JOIN e ON bout_id = page_id WHERE target IS NOT NULL AND level < {LEVELS})
+SELECT page_id, min(level) AS level FROM reach GROUP BY page_id""", recursive=True),
+)
+def link_expansion(spark: SparkSession, sf: str) -> DataFrame:
+    """Bout pages reached from those of the first day in at most six links, breadth first."""
+    b = t.bouts(spark, sf)
+    first = b.where(F.col("d") == b.agg(F.min("d")).scalar()).select(F.col("bout_id").alias("page_id"))
+    return pg.reached_pages(stage(chain_pages(b)), first, levels=LEVELS)
+
+
 def bout_pages(bouts: DataFrame) -> DataFrame:
     """Bouts rendered as stored detail pages, the input of the page extraction queries."""
     s = lambda c: F.col(c).cast("string")

@@ -11,6 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boutline.session import stage
+
 HREF = r'href="([^"]*)"'
 LABEL = r'(?s)<i class="[^"]*(?:label|title)[^"]*">(.*?)</i>'
 LABELLED = (
@@ -102,6 +104,27 @@ def expand_links(pages: DataFrame, start: DataFrame, tokens: list[str]) -> DataF
     return level
 
 
+def reached_pages(pages: DataFrame, start: DataFrame, token: str | None = None, levels: int | None = None) -> DataFrame:
+    """page_id and level of every stored page reached by links from ``start`` (level 0), breadth first.
+
+    All pages are scanned for links once. A page is visited at its first level only, so circles end; ``levels`` stops
+    earlier. Every level is one join and one anti-join, and is stored. Links to pages that are not stored lead nowhere.
+    """
+    links = page_links(pages, token).select("page_id", absolute_link(F.col("url"), F.col("link")).alias("url")).distinct()
+    known = pages.select(F.col("page_id").alias("target"), "url")
+    edges = stage(links.join(known, "url").select("page_id", "target").distinct())
+    front = stage(start.select("page_id", F.lit(0).alias("level")).distinct())
+    visited, level = front, 0
+    while levels is None or level < levels:
+        level += 1
+        found = front.join(edges, "page_id").select(F.col("target").alias("page_id")).distinct()
+        front = stage(found.join(visited, "page_id", "left_anti").select("page_id", F.lit(level).alias("level")))
+        if front.isEmpty():
+            break
+        visited = visited.unionByName(front)
+    return visited
+
+
 def labelled_values(pages: DataFrame, names: Mapping[str, str]) -> DataFrame:
     """``label: value`` pairs of a page as columns; ``names`` maps labels to column names."""
     pairs = pages.select(

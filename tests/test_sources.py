@@ -105,6 +105,23 @@ def test_link_expansion(spark):
     assert degree["http://x/card/1"] == (1, 2, True) and degree["http://x/about"] == (1, 1, False)
 
 
+def test_reached_pages_ends_in_circles(spark):
+    rows = [
+        (1, "http://x/1", '<a href="/2"><a href="/2"><a href="http://x/3"><a href="/none">'),
+        (2, "http://x/2", '<a href="/4"><a href="/1">'),
+        (3, "http://x/3", '<a href="/4"><a href="/3">'),
+        (4, "http://x/4", '<a href="/5">'),
+        (5, "http://x/5", None),
+        (6, "http://x/6", '<a href="/1">'),
+    ]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    reach = lambda *a, **k: {r["page_id"]: r["level"] for r in pages.reached_pages(df, df.where("page_id = 1"), *a, **k).collect()}
+    assert reach() == {1: 0, 2: 1, 3: 1, 4: 2, 5: 3}
+    assert reach(levels=1) == {1: 0, 2: 1, 3: 1}
+    assert reach("x/") == {1: 0, 3: 1}
+    assert pages.reached_pages(df, df.where("false")).count() == 0
+
+
 def test_history_and_pairs(spark):
     html = "<table><tr><th>h</th></tr><tr><td><a>win</a></td><td><p>2</p><p>1</p></td></tr><tr><td>loss</td><td><p>0</p><p>3</p></td></tr></table>"
     df = spark.createDataFrame([(1, html)], "page_id int, html string")
