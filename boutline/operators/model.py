@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,6 +119,43 @@ def cross_validate(rows: DataFrame, inputs: Sequence[str], folds: int = 5, order
     return losses
 
 
+def successive_halving(
+    rows: DataFrame, inputs: Sequence[str], trials: int = 8, rounds: Sequence[int] = (2, 5, 10), survivors: int = 5, seed: int = 42,
+    folds: int = 5, parallel: int = 4, **fixed,
+) -> list[dict]:
+    """Seeded draws tried with few boosting rounds on all folds; the better half goes on with more, never fewer than ``survivors``.
+
+    A trial stops early by falling behind. One dict per draw: its settings, ``stage`` and ``rounds`` it reached, its mean log loss
+    there and whether it ``survived`` to the end; best first. Trials of a stage are independent Spark jobs on the same cached folds.
+    """
+    rng = random.Random(seed)
+    split = cv_folds(rows, "bout_id", folds).cache()
+
+    def loss_of(params: dict, iterations: int) -> float:
+        losses = []
+        for f in range(folds):
+            model = fit_boosted(split.where(F.col("fold").isNull() | (F.col("fold") < f)), inputs, **{**params, **fixed, "maxIter": iterations})
+            s = score(model, split.where(F.col("fold") == f), ("label",))
+            losses.append(s.agg(F.avg(log_loss_of(F.col("label"), F.col("p_win")))).first()[0])
+        return sum(losses) / folds
+
+    open_ = [{"draw": i, "settings": {k: rng.choice(v) for k, v in SEARCH_SPACE.items()}} for i in range(trials)]
+    done: list[dict] = []
+    try:
+        with ThreadPool(parallel) as pool:
+            for number, iterations in enumerate(rounds):
+                losses = pool.map(lambda x, n=iterations: loss_of(x["settings"], n), open_)
+                open_ = [{**x, "stage": number, "rounds": iterations, "log_loss": v} for x, v in zip(open_, losses, strict=True)]
+                open_.sort(key=lambda x: (x["log_loss"], x["draw"]))
+                keep = len(open_) if number + 1 == len(rounds) else max(survivors, len(open_) // 2)
+                done += [{**x, "survived": False} for x in open_[keep:]]
+                open_ = open_[:keep]
+    finally:
+        split.unpersist()
+    done.sort(key=lambda x: (-x["stage"], x["log_loss"], x["draw"]))
+    return [{**x, "survived": True} for x in open_] + done
+
+
 def random_search(rows: DataFrame, inputs: Sequence[str], trials: int, seed: int = 42, folds: int = 5, **fixed) -> list[tuple[float, dict]]:
     """Seeded draws from the search space, best mean log loss first."""
     rng = random.Random(seed)
@@ -171,6 +209,24 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, inputs: Sequen
     return by_feature.where(F.col("feature") != "(none)").select("feature", (F.col("loss") - base).alias("importance"))
 
 
+def with_inputs(model: PipelineModel, cols: Sequence[str], flags: Sequence[str] = ()) -> PipelineModel:
+    """A model that carries its columns: it picks and fills them from raw feature rows itself, also after it was stored.
+
+    Missing values become 0, names in ``flags`` get their 0/1 column; other columns of the rows do not matter. The extra
+    columns it adds begin with ``in_``.
+    """
+    picked = [f"coalesce(CAST(`{c}` AS DOUBLE), 0.0D) AS `in_{c}`" for c in cols]
+    picked += [f"CAST(`{c}` IS NULL AS DOUBLE) AS `in_{c}_missing`" for c in flags]
+    pick = SQLTransformer(statement=f"SELECT *, {', '.join(picked)} FROM __THIS__")
+    names = [f"in_{c}" for c in input_names(cols, flags)]
+    return PipelineModel(stages=[pick, VectorAssembler(inputCols=names, outputCol="inputs"), model.stages[-1]])
+
+
+def kept_inputs(model: PipelineModel) -> list[str]:
+    """The inputs of a model made by ``with_inputs``, in order."""
+    return [c.removeprefix("in_") for c in model.stages[1].getInputCols()]
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

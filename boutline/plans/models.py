@@ -17,7 +17,7 @@ from boutline.plans.scoring import CUTOFF, epochs
 from boutline.session import stage
 from boutline.sources import tables as t
 
-TRIALS = 5
+TRIALS = 8
 MEMBERS = [{"subsamplingRate": s} for s in (0.5, 0.6, 0.7, 0.8, 1.0)]
 
 
@@ -78,13 +78,14 @@ def cv_losses(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("tuning_trials")
 def tuning_trials(spark: SparkSession, sf: str) -> DataFrame:
-    """Settings drawn by the search with their mean log loss, best first."""
+    """Settings drawn by the search, the rounds each one reached and its mean log loss there, best first."""
     rows, kept = tuning_rows(spark, sf)
-    found = md.random_search(rows, kept, TRIALS)
+    found = md.successive_halving(rows, kept, TRIALS, survivors=len(MEMBERS))
     kinds = {int: "bigint", float: "double", str: "string"}
     names = {k: kinds[type(v[0])] for k, v in md.SEARCH_SPACE.items()}
-    form = "place bigint, log_loss double, " + ", ".join(f"{k} {v}" for k, v in names.items())
-    return spark.createDataFrame([(i, loss, *[params[k] for k in names]) for i, (loss, params) in enumerate(found)], form)
+    form = "place bigint, draw bigint, stage bigint, rounds bigint, survived boolean, log_loss double, " + ", ".join(f"{k} {v}" for k, v in names.items())
+    reached = ("draw", "stage", "rounds", "survived", "log_loss")
+    return spark.createDataFrame([(i, *[x[k] for k in reached], *[x["settings"][k] for k in names]) for i, x in enumerate(found)], form)
 
 
 @query("walk_forward_scores")

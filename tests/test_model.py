@@ -67,6 +67,32 @@ def test_tuning(features):
     assert found[0][0] > 0 and set(found[0][1]) == set(md.SEARCH_SPACE)
 
 
+def test_successive_halving(features):
+    rows = md.numeric_inputs(features, COLS)
+    found = md.successive_halving(rows, COLS, trials=4, rounds=(1, 2), survivors=2, folds=2, maxDepth=2, minInstancesPerNode=5)
+    assert [x["survived"] for x in found] == [True, True, False, False]
+    assert [x["rounds"] for x in found] == [2, 2, 1, 1] and {x["draw"] for x in found} == set(range(4))
+    assert found[0]["log_loss"] <= found[1]["log_loss"] and found[2]["log_loss"] <= found[3]["log_loss"]
+    assert all(set(x["settings"]) == set(md.SEARCH_SPACE) for x in found)
+    again = md.successive_halving(rows, COLS, trials=4, rounds=(1, 2), survivors=2, folds=2, parallel=1, maxDepth=2, minInstancesPerNode=5)
+    assert [x["draw"] for x in again] == [x["draw"] for x in found]
+
+
+def test_stored_model_carries_its_columns(features, tmp_path):
+    """Raw rows with gaps, other columns and another order are scored from the reloaded model alone."""
+    gaps = features.withColumn("red_x", F.when(F.col("bout_id") % 7 != 0, F.col("red_x")))
+    ready = md.numeric_inputs(gaps, COLS, ["red_x"])
+    names = md.input_names(COLS, ["red_x"])
+    fitted = md.fit_boosted(ready, names, **FAST)
+    md.save_model(md.with_inputs(fitted, COLS, ["red_x"]), str(tmp_path / "m"))
+    loaded = md.load_model(str(tmp_path / "m"))
+    assert md.kept_inputs(loaded) == names
+    raw = gaps.select("red_z", "blue_x", "bout_id", "red_x")
+    got = {r["bout_id"]: r["p_win"] for r in md.score(loaded, raw).collect()}
+    want = {r["bout_id"]: r["p_win"] for r in md.score(fitted, ready).collect()}
+    assert got == want and len(got) == 400
+
+
 def test_walk_forward_trains_on_the_past_only(features):
     days = [r["d"] for r in features.select("d").distinct().orderBy("d").collect()]
     seen = []

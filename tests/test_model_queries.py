@@ -54,4 +54,5 @@ def test_tuning_queries(spark, sf, fits, monkeypatch):
     assert [r["fold"] for r in losses] == [0, 1, 2, 3, 4] and all(r["log_loss"] > 0 for r in losses)
     (trial,) = models.tuning_trials(spark, sf).collect()
     assert set(md.SEARCH_SPACE) < set(trial.asDict()) and trial["log_loss"] > 0
-    assert all("maxIter" not in p for _, p in fits)
+    assert (trial["stage"], trial["rounds"], trial["survived"]) == (2, 10, True)
+    assert [p.get("maxIter") for _, p in fits] == [None] * 5 + [2] * 5 + [5] * 5 + [10] * 5
