@@ -14,6 +14,7 @@ __all__ = ["stage"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+PIECES = 4096  # a key with more than this part of all rows is split in joins
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +61,24 @@ def same(left: DataFrame, right: DataFrame, left_cols: list[str], right_cols: li
     return cond
 
 
+def split_join(rows: DataFrame, names: DataFrame, keys: list[str], weight: str, spread: Column | None = None) -> DataFrame:
+    """``rows`` joined with ``names`` (one row per ``keys``, not null) where no key is one task's work.
+
+    ``weight`` of ``names`` says how much of ``rows`` a key has. Keys above a share of 1 / PIECES of all are dealt over as
+    many pieces as they have shares, and their names are repeated for each piece; fewer than 2 * PIECES keys can be above
+    it, so the list of their pieces is broadcast. ``spread`` deals rows to pieces; by default their place in the files of
+    ``rows`` does, which must then be a stored table, whose order is the same when a lost task runs again. The weight is
+    dropped.
+    """
+    share = max(1, int(names.agg(F.sum(weight)).first()[0] or 0) // PIECES)
+    heavy = names.where(F.col(weight) > share).select(*keys, F.ceil(F.col(weight) / share).cast("int").alias("_pieces"))
+    piece = F.pmod(F.monotonically_increasing_id() if spread is None else spread, F.coalesce("_pieces", F.lit(1))).cast("int")
+    dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn("_piece", piece).drop("_pieces")
+    shares = F.when(F.col(weight) > share, F.ceil(F.col(weight) / share)).otherwise(1).cast("int")
+    named = names.withColumn("_piece", F.explode(F.sequence(F.lit(0), shares - 1))).drop(weight)
+    return dealt.join(named, [*keys, "_piece"]).drop("_piece")
+
+
 def segment_count(rows: int, per_segment: int = 256, most: int = 65536) -> int:
     """Segments of a line of ``rows`` rows: many small ones, and so few that one task can scan their totals."""
     return max(1, min(most, rows // per_segment))
