@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boutline.llm.shared import shared_folder, stage
+from boutline.llm.shared import shared_folder, split_join, stage
 
 VERSION = b"WARC/1."
 MEMBER = b"\x1f\x8b\x08"
@@ -65,8 +65,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, smallest: int =
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("hash", F.sha1("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long"))
-    heads = rows.groupBy(F.col("hash").alias("_hash"), F.col("size").alias("_size")).agg(F.max("page_id").alias("head"), F.count("*").alias("copies"))
-    rows = rows.join(heads, (F.col("hash") == F.col("_hash")) & (F.col("size") == F.col("_size")))
+    heads = stage(rows.groupBy("hash", "size").agg(F.max("page_id").alias("head"), F.sum(F.col("size") + HEAD // 256).alias("volume")))
+    rows = split_join(rows, heads, ["hash", "size"], "volume", F.xxhash64("page_id", "url"))
     revisit = (F.col("size") >= smallest) & ~F.col("page_id").eqNullSafe(F.col("head"))
     rows = rows.select("page_id", "url", "hash", "size", "head", revisit.alias("revisit"), F.when(~revisit, F.col("payload")).alias("payload"))
     target = folder or shared_folder(pages.sparkSession, "warc")
@@ -131,25 +131,28 @@ def parse(data: bytes) -> dict | None:
 
 def salvage(source, begin: int, end: int, size: int, step: int = 1 << 22) -> Iterator[dict]:
     """Good records that start in ``begin`` to ``end`` of an open file of ``size`` bytes, whatever lies between them."""
-    data, at = source.read_at(min(end - begin + step, size - begin), begin), 0
+    data, base, at = b"", begin, 0  # what is held of the file begins at its byte ``base``
 
     def more() -> bool:
         nonlocal data
-        have = begin + len(data)
+        have = base + len(data)
         if have >= size:
             return False
-        got = source.read_at(min(max(step, len(data)), size - have), have)
+        got = source.read_at(min(max(step, len(data) - at), size - have), have)
         data += got
         return bool(got)
 
-    while begin + at < end:
+    while base + at < end:
+        if at >= step:  # only what lies behind the last good record is held
+            data, base, at = data[at:], base + at, 0
         found = NEXT.search(data, at)
         if found is None:
-            if begin + len(data) >= end + len(VERSION) or not more():
+            at = max(at, len(data) - len(VERSION))
+            if base + len(data) >= end + len(VERSION) or not more():
                 return
             continue
         at = found.start()
-        if begin + at >= end:
+        if base + at >= end:
             return
         got = None
         if data.startswith(MEMBER, at):
@@ -175,7 +178,7 @@ def salvage(source, begin: int, end: int, size: int, step: int = 1 << 22) -> Ite
         if got is None:
             at += 1
             continue
-        yield got | {"offset": begin + at}
+        yield got | {"offset": base + at}
         at += got["length"]
 
 
