@@ -235,13 +235,13 @@ def scores(docs: DataFrame) -> DataFrame:
     rows.mapInArrow(lambda b: _ask(b, targets), ROW).write.partitionBy("kind").parquet(folder)
     schema = "pack long, target int, data binary, extra binary, x long, y long, kind int"
     asked = spark.read.schema(schema).parquet(folder).select(*FORM.names)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(targets, int(spark.conf.get("spark.sql.shuffle.partitions")))  # what a task reads does not grow with the corpus
     answers = stage(asked.where(F.col("kind").isin(WORDS, PAIRS)).repartition(parts, "target").groupBy("target").applyInArrow(_answer, ROW))
     discard(spark, f"{folder}/kind={PAIRS}")  # answered
     sums = {r["target"]: (r["n"], r["v"]) for r in answers.where(F.col("kind") == SUMS).groupBy("target").agg(F.sum("x").alias("n"), F.sum("y").alias("v")).collect()}
     (n_all, v_all), (n_fold, _) = sums.get(0, (0, 0)), sums.get(1, (0, 0))
     back = answers.where("kind <> " + str(SUMS)).unionByName(asked.where(F.col("kind").isin(STREAM, WORDS)))
-    solved = stage(back.groupBy("pack").applyInArrow(_solve(targets, n_all, n_fold), ROW), "kind").select(*FORM.names)
+    solved = stage(back.repartition(parts, "pack").groupBy("pack").applyInArrow(_solve(targets, n_all, n_fold), ROW), "kind").select(*FORM.names)
     discard(spark, folder)
     cells = solved.where(F.col("kind") == GRID_ROW).groupBy("x").agg(F.sum("y").alias("n")).collect()  # buckets x 255 x 255 at most
     grid = [(r["x"] >> 16, (r["x"] >> 8) & 255, r["x"] & 255, r["n"]) for r in cells]
