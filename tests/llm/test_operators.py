@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from boutline.llm import lmscore, mixing, packing, quality, secrets, sharding, simhash, tokenfile, topk, warc
+from boutline.llm import lmscore, mixing, packing, quality, secrets, sharding, shared, simhash, tokenfile, topk, warc
 from boutline.llm.queries import QUERIES
 from boutline.llm.shared import stage, table
 
@@ -314,6 +314,35 @@ def test_warc_awkward_and_damaged(spark):
     assert none.count() == 0 and warc.read_archives(none)[0].count() == 0
 
 
+def test_plain_archive_is_read_forward():
+    records = [warc.record(i, f"u{i}", bytes([65 + i % 26]) * (i * 37), None, False, warc.digest_of(bytes([65 + i % 26]) * (i * 37)), i * 37, "2024-01-01T00:00:00Z") for i in range(60)]
+    broken = records[20].replace(b"sha1:", b"sha1:X")
+    file = b"\0" * 5000 + b"".join([*records[:20], broken, *records[21:]])
+
+    class Source:
+        most = 0
+
+        def read_at(self, n, at):
+            Source.most = max(Source.most, n)
+            return file[at : at + n]
+
+    found = list(warc.salvage(Source(), 0, len(file), len(file), step=256))
+    assert [r["page_id"] for r in found] == [i for i in range(60) if i != 20]
+    assert all(file[r["offset"] : r["offset"] + r["length"]] == records[r["page_id"]] for r in found)
+    assert Source.most < 8192  # the longest record, not the file
+    splits = [r["page_id"] for b in range(0, len(file), 999) for r in warc.salvage(Source(), b, min(b + 999, len(file)), len(file), step=256)]
+    assert splits == [r["page_id"] for r in found]
+
+
+def test_heavy_keys_are_split(spark):
+    rows = spark.range(40_000).select(F.when(F.col("id") < 30_000, 7).otherwise(F.col("id")).alias("k"), "id", F.lit(1).alias("w"))
+    names = rows.groupBy("k").agg(F.count("*").alias("n"), (F.max("id") + 1).alias("name"))
+    split = shared.split_join(rows.drop("w"), names, ["k"], "n")
+    assert sorted(map(tuple, split.select("k", "id", "name").collect())) == sorted((7 if i < 30_000 else i, i, 30_000 if i < 30_000 else i + 1) for i in range(40_000))
+    assert split.columns == ["k", "id", "name"]
+    assert shared.split_join(rows.limit(0).drop("w"), names.limit(0), ["k"], "n").count() == 0
+
+
 # ---- tokens
 
 
