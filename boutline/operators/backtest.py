@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from boutline.functions import betting
 from boutline.operators.scan import ALL_KEYS, NO_SKEW, SEGMENT_ROWS, Skew
+from boutline.operators.summary import numbered
 
 START_BANKROLL = 1000.0
 
@@ -307,3 +308,44 @@ def with_epoch(bouts: DataFrame, training_days: Sequence, name: str = "model_epo
         rows.append((day, current))
     lookup = bouts.sparkSession.createDataFrame(rows, f"d date, {name} date")
     return bouts.join(F.broadcast(lookup), "d")  # one row per calendar day
+
+
+def cards(bouts: DataFrame, day: str = "d") -> DataFrame:
+    """(card, day): every day with bouts is a card; they are numbered from 1. Undated bouts are on no card."""
+    days = bouts.where(F.col(day).isNotNull()).select(day).distinct()
+    days = numbered(days.withColumn("_order", F.unix_date(day)), "_order", "_at")  # at most one row per calendar day
+    return days.select((F.col("_at") + 1).cast("long").alias("card"), day)
+
+
+def card_registry(cards: DataFrame, every: int, day: str = "d") -> DataFrame:
+    """Versions of what is renewed after every ``every`` cards.
+
+    ``version`` 0 is what existed before the first card. Version v knows all bouts through ``through``, the day of card
+    v * every, and holds for cards ``valid_from`` to ``valid_to``, all later than what it knows.
+    """
+    made = cards.where(F.col("card") % every == 0).select((F.col("card") / every).cast("long").alias("version"), F.col(day).alias("through"))
+    first = cards.sparkSession.range(1).select(F.col("id").alias("version"), F.lit(None).cast("date").alias("through"))
+    start = F.col("version") * every
+    return first.unionByName(made).withColumns({"valid_from": start + 1, "valid_to": start + every})
+
+
+def with_card_epochs(bouts: DataFrame, state_every: int = 8, model_every: int = 10, day: str = "d") -> DataFrame:
+    """Adds ``card``, ``model_through`` and ``state_through``: the last days that the model and the entity state know.
+
+    A model is trained after every ``model_every`` cards; the state is refreshed after every ``state_every`` cards and
+    with each model. Both are null until the first renewal. Undated bouts are left out.
+    """
+    known = cards(bouts, day)
+    at = F.col("card") - 1
+    lookup = known.withColumns({"_m": F.floor(at / model_every), "_s": F.floor(at / state_every)})
+    for key, every, name in (("_m", model_every, "model_through"), ("_s", state_every, "_state")):
+        versions = card_registry(known, every, day).select(F.col("version").alias(key), F.col("through").alias(name))
+        lookup = lookup.join(versions, key, "left")
+    lookup = lookup.select(day, "card", "model_through", F.greatest("_state", "model_through").alias("state_through"))
+    return bouts.join(F.broadcast(lookup), day)  # one row per calendar day
+
+
+def card_training_days(bouts: DataFrame, every: int = 10, day: str = "d") -> list:
+    """First days on which each later version holds, as ``walk_forward`` takes them: it trains on all days before."""
+    starts = cards(bouts, day).where((F.col("card") > 1) & ((F.col("card") - 1) % every == 0))
+    return [r[0] for r in starts.select(day).orderBy(day).collect()]  # days of the calendar

@@ -195,6 +195,22 @@ def model_epoch(spark: SparkSession, sf: str) -> DataFrame:
     return bt.with_epoch(b, epochs(b))
 
 
+STATE_CARDS, MODEL_CARDS = 8, 10
+
+
+@query(
+    "card_epochs",
+    views("bouts", f"""cards AS (SELECT d, row_number() OVER (ORDER BY d) AS card FROM (SELECT DISTINCT d FROM bouts WHERE d IS NOT NULL)),
+known AS (SELECT d, card, (card - 1) // {MODEL_CARDS} * {MODEL_CARDS} AS m, greatest((card - 1) // {STATE_CARDS} * {STATE_CARDS}, (card - 1) // {MODEL_CARDS} * {MODEL_CARDS}) AS s FROM cards)
+SELECT b.bout_id, b.d, k.card, m.d AS model_through, s.d AS state_through
+FROM bouts b JOIN known k ON k.d = b.d LEFT JOIN cards m ON m.card = k.m LEFT JOIN cards s ON s.card = k.s"""),
+)
+def card_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    """Card of every bout, and how far the model and the state that score it reach when both are renewed by cards."""
+    b = t.bouts(spark, sf).select("bout_id", "d")
+    return bt.with_card_epochs(b, STATE_CARDS, MODEL_CARDS)
+
+
 _LABELLED = "lab AS (SELECT bout_id, p_ab AS p, CASE WHEN winner = red THEN 1 ELSE 0 END AS y FROM bouts WHERE winner IS NOT NULL)"
 
 

@@ -91,6 +91,25 @@ def test_retraining_days(spark):
     assert got == dict(zip(days, [DAY, DAY, days[2], days[2], days[4], days[4]], strict=True))
 
 
+def test_epochs_by_cards(spark):
+    days = [DAY + dt.timedelta(days=i * i) for i in range(1, 26)]
+    bouts = [(2 * i, d) for i, d in enumerate(days)] + [(2 * i + 1, d) for i, d in enumerate(days)] + [(99, None)]
+    df = spark.createDataFrame(bouts, "bout_id long, d date")
+    model, state, want = None, None, {}
+    for n, d in enumerate(days, 1):  # a card is scored before it is learned from
+        want[d] = (n, model, state)
+        if n % 8 == 0 or n % 10 == 0:
+            state = d
+        if n % 10 == 0:
+            model = d
+    got = [(r["bout_id"], r["d"], (r["card"], r["model_through"], r["state_through"])) for r in bt.with_card_epochs(df).collect()]
+    assert sorted(got) == sorted((b, d, want[d]) for b, d in bouts if d)
+    assert bt.card_training_days(df, 10) == [days[10], days[20]]
+    registry = sorted(map(tuple, bt.card_registry(bt.cards(df), 10).select("version", "through", "valid_from", "valid_to").collect()))
+    assert registry == [(0, None, 1, 10), (1, days[9], 11, 20), (2, days[19], 21, 30)]
+    assert bt.with_card_epochs(df.limit(0)).count() == 0 and bt.card_training_days(df.limit(0)) == []
+
+
 def test_cv_folds(spark):
     df = spark.range(20).withColumnRenamed("id", "bout_id")
     got = sm.cv_folds(df).orderBy("bout_id").collect()
