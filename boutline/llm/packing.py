@@ -106,7 +106,11 @@ def best_two_fit(counts: dict[int, int], most: int) -> list[tuple[list[tuple[int
 
 
 def pack(pieces: DataFrame, most: int = 1024) -> DataFrame:
-    """``pieces`` (doc_id, piece, length, key, ...) with ``sequence_id`` and ``offset``, gapless from 0 in each sequence."""
+    """``pieces`` (doc_id, piece, length, key, ...) with ``sequence_id`` and ``offset``, gapless from 0 in each sequence.
+
+    Pieces have 1 to ``most`` tokens. Equal lengths take their places by doc_id (null ids too), piece and key; repeated
+    rows take a place each; an empty table gives no rows.
+    """
     spark = pieces.sparkSession
     counted = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``most`` rows
     ranges, taken, first = [], dict.fromkeys(counted, 0), 0
@@ -137,6 +141,10 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame, most: int = 1024) -> DataFrame:
-    """One row per piece of ``docs`` with its place; the pieces (numbers only) are stored once in between."""
+    """One row per piece of ``docs`` with its place; the pieces (numbers only) are stored once in between.
+
+    Null and empty texts are one piece, their end id; long ones are cut as ``cut_documents`` says; repeated rows are
+    packed each for itself; an empty table gives no rows. Other columns of ``docs`` are not read.
+    """
     out = pack(stage(cut_documents(docs, most)), most)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -247,6 +247,8 @@ def judge(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """``docs`` with two more columns at the end: the statistics and whether the document is kept.
 
     A document is rejected if it has under 20 words, if over 30 % of them lie in repeated windows, or by the list.
+    Null and empty texts have no words and are rejected; very long ones are read whole. Every row is judged for itself,
+    repeated ones alike; an empty table gives no rows. Names that ``docs`` has get underscores in front in the new columns.
     """
     rules = learn(docs, labels, **how)
     out = with_stats(docs)
@@ -256,6 +258,9 @@ def judge(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that are kept, as they are."""
+    """The rows of ``docs`` that are kept, as they are: all columns, repeated rows as often as they come.
+
+    Null and empty texts go, as ``judge`` says.
+    """
     out = judge(docs, labels, **how)
     return out.where(F.col(out.columns[-1])).select(*docs.columns)

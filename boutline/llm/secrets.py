@@ -96,7 +96,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of its texts replaced by ``mark``, and ``n_chars`` counted anew where there is one."""
+    """``docs`` with every span of its texts replaced by ``mark``, and ``n_chars`` counted anew where there is one.
+
+    Overlapping spans get one mark. Texts without a span, null and empty ones among them, stay as they are; long texts
+    are scanned whole; repeated rows stay; an empty table gives no rows. Columns of any name keep their values.
+    """
     found = scan(docs).where("size(spans) > 0").select("doc_id", "th", "spans").distinct()
     found = found.select(F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("doc_id").isNull().alias("k2"), F.col("th").alias("k3"), "spans")
     named = {"k1": F.coalesce(docs["doc_id"], F.lit(0)), "k2": docs["doc_id"].isNull(), "k3": F.xxhash64(docs["text"])}
