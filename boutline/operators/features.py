@@ -278,6 +278,22 @@ def compare_entities(state: DataFrame, a: Column, b: Column, cols: Sequence[str]
     return pair.agg(*aggs)
 
 
+def prefixed_pairs(
+    matchups: DataFrame, state: DataFrame, sides: Sequence[str] = ("red", "blue"), prefixes: Sequence[str] = ("fighter", "opponent"), least: int = 2
+) -> DataFrame:
+    """Matchups with the whole state of both sides, its columns named ``<prefix>_<column>``; result and date are unknown.
+
+    ``state`` has one row per entity. Matchups with an unknown entity, or one of fewer than ``least`` bouts, give no row.
+    """
+    known = state.where(F.col("bouts") >= least)
+    rest = [c for c in matchups.columns if c not in sides]
+    for side, prefix in zip(sides, prefixes, strict=True):
+        named = known.select(*[F.col(c).alias(f"{prefix}_{c}") for c in known.columns])
+        matchups = matchups.join(named, matchups[side] == named[f"{prefix}_entity"])
+    named = [f"{prefix}_{c}" for prefix in prefixes for c in known.columns]
+    return matchups.select(*rest, *named, F.lit("unknown").alias("result"), F.lit("unknown").alias("date"))
+
+
 def distinct_entities(bouts: DataFrame) -> DataFrame:
     """Entities of either corner; duplicates are combined before the shuffle."""
     return bouts.select(F.explode(F.array("red", "blue")).alias("entity")).distinct()

@@ -303,6 +303,26 @@ def compare_entities(spark: SparkSession, sf: str) -> DataFrame:
     return fx.compare_entities(state, *[F.lit(x) for x in newest], ["bouts", "wins", "last_d", "age"])
 
 
+_PAIR_COLS = ("entity", "bouts", "wins", "losses", "last_d")
+
+
+@query(
+    "prefixed_pairs",
+    views("long", f"""last AS (SELECT max(d) AS day FROM bouts),
+s AS (SELECT l.entity, count(*) AS bouts, CAST(sum(CASE WHEN outcome = 'win' THEN 1 ELSE 0 END) AS BIGINT) AS wins,
+   CAST(sum(CASE WHEN outcome = 'loss' THEN 1 ELSE 0 END) AS BIGINT) AS losses, max(l.d) AS last_d
+   FROM long l, last WHERE l.d < last.day GROUP BY l.entity HAVING count(*) >= 2)
+SELECT b.bout_id, {", ".join(f'{x}.{c} AS {p}_{c}' for x, p in (('f', 'fighter'), ('o', 'opponent')) for c in _PAIR_COLS)}, 'unknown' AS result, 'unknown' AS "date"
+FROM bouts b JOIN last ON b.d = last.day JOIN s f ON f.entity = b.red JOIN s o ON o.entity = b.blue"""),
+)
+def prefixed_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The last day's matchups with the state of both sides before it, one row each."""
+    c = cleaned(spark, sf)
+    day = F.lit(c.agg(F.max("d")).first()[0])
+    state = fx.entity_state(fx.entity_long(c.where(F.col("d") < day)), skew=entity_skew(spark, sf))
+    return fx.prefixed_pairs(c.where(F.col("d") == day).select("bout_id", "red", "blue"), state.select(*_PAIR_COLS))
+
+
 _AGG = ["own_kd", "own_sig", "minutes"]
 
 

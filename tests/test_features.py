@@ -124,3 +124,13 @@ def test_invalid_matchups_and_compare(spark):
     state = spark.createDataFrame([("a", 3), ("b", 5)], "entity string, wins int")
     row = fx.compare_entities(state, F.lit("b"), F.lit("a"), ["wins"]).first()
     assert (row["a_entity"], row["a_wins"], row["b_wins"]) == ("b", 5, 3)
+
+
+def test_prefixed_pairs(spark):
+    state = spark.createDataFrame([(1, 3, 2), (2, 2, None), (3, 1, 1), (None, 9, 9)], "entity long, bouts long, wins long")
+    asked = spark.createDataFrame([(10, 1, 2), (11, 2, 1), (12, 1, 3), (13, 1, 99), (14, None, 1), (15, 1, 1)], "bout_id long, red long, blue long")
+    got = fx.prefixed_pairs(asked, state)
+    assert got.columns == ["bout_id", *[f"{p}_{c}" for p in ("fighter", "opponent") for c in ("entity", "bouts", "wins")], "result", "date"]
+    ends = ("unknown", "unknown")
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == [(10, 1, 3, 2, 2, 2, None, *ends), (11, 2, 2, None, 1, 3, 2, *ends), (15, 1, 3, 2, 1, 3, 2, *ends)]
+    assert fx.prefixed_pairs(asked.limit(0), state).count() == 0
