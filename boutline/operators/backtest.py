@@ -109,7 +109,7 @@ def bankroll_path(
     Stakes are shares of the current bankroll, so the path is a running product. Unless ``skew`` says that
     no bankroll is large, it is taken inside segments of consecutive bouts; growth and extremes of whole
     segments are scanned on their own and joined back, so no task holds a whole bankroll. ``log_growth``
-    is the same path as a sum of logarithms, which cannot overflow on very long runs, ``log_high`` and ``log_low``
+    (``log_before``: up to the bet) is the same path as a sum of logarithms, which cannot overflow on very long runs, ``log_high`` and ``log_low``
     are its extremes; a total loss makes it minus infinity from then on.
     """
     one, zero = F.lit(1.0), F.lit(0.0)
@@ -128,6 +128,7 @@ def bankroll_path(
         F.product(growth).over(upto).alias("_g"),
         F.coalesce(F.product(growth).over(before), one).alias("_g_before"),
         F.sum(log).over(upto).alias("_log"),
+        F.coalesce(F.sum(log).over(before), F.lit(0.0)).alias("_log_before"),
     )
     running = lambda f, c: f(c).over(upto)
     extremes = local.withColumns(
@@ -160,6 +161,7 @@ def bankroll_path(
         (start * F.greatest(one, "_top", F.col("_c") * F.col("_gmax"))).alias("max_bankroll"),
         (start * F.least(one, "_bottom", F.col("_c") * F.col("_gmin"))).alias("min_bankroll"),
         (F.col("_clog") + F.col("_log")).alias("log_growth"),
+        (F.col("_clog") + F.col("_log_before")).alias("log_before"),
         F.greatest(zero, "_ltop", F.col("_clog") + F.col("_lmax")).alias("log_high"),
         F.least(zero, "_lbottom", F.col("_clog") + F.col("_lmin")).alias("log_low"),
     )
@@ -177,6 +179,75 @@ def strategy_summary(path: DataFrame, keys: Sequence[str] = ("strategy",), start
     return out.withColumns({"ruined": ruined, "final_bankroll": F.when(ruined, F.lit(0.0)).otherwise(money(F.col("log_growth")))})
 
 
+def _log_total(path: DataFrame, keys: Sequence[str], terms: dict[str, Column]) -> DataFrame:
+    """Logarithms of sums of exponentials of ``terms`` per key; null where nothing is summed.
+
+    Terms are first added up beside others of their own size (steps of e^64), so neither huge nor tiny bankrolls leave
+    the range of a double, and the few steps of a key are added relative to its largest.
+    """
+    size = 64.0
+    named = F.array(*[F.struct(F.lit(n).alias("_name"), c.alias("_log")) for n, c in terms.items()])
+    logs = path.select(*keys, F.inline(named)).where(F.col("_log") > float("-inf"))
+    steps = logs.groupBy(*keys, "_name", F.floor(F.col("_log") / size).alias("_step")).agg(
+        F.sum(F.exp(F.col("_log") - size * F.floor(F.col("_log") / size))).alias("_part")
+    )
+    top = F.max("_step").over(Window.partitionBy(*keys, "_name"))  # one row per step: a few per key
+    total = steps.withColumn("_top", top).groupBy(*keys).agg(
+        *[
+            F.max(F.when(F.col("_name") == n, size * F.col("_top"))).alias(f"_at_{n}") for n in terms
+        ],
+        *[
+            F.sum(F.when(F.col("_name") == n, F.col("_part") * F.exp(size * (F.col("_step") - F.col("_top"))))).alias(f"_sum_{n}")
+            for n in terms
+        ],
+    )
+    return total.select(*keys, *[(F.col(f"_at_{n}") + F.log(f"_sum_{n}")).alias(n) for n in terms])
+
+
+def bankroll_report(path: DataFrame, keys: Sequence[str] = ("strategy",)) -> DataFrame:
+    """The full bet summary of whole bankrolls of any length: counts, hit rates, gains and losses.
+
+    Money is given as logarithms relative to the start (``log_*``), since a bankroll of many bets leaves the range of a
+    double; null means no such bet. A bet after ruin stakes nothing and is counted only.
+    """
+    placed, draw, favourite = F.col("share").isNotNull(), F.col("winner").isNull(), F.col("pick_odds") < 0
+    won, lost = placed & F.col("correct"), placed & ~F.col("correct") & ~draw
+    before = F.col("log_before")
+    gain, loss = before + F.log("ret"), before + F.log("share")
+    out = path.groupBy(*keys).agg(
+        F.max_by("log_growth", "bout_id").alias("log_growth"),
+        F.max("log_high").alias("log_high"),
+        F.min("log_low").alias("log_low"),
+        F.count("*").alias("predictions"),
+        F.count_if(F.col("correct")).alias("correct_predictions"),
+        F.count_if(won | lost).alias("bets"),
+        F.count_if(won).alias("correct_bets"),
+        F.count_if(placed & favourite).alias("favourites"),
+        F.count_if(won & favourite).alias("favourites_hit"),
+        F.count_if(placed & ~favourite).alias("underdogs"),
+        F.count_if(won & ~favourite).alias("underdogs_hit"),
+    )
+    money = _log_total(
+        path, keys,
+        {
+            "log_favourite_gain": F.when(won & favourite, gain),
+            "log_favourite_loss": F.when(lost & favourite, loss),
+            "log_underdog_gain": F.when(won & ~favourite, gain),
+            "log_underdog_loss": F.when(lost & ~favourite, loss),
+        },
+    )
+    same = [out[k].eqNullSafe(money[k]) for k in keys]
+    joined = out.join(money, same, "left").select(*[out[c] for c in out.columns], *[c for c in money.columns if c not in keys])
+    return joined.withColumns(
+        {
+            "prediction_pct": percent(F.col("correct_predictions"), F.col("predictions")),
+            "bet_pct": percent(F.col("correct_bets"), F.col("bets")),
+            "favourite_pct": percent(F.col("favourites_hit"), F.col("favourites")),
+            "underdog_pct": percent(F.col("underdogs_hit"), F.col("underdogs")),
+        }
+    )
+
+
 def card_path(settled: DataFrame, keys: Sequence[str] = ("strategy",), start: float = START_BANKROLL) -> DataFrame:
     """Bankroll after each day's card when all its stakes use the bankroll at its start."""
     cards = settled.groupBy(*keys, "d").agg(
@@ -295,19 +366,14 @@ def event_days(bouts: DataFrame) -> list:
 
 
 def with_epoch(bouts: DataFrame, training_days: Sequence, name: str = "model_epoch") -> DataFrame:
-    """Newest training day at or before each bout.
+    """Newest training day at or before each bout; undated bouts are left out.
 
-    The as-of lookup runs over the calendar: each day is matched to its training day, then bouts join
-    on equality of the day.
+    The training days are a short list (at most one per calendar day) that is searched in place, so bouts are neither
+    counted nor joined.
     """
-    days = event_days(bouts)
-    rows, current, todo = [], None, list(training_days)
-    for day in days:
-        while todo and todo[0] <= day:
-            current = todo.pop(0)
-        rows.append((day, current))
-    lookup = bouts.sparkSession.createDataFrame(rows, f"d date, {name} date")
-    return bouts.join(F.broadcast(lookup), "d")  # one row per calendar day
+    days = F.array(*[F.lit(day) for day in training_days]).cast("array<date>")
+    newest = F.array_max(F.filter(days, lambda day: day <= F.col("d")))
+    return bouts.where(F.col("d").isNotNull()).withColumn(name, newest)
 
 
 def cards(bouts: DataFrame, day: str = "d") -> DataFrame:

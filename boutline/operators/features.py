@@ -178,10 +178,12 @@ def card_features(
     stats: Sequence[Stat] = BASE_STATS,
     min_bouts: int = MIN_PRIOR_BOUTS,
     compat: bool = False,
+    ratings: DataFrame | None = None,
 ) -> DataFrame:
     """Feature rows for announced matchups (bout_id, red, blue) in both corner orders.
 
-    Unknown entities, entities with too few bouts and those without a date of birth drop out.
+    Unknown entities, entities with too few bouts and those without a date of birth drop out. ``ratings``
+    (entity, elo, opp_elo; one row per entity) adds the ratings as of the same state; unrated entities keep null.
     """
     n = F.col("bouts")
     terms = run.recency_terms(stats)
@@ -209,6 +211,8 @@ def card_features(
             ],
         )
     )
+    if ratings is not None:
+        ready = ready.join(ratings.select("entity", *RATINGS), "entity", "left")
     orders = card.select(
         "bout_id",
         F.inline(
@@ -230,7 +234,7 @@ def card_features(
             )
         }
     )
-    cols = feature_columns(stats)
+    cols = [*feature_columns(stats), *(() if ratings is None else RATINGS)]
     return dated.select(
         "bout_id", "corner_order", "red", "blue",
         *[F.col(f"{s}_{c}") for c in cols for s in ("red", "blue")],

@@ -29,9 +29,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutline.functions.rating import K_REST, K_TIERS, START_RATING, k_factor, rating_change, score_of
+from boutline.operators.asof import validity
 from boutline.operators.components import connected_components
 from boutline.operators.longform import outcome_of
-from boutline.operators.scan import Run, Skew, find_skew, running
+from boutline.operators.scan import NO_SKEW, Run, Skew, find_skew, running
 from boutline.session import checkpoint_root, stage
 
 KEY = ["pool", "entity"]
@@ -259,11 +260,25 @@ def rating_sides(rated: DataFrame) -> DataFrame:
             F.lit(side).alias("side"),
             F.col(side).alias("entity"),
             F.col(f"{side}_pre").alias("own_pre"),
+            (F.col(f"{side}_pre") + _change(side)).alias("own_post"),
             F.col(f"{other}_pre").alias("opp_pre"),
             (F.col(f"{other}_pre") + _change(other)).alias("opp_post"),
         )
 
-    return rated.select("pool", "bout_id", F.inline(F.array(half("red", "blue"), half("blue", "red"))))
+    return rated.select("pool", "bout_id", "d", F.inline(F.array(half("red", "blue"), half("blue", "red"))))
+
+
+def rating_state(rated: DataFrame) -> DataFrame:
+    """One row per (pool, entity) after its last bout: ``elo``, ``opp_elo`` (mean of its opponents' ratings before its bouts)."""
+    return rating_sides(rated).groupBy(*KEY).agg(
+        F.max_by("own_post", "bout_id").alias("elo"), F.avg("opp_pre").alias("opp_elo"), F.count("*").alias("rated_bouts")
+    )
+
+
+def rating_history(rated: DataFrame, skew: Skew = NO_SKEW) -> DataFrame:
+    """The rating of every entity after each of its bouts, and the day (``valid_to``) of the bout that replaces it."""
+    after = rating_sides(rated).select(*KEY, "bout_id", F.col("d").alias("valid_from"), F.col("own_post").alias("elo"))
+    return validity(after, KEY, "valid_from", "bout_id", skew)
 
 
 def mean_opponent_rating(sides: DataFrame, skew: Skew | None = None) -> DataFrame:

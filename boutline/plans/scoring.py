@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutline.operators import backtest as bt
 from boutline.operators import features as fx
 from boutline.operators import ratings as rt
 from boutline.operators import summary as sm
-from boutline.plans.history import cleaned, entity_skew
-from boutline.plans.registry import PRIOR, query, sql_round, views
+from boutline.operators.asof import as_of
+from boutline.plans.history import AS_OF, cleaned, entity_skew
+from boutline.plans.registry import FEATURES, PRIOR, RECENCY, _recency_term, query, sql_round, views
 from boutline.sources import tables as t
 
 FLOOR, CUTOFF = "2024-01-03", "2024-01-20"
@@ -114,6 +115,122 @@ def rated_features(spark: SparkSession, sf: str) -> DataFrame:
     return feats.select("bout_id", *[x for c in fx.RATINGS for x in (f"red_{c}", f"blue_{c}", f"{c}_oppdiff")])
 
 
+def single_pool(spark: SparkSession, sf: str) -> DataFrame:
+    return pooled(spark, sf).withColumn("pool", F.lit("all"))
+
+
+# _CHAINS, with the ratings after every bout
+_AFTER = """posts AS MATERIALIZED (SELECT x.bout_id, x.d, x.red AS entity, r.red_post AS elo, r.blue_pre AS opp_pre FROM bouts x JOIN replay r USING (bout_id)
+   UNION ALL SELECT x.bout_id, x.d, x.blue, r.blue_post, r.red_pre FROM bouts x JOIN replay r USING (bout_id))"""
+
+
+@query(
+    "rating_history",
+    views("hist", f"""{_CHAINS}, {_AFTER}
+SELECT entity, bout_id, d AS valid_from, lead(d) OVER (PARTITION BY entity ORDER BY d, bout_id) AS valid_to, round(elo, 4) AS elo FROM posts""", recursive=True),
+    places=4,
+)
+def rating_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The rating of every entity after each of its bouts and the days between which it is the newest."""
+    out = rt.rating_history(rt.replay(single_pool(spark, sf)), entity_skew(spark, sf))
+    return out.select("entity", "bout_id", "valid_from", "valid_to", "elo")
+
+
+@query(
+    "rating_as_of",
+    views("hist", f"""{_CHAINS}, {_AFTER}
+SELECT l.bout_id, l.entity, round((SELECT arg_max(p.elo, (p.d, p.bout_id)) FROM posts p WHERE p.entity = l.entity AND p.d <= l.d - 7), 4) AS elo,
+   (SELECT max(p.d) FROM posts p WHERE p.entity = l.entity AND p.d <= l.d - 7) AS rated_on
+FROM long l""", recursive=True),
+    places=4,
+)
+def rating_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Both sides of every bout with their ratings as they stood a week before it, for announcements made then."""
+    sides = rt.rating_sides(rt.replay(single_pool(spark, sf)))
+    known = sides.select("entity", "d", "bout_id", F.col("own_post").alias("elo"), F.col("d").alias("rated_on"))
+    asked = sides.select("bout_id", "entity", F.date_sub("d", 7).alias("d"))
+    found = as_of(asked, known, ["entity"], "d", "bout_id", ["elo", "rated_on"], skew=entity_skew(spark, sf))
+    return found.select("bout_id", "entity", "elo", "rated_on")
+
+
+def _state_sql(day: str) -> str:
+    """Entities before ``day`` with everything a card needs: accumulators divided, ratings after their last bout."""
+    s = "(count(*) * (count(*) + 1) * (2 * count(*) + 1) / 6)"
+    terms = ", ".join(f"coalesce(sum({_recency_term(x, k)}), 0) / {s} AS {x}_{k}" for x, k in RECENCY)
+    return f"""state AS MATERIALIZED (SELECT entity, count(*) AS prior_bouts, max(dob) AS dob, year(max(dob)) AS born, max(d) AS last_d,
+   CAST(sum(CASE WHEN outcome = 'win' THEN 1 ELSE 0 END) AS BIGINT) AS wins,
+   CAST(sum(CASE WHEN outcome = 'win' AND is_title THEN 1 ELSE 0 END) AS BIGINT) AS title_wins,
+   avg(CASE WHEN outcome = 'win' THEN 1.0 ELSE 0.0 END) AS win_rate, avg(year(d) - year(dob)) AS mean_age,
+   arg_max(CASE outcome WHEN 'win' THEN win_streak + 1 WHEN 'loss' THEN 0 ELSE win_streak END, bout_id) AS win_streak,
+   arg_max(CASE outcome WHEN 'loss' THEN lose_streak + 1 WHEN 'win' THEN 0 ELSE lose_streak END, bout_id) AS lose_streak,
+   {terms} FROM feats WHERE d < {day} GROUP BY entity),
+elos AS MATERIALIZED (SELECT entity, arg_max(elo, bout_id) AS elo, avg(opp_pre) AS opp_elo FROM posts WHERE d < {day} GROUP BY entity)"""
+
+
+def rating_state(spark: SparkSession, sf: str, before: Column | None = None) -> DataFrame:
+    bouts = single_pool(spark, sf)
+    return rt.rating_state(rt.replay(bouts if before is None else bouts.where(F.col("d") < before))).drop("pool")
+
+
+@query(
+    "rated_state_as_of",
+    views("feats", f"""{_CHAINS}, {_AFTER}, {_state_sql(f"DATE '{AS_OF}'")}
+SELECT s.entity, s.prior_bouts AS bouts, s.wins, s.last_d, s.win_streak, s.lose_streak, round(e.elo, 4) AS elo, round(e.opp_elo, 4) AS opp_elo
+FROM state s JOIN elos e USING (entity)""", recursive=True),
+    places=4,
+)
+def rated_state_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """State and ratings before a cut-off day; only bouts before it are replayed."""
+    day = F.lit(AS_OF).cast("date")
+    long = fx.entity_long(cleaned(spark, sf).where(F.col("d") < day))
+    state = fx.entity_state(long, skew=entity_skew(spark, sf)).join(rating_state(spark, sf, day), "entity")
+    return state.select("entity", "bouts", "wins", "last_d", "win_streak", "lose_streak", "elo", "opp_elo")
+
+
+_CARD = [*FEATURES, *fx.RATINGS]
+
+
+@query(
+    "rated_card_features",
+    views("feats", f"""{_CHAINS}, {_AFTER}, last AS (SELECT max(d) AS day FROM bouts), {_state_sql("(SELECT day FROM last)")},
+ready AS (SELECT s.*, year(last.day) - s.born AS age, datediff('day', s.last_d, last.day) AS layoff_days, e.elo, e.opp_elo
+   FROM state s LEFT JOIN elos e USING (entity), last WHERE s.prior_bouts >= 2 AND s.dob IS NOT NULL),
+card AS (SELECT bout_id, 'ab' AS corner_order, red, blue FROM bouts, last WHERE d = last.day
+   UNION ALL SELECT bout_id, 'ba', blue, red FROM bouts, last WHERE d = last.day)
+SELECT c.bout_id, c.corner_order, c.red, c.blue, {", ".join(f"round(r.{c}, 4) AS red_{c}, round(b.{c}, 4) AS blue_{c}, round(r.{c} - b.{c}, 4) AS {c}_oppdiff" if c not in ("born", "prior_bouts", "title_wins", "win_streak", "lose_streak", "age", "layoff_days") else f"CAST(r.{c} AS BIGINT) AS red_{c}, CAST(b.{c} AS BIGINT) AS blue_{c}, CAST(r.{c} - b.{c} AS BIGINT) AS {c}_oppdiff" for c in _CARD)}
+FROM card c JOIN ready r ON r.entity = c.red JOIN ready b ON b.entity = c.blue""", recursive=True),
+    places=4,
+)
+def rated_card_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The last day's bouts as an announced card: all features and ratings of both sides before that day."""
+    c = cleaned(spark, sf)
+    day = F.lit(c.agg(F.max("d")).first()[0])
+    state = fx.entity_state(fx.entity_long(c.where(F.col("d") < day)), skew=entity_skew(spark, sf))
+    card = c.where(F.col("d") == day).select("bout_id", "red", "blue")
+    return fx.card_features(card, state, t.master(spark, sf), day, ratings=rating_state(spark, sf, day))
+
+
+_COMPARED = ["bouts", "wins", "last_d", "win_streak", "age", "elo", "opp_elo"]
+
+
+@query(
+    "rated_comparison",
+    views("feats", f"""{_CHAINS}, {_AFTER}, pick AS (SELECT red AS a, blue AS b FROM bouts ORDER BY bout_id DESC LIMIT 1),
+{_state_sql("DATE '9999-01-01'")},
+s AS (SELECT state.*, state.prior_bouts AS bouts, year(DATE '2024-06-01') - born AS age, round(elo, 4) AS elo, round(opp_elo, 4) AS opp_elo FROM state JOIN elos USING (entity))
+SELECT {", ".join(f"{x}.{c} AS {p}_{c}" for x, p in (("x", "a"), ("y", "b")) for c in ("entity", *_COMPARED))}
+FROM pick JOIN s x ON x.entity = pick.a JOIN s y ON y.entity = pick.b""", recursive=True),
+    places=4,
+)
+def rated_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """Both sides of the newest bout side by side, with rating, mean rating of their opponents, and age on a given day."""
+    c = cleaned(spark, sf)
+    state = fx.entity_state(fx.entity_long(c), skew=entity_skew(spark, sf)).join(t.master(spark, sf).select("entity", "dob"), "entity", "left")
+    state = state.withColumn("age", F.year(F.lit("2024-06-01").cast("date")) - F.year("dob"))
+    newest = c.agg(F.max_by("red", "bout_id"), F.max_by("blue", "bout_id")).first()
+    return fx.compare_entities(state.join(rating_state(spark, sf), "entity", "left"), *[F.lit(x) for x in newest], _COMPARED)
+
+
 def _period_sql(days: int = 30) -> str:
     """One statement per day: ratings at its start are 1000 plus all earlier changes."""
     parts = [

@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -207,3 +208,33 @@ def test_bankroll_marks(spark):
     df = spark.createDataFrame(list(enumerate(text)), "line_no int, line string")
     got = [(r["kind"], r["bankroll"]) for r in tl.bankroll_marks(df).orderBy("line_no").collect()]
     assert got == [("marked", 1059.32), ("plain", 100.0), ("plain", 1182.49)]
+
+
+def test_whole_bankroll_report_beyond_doubles(spark):
+    """Gains and losses of one bankroll that outgrows a double, and of one that is ruined."""
+    n = 4000
+    rows = [("up", i, 0.5 if i % 4 else -0.1, 0.1, 1 if i % 4 else 2, 1, -150 if i % 2 else 130) for i in range(n)]
+    rows += [("ruin", i, r, s, 1, w, 120) for i, (r, s, w) in enumerate([(0.2, 0.1, 1), (-1.0, 1.0, 2), (0.5, 0.5, 1), (0.0, 0.5, None)])]
+    schema = "strategy string, bout_id bigint, ret double, share double, pick bigint, winner bigint, pick_odds int"
+    settled = spark.createDataFrame(rows, schema).withColumn("correct", F.coalesce(F.col("pick") == F.col("winner"), F.lit(False)))
+    got = {r["strategy"]: r for r in bt.bankroll_report(bt.bankroll_path(settled, segment_rows=300)).collect()}
+
+    def log_sum(terms):
+        top = max(terms)
+        return top + math.log(sum(math.exp(x - top) for x in terms))
+
+    log, want = 0.0, {"log_favourite_gain": [], "log_underdog_gain": [], "log_underdog_loss": []}
+    for _, i, ret, share, pick, winner, odds in rows[:n]:
+        hit, kind = pick == winner, "favourite" if odds < 0 else "underdog"
+        want[f"log_{kind}_{'gain' if hit else 'loss'}"].append(log + math.log(ret if hit else share))
+        log += math.log(1 + ret)
+    assert log > 800  # e^800 is beyond a double
+    assert got["up"]["log_growth"] == pytest.approx(log)
+    for name, terms in want.items():
+        assert got["up"][name] == pytest.approx(log_sum(terms)), name
+    assert got["up"]["log_favourite_loss"] is None
+    ruin = got["ruin"]
+    assert (ruin["bets"], ruin["correct_bets"], ruin["predictions"]) == (3, 2, 4)
+    assert ruin["log_growth"] == float("-inf")
+    assert ruin["log_underdog_gain"] == pytest.approx(math.log(0.2))
+    assert ruin["log_underdog_loss"] == pytest.approx(math.log(1.2))
