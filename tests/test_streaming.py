@@ -4,18 +4,41 @@ import pytest
 from pyspark.sql import functions as F
 from tests.helpers import frame, random_bouts, replay_features, replay_ratings
 
-from boutline.operators import scan
-from boutline.streaming.live import LiveFeatures
+from boutline.operators import features as fx
+from boutline.streaming import keyed
 
-START = dt.datetime(2024, 1, 1)
+START = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
 
 
-def timed(spark, rows):
+def timed(spark, rows, undated=()):
     """Bouts ten minutes apart, with the columns a live stream carries."""
-    ts = F.timestamp_seconds(F.lit(int(START.replace(tzinfo=dt.timezone.utc).timestamp())) + F.col("bout_id") * 600)
+    ts = F.when(~F.col("bout_id").isin(*undated), F.timestamp_seconds(START + F.col("bout_id") * 600))
     return frame(spark, rows).withColumns({"ts": ts, "pool": F.col("method")})
 
 
+def last_bouts(spark, rows):
+    """Bouts far in the future that move the watermark past all others and wait themselves."""
+    end = [(10**6 + i, *r[1:2], "end", "over", *r[4:]) for i, r in enumerate(rows[:2])]
+    return frame(spark, end).withColumns({"ts": F.timestamp_seconds(F.lit(START + 10**8)), "pool": F.lit("none")})
+
+
+class Live:
+    """A folder of input files, each of them a micro-batch, and the folders of both operators."""
+
+    def __init__(self, spark, path, delay):
+        self.spark, self.path, self.delay, self.schema = spark, str(path), delay, None
+
+    def add(self, df):
+        self.schema = df.schema
+        df.coalesce(1).write.mode("append").parquet(f"{self.path}/in")
+
+    def run(self, operator):
+        bouts = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).parquet(f"{self.path}/in")
+        folder = f"{self.path}/{operator.__name__}"
+        keyed.start(operator(bouts.withWatermark("ts", self.delay)), folder, availableNow=True).awaitTermination()
+        return folder
+
+
 def check(got, rows):
     want = replay_features(rows)
     got = got.collect()
@@ -25,43 +48,56 @@ def check(got, rows):
             assert r[name] == (pytest.approx(v) if v is not None else None), (name, r)
 
 
-def write_files(spark, df, path, groups):
-    for n, ids in enumerate(groups):
-        df.where(F.col("bout_id").isin(*ids)).coalesce(1).write.mode("append").parquet(path)
-        del n
-
-
-@pytest.mark.parametrize("segment_rows", [10**6, 12])
-def test_stream_with_disorder_equals_batch(spark, tmp_path, monkeypatch, segment_rows):
-    monkeypatch.setattr(scan, "SEGMENT_ROWS", segment_rows)
+@pytest.fixture(scope="module")
+def season(spark, tmp_path_factory):
+    """Three batches in which bouts are overtaken, a stop, then the end of the season after a restart."""
     rows = random_bouts(60, hot="e0")
     df = timed(spark, rows)
-    src = str(tmp_path / "in")
-    order = [*range(0, 18), 20, 21, *range(18, 20), *range(22, 60)]  # two bouts are overtaken
-    write_files(spark, df, src, [order[:20], order[20:40], order[40:]])
-    live = LiveFeatures(spark, str(tmp_path / "live"), delay_seconds=3600, with_ratings=True)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    live.start(stream, availableNow=True).awaitTermination()
-    before = live.read("features").count()
-    assert 0 < before < 2 * len(rows)  # the last hour waits
-    live.finish(spark.createDataFrame([], df.schema))
-    check(live.read("features"), rows)
+    live = Live(spark, tmp_path_factory.mktemp("season"), "1 hour")
+    order = [*range(0, 18), 20, 21, *range(18, 20), *range(22, 60)]
+    for ids in (order[:20], order[20:40], order[40:]):
+        live.add(df.where(F.col("bout_id").isin(*ids)))
+    waiting = {op: keyed.applied(spark, live.run(op)).count() for op in (keyed.live_features, keyed.live_ratings)}
+    live.add(last_bouts(spark, rows))
+    return rows, waiting, {op: live.run(op) for op in waiting}
+
+
+def test_stream_with_disorder_equals_batch(spark, season):
+    rows, before, folders = season
+    assert 0 < before[keyed.live_features] < 2 * len(rows)  # the last hour waits
+    check(keyed.applied(spark, folders[keyed.live_features]), rows)
+    assert keyed.applied(spark, folders[keyed.live_features], late=True).count() == 0
+
+
+def test_ratings_of_a_stream_equal_batch(spark, season):
+    rows, before, folders = season
+    assert 0 < before[keyed.live_ratings] < len(rows)
     want = replay_ratings(rows)
-    rated = live.read("ratings").collect()
+    rated = keyed.applied(spark, folders[keyed.live_ratings]).collect()
     assert len(rated) == len(rows)
     for r in rated:
         assert (r["red_pre"], r["blue_pre"]) == pytest.approx(want[r["bout_id"]], abs=1e-6)
-    assert live.read("late").count() == 0
 
 
-def test_late_bouts_are_set_aside_and_batches_repeat_safely(spark, tmp_path):
+def test_stored_state_equals_batch_state(spark, season):
+    rows, _, folders = season
+    got = {r["entity"]: r.asDict() for r in keyed.entity_state(spark, folders[keyed.live_features]).collect()}
+    want = {r["entity"]: r.asDict() for r in fx.entity_state(fx.entity_long(frame(spark, rows))).collect()}
+    assert set(got) == set(want)
+    for name, state in want.items():
+        assert set(got[name]) == set(state)
+        for c, v in state.items():
+            assert got[name][c] == (pytest.approx(v) if isinstance(v, float) else v), (name, c)
+
+
+def test_late_and_undated_bouts_are_set_aside(spark, tmp_path):
     rows = random_bouts(30)
-    df = timed(spark, rows).cache()
-    live = LiveFeatures(spark, str(tmp_path / "live"), delay_seconds=600)
-    live.process(df.where("bout_id < 20 and bout_id <> 3"), 0)
-    live.process(df.where("bout_id < 20 and bout_id <> 3"), 0)  # delivered again after a restart
-    live.process(df.where("bout_id >= 20 or bout_id = 3"), 1)
-    live.finish(spark.createDataFrame([], df.schema))
-    live.process(df.where("bout_id < 0"), 2)  # the stream goes on after a flush
-    assert [r["bout_id"] for r in live.read("late").collect()] == [3]
-    check(live.read("features"), [r for r in rows if r[0] != 3])
+    df = timed(spark, rows, undated=[5])
+    live = Live(spark, tmp_path, "10 minutes")
+    live.add(df.where("bout_id < 20 AND bout_id <> 3"))
+    live.add(df.where("bout_id >= 20 OR bout_id = 3"))
+    live.add(last_bouts(spark, rows))
+    folder = live.run(keyed.live_features)
+    late = keyed.applied(spark, folder, late=True).select("bout_id", "side", "prior_bouts").collect()
+    assert sorted(tuple(r) for r in late) == [(i, side, None) for i in (3, 5) for side in ("blue", "red")]
+    check(keyed.applied(spark, folder), [r for r in rows if r[0] not in (3, 5)])
