@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boutline.operators.features import mirrored
+from boutline.operators.features import mirrored, swap_name
 from boutline.operators.summary import CLIP, cv_folds, with_position
 
 DEFAULTS = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 20}
@@ -40,6 +40,11 @@ def input_names(cols: Sequence[str], flags: Sequence[str] = ()) -> list[str]:
     return [*cols, *[f"{c}_missing" for c in flags]]
 
 
+def half_pairs(cols: Sequence[str]) -> list[str]:
+    """Columns of one side without the other side's among ``cols``: a corner-swapped row does not know their values."""
+    return [c for c in cols if swap_name(c) not in cols]
+
+
 def fit_boosted(train: DataFrame, inputs: Sequence[str], seed: int = 42, **params) -> PipelineModel:
     """Gradient-boosted trees; ``validationIndicatorCol`` among the params stops early."""
     gbt = GBTClassifier(featuresCol="inputs", labelCol="label", seed=seed, **{**DEFAULTS, **params})
@@ -170,15 +175,19 @@ def random_search(rows: DataFrame, inputs: Sequence[str], trials: int, seed: int
 def walk_forward(
     features: DataFrame, cols: Sequence[str], epochs: Sequence, fit=None, day: str = "d", **params
 ) -> DataFrame:
-    """Train on everything before each epoch day, score the bouts from that day to the next one."""
-    fit = fit or (lambda train: fit_boosted(train, list(cols), **params))
+    """Train on everything before each epoch day, score the bouts from that day to the next one.
+
+    Half pairs among ``cols`` get flags, so the inputs are ``input_names(cols, half_pairs(cols))``.
+    """
+    flags = half_pairs(cols)
+    fit = fit or (lambda train: fit_boosted(train, input_names(cols, flags), **params))
     out = None
     for i, start in enumerate(epochs):
-        train = training_rows(features.where(F.col(day) < F.lit(start)), cols)
+        train = training_rows(features.where(F.col(day) < F.lit(start)), cols, flags)
         part = features.where(F.col(day) >= F.lit(start))
         if i + 1 < len(epochs):
             part = part.where(F.col(day) < F.lit(epochs[i + 1]))
-        s = score_both_orders(fit(train), part, cols).withColumn("model_epoch", F.lit(start))
+        s = score_both_orders(fit(train), part, cols, flags).withColumn("model_epoch", F.lit(start))
         out = s if out is None else out.unionByName(s)
     return out
 

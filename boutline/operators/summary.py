@@ -6,9 +6,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boutline.operators import scan
 from boutline.operators.scan import ALL_KEYS, Run, running
 
 FLAT = 1e-10  # a variance below this share of the second moment is rounding
@@ -120,8 +121,18 @@ def after_last_peak(trials: DataFrame, order: str, value: str, limit: float = 30
 
 
 def with_position(df: DataFrame, order: str = "bout_id") -> DataFrame:
-    """0-based position over the whole table and its row count; no task sees all rows."""
-    return numbered(df, order).withColumn("total", F.lit(df.count()))
+    """0-based position over the whole table and its row count; no task sees all rows.
+
+    Rows are counted per segment of consecutive ``order``; the line of these counts gives both where a segment begins
+    and how many rows there are, so nothing is counted by a job of its own. Rows without an order come first.
+    """
+    cut = df.withColumn("_seg", F.coalesce(F.floor(F.col(order) / scan.GLOBAL_SEGMENT_ROWS), F.lit(-(2**62)))).repartition("_seg")
+    line = Window.partitionBy(F.lit(0)).orderBy("_seg")  # one row per segment
+    begin = F.coalesce(F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    counts = cut.groupBy("_seg").agg(F.count("*").alias("_n")).select("_seg", begin.alias("_begin"), total.alias("total"))
+    within = F.row_number().over(Window.partitionBy("_seg").orderBy(order)) - 1
+    return cut.join(counts, "_seg").select(*df.columns, (F.col("_begin") + within).alias("position"), "total")
 
 
 def numbered(df: DataFrame, order: str = "bout_id", name: str = "position") -> DataFrame:

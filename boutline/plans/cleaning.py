@@ -27,6 +27,20 @@ def bouts_chronological(spark: SparkSession, sf: str) -> DataFrame:
     return out.orderBy("bout_id")
 
 
+@query(
+    "unpaired_events",
+    """WITH e AS (SELECT event_id, user_id, CAST(floor(event_id / 2) AS BIGINT) AS bout_id FROM events),
+p AS (SELECT bout_id, count(*) FILTER (event_id % 2 = 0) AS reds, count(*) FILTER (event_id % 2 = 1) AS blues,
+   max(user_id) FILTER (event_id % 2 = 0) AS red, max(user_id) FILTER (event_id % 2 = 1) AS blue FROM e GROUP BY bout_id),
+r AS (SELECT bout_id, CASE WHEN reds = 0 OR blues = 0 THEN 'missing corner' WHEN reds > 1 OR blues > 1 THEN 'repeated event'
+   WHEN red IS NULL OR blue IS NULL THEN 'unknown entity' WHEN red = blue THEN 'same entity' END AS reason FROM p)
+SELECT event_id, bout_id, reason FROM e JOIN r USING (bout_id) WHERE reason IS NOT NULL""",
+)
+def unpaired_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events that make no bout, with the reason."""
+    return t.unpaired_events(t.table(spark, sf, "events"))
+
+
 @query("json_props_scan", "SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props_scan(spark: SparkSession, sf: str) -> DataFrame:
     ev = t.table(spark, sf, "events")

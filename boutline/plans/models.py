@@ -32,12 +32,14 @@ def side_columns() -> list[str]:
 
 
 def fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Training rows (mirrored), test rows and the columns that survive the correlation prune."""
+    """Training rows (mirrored), test rows and their inputs: the columns that survive the correlation prune, and flags
+    where the prune kept one side only, whose value a mirrored row does not have."""
     split = sm.time_split(staged_features(spark, sf), F.lit(CUTOFF).cast("date"))
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
     cols = side_columns()
     kept = sm.kept_columns(sm.correlation_pairs(train, cols), cols)
-    return md.training_rows(train, kept), md.numeric_inputs(test, kept), kept
+    flags = md.half_pairs(kept)
+    return md.training_rows(train, kept, flags), md.numeric_inputs(test, kept, flags), md.input_names(kept, flags)
 
 
 @query("gbt_scores")
@@ -97,7 +99,8 @@ def walk_forward_scores(spark: SparkSession, sf: str) -> DataFrame:
     for i, start in enumerate(days[1:], 1):
         known = feats if i + 1 == len(days) else feats.where(F.col("d") < F.lit(days[i + 1]))
         kept = sm.kept_columns(sm.correlation_pairs(feats.where(F.col("d") < F.lit(start)), cols), cols)
-        s = md.walk_forward(known, kept, [start], fit=lambda train, kept=kept: md.fit_early(train, kept))
+        inputs = md.input_names(kept, md.half_pairs(kept))
+        s = md.walk_forward(known, kept, [start], fit=lambda train, inputs=inputs: md.fit_early(train, inputs))
         out = s if out is None else out.unionByName(s)
     return out
 

@@ -71,7 +71,8 @@ def stats_of(columns: Sequence[str]) -> list[tuple[str, Stat]]:
 def typed_bouts(clean: DataFrame) -> tuple[DataFrame, list[Stat]]:
     """Bouts for the feature operators from a cleaned raw table that has been read newest first.
 
-    Order is by date, then from the end of the file to its start.
+    Order is by date, then from the end of the file to its start. Bouts without a readable date come last, so that
+    they shift no streak or rating of the dated ones.
     """
     q = lambda c: F.col(f"`{c}`")
     named = stats_of(clean.columns)
@@ -86,7 +87,7 @@ def typed_bouts(clean: DataFrame) -> tuple[DataFrame, list[Stat]]:
         *[q(f"{c} {raw}").try_cast("double").alias(f"{c.lower()}_{s.name}") for raw, s in named for c in CORNERS],
         "file", "block_start", "line_in_block",
     )
-    order = [F.col("d").asc(), *[F.col(c).desc() for c in ("file", "block_start", "line_in_block")]]
+    order = [F.col("d").asc_nulls_last(), *[F.col(c).desc() for c in ("file", "block_start", "line_in_block")]]
     return numbered(typed, *order).drop("file", "block_start", "line_in_block"), [s for _, s in named]
 
 

@@ -107,6 +107,27 @@ def bouts_from_events(events: DataFrame) -> DataFrame:
     return _bout_columns(paired.where("_reds = 1 AND _blues = 1"))
 
 
+def unpaired_events(events: DataFrame) -> DataFrame:
+    """Events that are in no bout (event_id, bout_id, reason), so that none is lost without a trace.
+
+    Reasons, the first that holds: ``missing corner``, ``repeated event``, ``unknown entity``, ``same entity``.
+    """
+    ev = events.select("event_id", "user_id", F.shiftright("event_id", 1).alias("bout_id"))
+    corner = lambda odd: F.pmod("event_id", F.lit(2)) == odd
+    per = ev.groupBy("bout_id").agg(
+        F.count_if(corner(0)).alias("reds"), F.count_if(corner(1)).alias("blues"),
+        F.max(F.when(corner(0), F.col("user_id"))).alias("red"), F.max(F.when(corner(1), F.col("user_id"))).alias("blue"),
+    )
+    reason = (
+        F.when((F.col("reds") == 0) | (F.col("blues") == 0), F.lit("missing corner"))
+        .when((F.col("reds") > 1) | (F.col("blues") > 1), F.lit("repeated event"))
+        .when(F.col("red").isNull() | F.col("blue").isNull(), F.lit("unknown entity"))
+        .when(F.col("red") == F.col("blue"), F.lit("same entity"))
+    )
+    bad = per.select(F.col("bout_id").alias("_id"), reason.alias("reason")).where(F.col("reason").isNotNull())
+    return ev.join(bad, F.col("bout_id").eqNullSafe(F.col("_id"))).select("event_id", "bout_id", "reason")
+
+
 def paired_stream(events: DataFrame, hours: int = 24) -> DataFrame:
     """Cleaned bouts with ``ts`` and ``pool`` from a stream of events.
 

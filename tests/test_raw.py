@@ -71,3 +71,14 @@ def test_report_has_all_columns(spark, built):
     assert wanted <= set(report.columns)
     assert report.count() > 20
     assert files.columns_without(report.columns, words=["oppdiff"], names=["Result"])[:1] == ["Date"]
+
+
+def test_undated_bouts_come_last(spark, tmp_path):
+    """A date that cannot be read must not move a bout in front of the dated ones."""
+    rows = csv_rows(12)
+    rows[7][HEADER.index("Date")] = "soon"
+    path = tmp_path / "bouts.csv"
+    path.write_text("\n".join(",".join(f'"{v}"' for v in r) for r in [HEADER, *rows]))
+    bouts, _ = raw.typed_bouts(clean.clean_raw(raw.read_newest_first(spark, str(path), HEADER)))
+    days = [r["d"] for r in bouts.orderBy("bout_id").collect()]
+    assert days[-1] is None and days[:-1] == sorted(days[:-1])
