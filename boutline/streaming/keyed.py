@@ -27,7 +27,11 @@ from boutline.operators.longform import long_form, outcome_of
 from boutline.operators.ratings import _group_replay
 from boutline.operators.running import BASE_STATS, Stat
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",  # a batch stores its changes, not all state
+    "spark.sql.streaming.join.stateFormatVersion": "3",  # one store per partition of a join instead of four
+}
 COUNTS = ("bouts", "wins", "losses", "draws", "title_wins", "win_streak", "lose_streak", "year_sum")
 
 
@@ -226,7 +230,8 @@ def live_ratings(bouts: DataFrame, fixed_k: float | None = None) -> DataFrame:
 
 def start(stream: DataFrame, folder: str, **trigger) -> StreamingQuery:
     """Append ``stream`` to Parquet files in ``folder``/rows; a restart with the same folder goes on where it stopped."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    for name, value in SETTINGS.items():
+        stream.sparkSession.conf.set(name, value)
     return (
         stream.writeStream.format("parquet")
         .option("path", f"{folder}/rows")
