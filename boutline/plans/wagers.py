@@ -206,7 +206,7 @@ def _log_sum(value: str, name: str) -> str:
     return f"max({value}) + ln(sum(exp({value} - {name}_top))) AS {name}"
 
 
-_MONEY = {
+_LOG_MONEY = {
     "log_favourite_gain": "CASE WHEN share IS NOT NULL AND correct AND pick_odds < 0 AND ret > 0 THEN log_before + ln(ret) END",
     "log_favourite_loss": "CASE WHEN NOT correct AND winner IS NOT NULL AND pick_odds < 0 AND share > 0 THEN log_before + ln(share) END",
     "log_underdog_gain": "CASE WHEN share IS NOT NULL AND correct AND pick_odds >= 0 AND ret > 0 THEN log_before + ln(ret) END",
@@ -219,15 +219,15 @@ _MONEY = {
     views("clean", f"""{_SETTLED},
 logs AS (SELECT *, sum(ln(1 + ret)) OVER (PARTITION BY strategy ORDER BY bout_id ROWS UNBOUNDED PRECEDING) AS log_growth,
    coalesce(sum(ln(1 + ret)) OVER (PARTITION BY strategy ORDER BY bout_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS log_before FROM settled),
-terms AS (SELECT *, {", ".join(f"{v} AS {n}_v" for n, v in _MONEY.items())} FROM logs),
-tops AS (SELECT *, {", ".join(f"max({n}_v) OVER (PARTITION BY strategy) AS {n}_top" for n in _MONEY)} FROM terms),
+terms AS (SELECT *, {", ".join(f"{v} AS {n}_v" for n, v in _LOG_MONEY.items())} FROM logs),
+tops AS (SELECT *, {", ".join(f"max({n}_v) OVER (PARTITION BY strategy) AS {n}_top" for n in _LOG_MONEY)} FROM terms),
 s AS (SELECT strategy, arg_max(log_growth, bout_id) AS log_growth, greatest(0.0, max(log_growth)) AS log_high, least(0.0, min(log_growth)) AS log_low,
    count(*) AS predictions, count(*) FILTER (correct) AS correct_predictions, count(*) FILTER (share IS NOT NULL AND winner IS NOT NULL) AS bets,
    count(*) FILTER (share IS NOT NULL AND correct) AS correct_bets,
    count(*) FILTER (share IS NOT NULL AND pick_odds < 0) AS favourites, count(*) FILTER (share IS NOT NULL AND pick_odds < 0 AND correct) AS favourites_hit,
    count(*) FILTER (share IS NOT NULL AND pick_odds >= 0) AS underdogs, count(*) FILTER (share IS NOT NULL AND pick_odds >= 0 AND correct) AS underdogs_hit,
-   {", ".join(_log_sum(f"{n}_v", n) for n in _MONEY)} FROM tops GROUP BY strategy)
-SELECT strategy, {sql_round('log_growth log_high log_low ' + ' '.join(_MONEY), 4)},
+   {", ".join(_log_sum(f"{n}_v", n) for n in _LOG_MONEY)} FROM tops GROUP BY strategy)
+SELECT strategy, {sql_round('log_growth log_high log_low ' + ' '.join(_LOG_MONEY), 4)},
    {sql_big('predictions correct_predictions bets correct_bets favourites favourites_hit underdogs underdogs_hit')},
    round(CASE WHEN predictions = 0 THEN 0.0 ELSE CAST(correct_predictions AS DOUBLE) * 100 / predictions END, 4) AS prediction_pct,
    round(CASE WHEN bets = 0 THEN 0.0 ELSE CAST(correct_bets AS DOUBLE) * 100 / bets END, 4) AS bet_pct,
