@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from boutline.operators.features import mirrored, swap_name
 from boutline.operators.summary import CLIP, cv_folds, with_position
+from boutline.session import stage
 
+FIT_ROWS = 20_000
 DEFAULTS = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 20}
 # fixed values: ranges the tuner draws from
 SEARCH_SPACE = {
@@ -45,6 +47,19 @@ def half_pairs(cols: Sequence[str]) -> list[str]:
     return [c for c in cols if swap_name(c) not in cols]
 
 
+def spread(rows: DataFrame, order: str = "bout_id") -> DataFrame:
+    """``rows`` stored and dealt out evenly by ``order``, in its order within a partition.
+
+    A boosted fit runs a job per level of every tree, with two tasks per partition, so it is as slow as the fullest partition and
+    pays for each empty one. Partitions get about ``FIT_ROWS`` rows: as many of them as there are cores, more for large tables.
+    """
+    stored = stage(rows)
+    cores = stored.sparkSession.sparkContext.defaultParallelism
+    count = stored.count()
+    parts = max(1, min(cores, count // FIT_ROWS), count // (FIT_ROWS * 10))
+    return stored.repartition(parts, order).sortWithinPartitions(order)
+
+
 def fit_boosted(train: DataFrame, inputs: Sequence[str], seed: int = 42, **params) -> PipelineModel:
     """Gradient-boosted trees; ``validationIndicatorCol`` among the params stops early."""
     gbt = GBTClassifier(featuresCol="inputs", labelCol="label", seed=seed, **{**DEFAULTS, **params})
@@ -111,7 +126,7 @@ def ensemble_scores(
 
 def cross_validate(rows: DataFrame, inputs: Sequence[str], folds: int = 5, order: str = "bout_id", **params) -> list[float]:
     """Log loss of each expanding-window fold; ``rows`` must not hold mirrored copies."""
-    split = cv_folds(rows, order, folds).cache()
+    split = spread(cv_folds(rows, order, folds), order).cache()
     losses = []
     try:
         for f in range(folds):
@@ -134,7 +149,7 @@ def successive_halving(
     there and whether it ``survived`` to the end; best first. Trials of a stage are independent Spark jobs on the same cached folds.
     """
     rng = random.Random(seed)
-    split = cv_folds(rows, "bout_id", folds).cache()
+    split = spread(cv_folds(rows, "bout_id", folds)).cache()
 
     def loss_of(params: dict, iterations: int) -> float:
         losses = []

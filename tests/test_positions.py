@@ -50,3 +50,11 @@ def test_half_pairs_are_flagged(spark):
     rows = md.training_rows(feats, cols, flags).orderBy("mirrored").select(*md.input_names(cols, flags), "label").collect()
     assert [tuple(r) for r in rows] == [(1, 2, 3, 4, 0, 1), (2, 1, 0, 4, 1, 0)]
     assert md.numeric_inputs(feats, cols, flags).select(F.max("red_b_missing")).first()[0] == 0
+
+
+def test_fits_get_rows_dealt_out_evenly(spark, monkeypatch):
+    monkeypatch.setattr(md, "FIT_ROWS", 100)
+    rows = sm.cv_folds(spark.range(2000).withColumnRenamed("id", "bout_id"))  # all of one segment
+    sizes = [len(p) for p in md.spread(rows).rdd.glom().collect()]
+    assert sum(sizes) == 2000 and len(sizes) >= 2 and max(sizes) < 2 * min(sizes)
+    assert md.spread(rows.limit(0)).count() == 0
