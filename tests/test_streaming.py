@@ -1,7 +1,9 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from tests.helpers import frame, random_bouts, replay_features, replay_ratings
 
 from boutline.operators import features as fx
@@ -101,3 +103,53 @@ def test_late_and_undated_bouts_are_set_aside(spark, tmp_path):
     late = keyed.applied(spark, folder, late=True).select("bout_id", "side", "prior_bouts").collect()
     assert sorted(tuple(r) for r in late) == [(i, side, None) for i in (3, 5) for side in ("blue", "red")]
     check(keyed.applied(spark, folder), [r for r in rows if r[0] not in (3, 5)])
+
+
+class Stored(dict):
+    """Keyed state in memory: a value, or a map."""
+
+    def exists(self):
+        return None in self
+
+    def get(self, key=None):
+        return dict.get(self, key)
+
+    def update(self, value):
+        self[None] = value
+
+    getValue, updateValue, removeKey = dict.get, dict.__setitem__, dict.__delitem__
+
+
+class Handle:
+    def __getattr__(self, name):
+        return lambda *_: Stored()
+
+
+FIELDS = "pool string, bout_id bigint, d date, at bigint, red bigint, blue bigint, red_score double"
+
+
+def test_a_pool_is_stored_and_applied_in_bounded_pieces(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "HELD", 10)
+    monkeypatch.setattr(keyed, "SPAN", 1000)
+    pool = keyed.PoolRatings(StructType.fromDDL(FIELDS), ["bout_id"], None)
+    pool.init(Handle())
+    rows = [(i, dt.date(2024, 1, 1), 37 * i % 100 * 100, i % 7, 7 + i % 5, 1.0) for i in range(100)]
+    for i in range(0, 100, 5):
+        pool.keep(rows[i : i + 5])
+        assert len(pool.held) < 10
+    pool.kept()
+    pieces = list(pool.due(5050))
+    assert len(pieces) > 3 and max(len(p) for p, _ in pieces) < 30 and pieces[-1][1] == 5100
+    given = [r for p, _ in pieces for r in pool._sorted(p)]
+    assert given == sorted((r for r in rows if r[2] <= 5050), key=lambda r: r[2])
+    assert sorted(r for p, _ in pool.due(10**6) for r in p) == sorted(r for r in rows if r[2] > 5050)
+    assert not pool.waiting
+
+
+def test_history_of_an_entity_is_applied_from_plain_rows(spark):
+    fields = "entity string, bout_id bigint, d date, at bigint, is_title boolean, minutes double, outcome string"
+    history = keyed.EntityHistory(StructType.fromDDL(fields), ["bout_id", "prior_bouts", "wins", "layoff_days"], [])
+    history.init(Handle())
+    days = [dt.date(2024, 1, 1), None, dt.date(2024, 1, 5), dt.date(2024, 1, 9)]
+    out = history.apply([(i, d, i, True, None, "win") for i, d in enumerate(days)])
+    assert out["wins"].tolist() == [0, 1, 2, 3] and [None if x is pd.NA else x for x in out["layoff_days"]] == [None, None, None, 4]
