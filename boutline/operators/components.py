@@ -15,6 +15,7 @@ def connected_components(edges: DataFrame, keys: Sequence[str] = (), a: str = "a
 
     In every step a vertex and its present root take the smallest root next to them, and then the root of their root.
     Steps are stored, so a lost executor costs one step; their number grows with the logarithm of the longest path.
+    Tables of vertices are joined by sorting: they grow with the graph, and a broadcast would send them through the driver.
     Vertices must not be null.
     """
     keys = list(keys)
@@ -23,13 +24,13 @@ def connected_components(edges: DataFrame, keys: Sequence[str] = (), a: str = "a
     roots = stage(near.select(*keys, "vertex", F.col("vertex").alias("root")).distinct())
     while True:
         theirs = roots.select(*keys, F.col("vertex").alias("other"), F.col("root").alias("seen"))
-        met = near.join(theirs, [*keys, "other"]).groupBy(*keys, "vertex").agg(F.min("seen").alias("seen"))
-        met = met.join(roots, [*keys, "vertex"])
+        met = near.join(theirs.hint("merge"), [*keys, "other"]).groupBy(*keys, "vertex").agg(F.min("seen").alias("seen"))
+        met = met.join(roots.hint("merge"), [*keys, "vertex"])
         offers = met.select(*keys, F.inline(F.array(F.struct("vertex", F.least("seen", "root").alias("root")), F.struct(F.col("root").alias("vertex"), F.least("seen", "root").alias("root")))))
         hooked = stage(offers.groupBy(*keys, "vertex").agg(F.min("root").alias("root")))
         further = hooked.select(*keys, F.col("vertex").alias("root"), F.col("root").alias("next"))
-        jumped = stage(hooked.join(further, [*keys, "root"]).select(*keys, "vertex", F.col("next").alias("root")))
-        moved = jumped.join(roots.withColumnRenamed("root", "was"), [*keys, "vertex"]).where("root <> was")
+        jumped = stage(hooked.join(further.hint("merge"), [*keys, "root"]).select(*keys, "vertex", F.col("next").alias("root")))
+        moved = jumped.join(roots.withColumnRenamed("root", "was").hint("merge"), [*keys, "vertex"]).where("root <> was")
         if moved.isEmpty():
             return jumped
         roots = jumped

@@ -51,7 +51,7 @@ def with_k(rows: DataFrame, fixed_k: float | None = None, known: DataFrame | Non
     sides = rows.select("*", F.inline(F.array(side("red"), side("blue"))))
     ranked = running(sides, KEY, "bout_id", [Run("_n", "count", F.lit(1), prior=False)], find_skew(sides, KEY))
     if known is not None:
-        ranked = ranked.join(known.select(*KEY, "bouts"), KEY, "left").withColumn("_n", F.col("_n") + F.coalesce("bouts", F.lit(0)))
+        ranked = ranked.join(known.select(*KEY, "bouts").hint("merge"), KEY, "left").withColumn("_n", F.col("_n") + F.coalesce("bouts", F.lit(0)))
     k = k_factor(F.col("_n"))
     return ranked.groupBy(*rows.columns).agg(*[F.max(F.when(F.col("side") == s, k)).alias(f"{s}_k") for s in ("red", "blue")])
 
@@ -82,7 +82,8 @@ def _with_base(part: DataFrame, known: DataFrame | None) -> DataFrame:
         if known is None:
             part = part.withColumns({f"{side}_base": F.lit(START_RATING), f"{side}_seen": F.lit(0).cast("bigint")})
             continue
-        before = known.select("pool", F.col("entity").alias(side), F.col("gain").alias("_g"), F.col("bouts").alias("_b"))
+        # grows with the entities and is joined twice a slice: sorted, so that no copy of it passes the driver
+        before = known.select("pool", F.col("entity").alias(side), F.col("gain").alias("_g"), F.col("bouts").alias("_b")).hint("merge")
         part = part.join(before, ["pool", side], "left").withColumns(
             {f"{side}_base": START_RATING + F.coalesce("_g", F.lit(0.0)), f"{side}_seen": F.coalesce("_b", F.lit(0).cast("bigint"))}
         )
@@ -188,7 +189,7 @@ def _parts(part: DataFrame, frozen: bool, bound: int) -> Iterator[tuple[DataFram
         yield part, None
         return
     roots = connected_components(part, ["pool"], "red", "blue")
-    labelled = stage(part.join(roots.withColumnRenamed("vertex", "red"), ["pool", "red"]))
+    labelled = stage(part.join(roots.withColumnRenamed("vertex", "red").hint("merge"), ["pool", "red"]))
     if labelled.groupBy("pool", "root").count().agg(F.max("count")).first()[0] <= bound:
         groups = max(1, math.ceil(4 * most / bound))  # small components share a group of a quarter of the bound
         yield labelled, F.pmod(F.xxhash64("root"), F.lit(groups).cast("bigint"))

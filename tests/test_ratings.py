@@ -106,3 +106,13 @@ def test_opponent_rating(spark):
             if x[0] < r["bout_id"] and x[5] == r["pool"] and r["entity"] in x[2:4]
         ]
         assert r["opponent_rating"] == (pytest.approx(sum(past) / len(past), abs=1e-6) if past else None)
+
+
+def test_ratings_before_a_slice_are_not_broadcast(spark):
+    known = spark.createDataFrame([("p", "a", 5.0, 2)], "pool string, entity string, gain double, bouts bigint")
+    part = spark.createDataFrame([("p", 1, "a", "b"), ("p", 2, "c", "a")], "pool string, bout_id bigint, red string, blue string")
+    out = rt._with_base(part, known)
+    assert [(r["red_base"], r["blue_base"], r["red_seen"], r["blue_seen"]) for r in out.orderBy("bout_id").collect()] == [
+        (1005.0, 1000.0, 2, 0), (1000.0, 1005.0, 0, 2)
+    ]
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
