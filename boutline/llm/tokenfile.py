@@ -35,6 +35,8 @@ MOST_COUNT = 1 << 22
 GAIN = 32
 EVERY = 4  # after the first steps, order-0 frequencies are renewed once in so many
 SLOTS_BITS = 18  # order-2 contexts
+# confidence after a wrong guess (first row) and a right one, by the confidence before
+NEXT = np.array([[0, 0, 1, 1, 2, 2, 3, 3], [1, 2, 3, 4, 5, 6, 7, 7]], np.int32).ravel()
 LOW32 = np.uint64(0xFFFFFFFF)
 B32 = np.uint64(32)
 
@@ -75,7 +77,7 @@ class Model:
 
     def predict(self) -> None:
         self.slot = ((self.earlier * 0x9E3779B1 + self.before * 0x85EBCA6B) >> 9) & ((1 << SLOTS_BITS) - 1)
-        e1, e2 = self.one[self.before], self.two[self.slot]
+        self.entry1, self.entry2 = e1, e2 = self.one[self.before], self.two[self.slot]
         self.guess1, self.guess2 = (e1 >> 3).astype(np.int64), (e2 >> 3).astype(np.int64)
         self.sure1, self.sure2 = e1 & 7, e2 & 7
         self.kind = ((self.sure2 << 3) | self.sure1) + 64 * (self.guess1 == self.guess2)
@@ -91,34 +93,35 @@ class Model:
         at = start + self.w1 * (self.guess1 < ids) + self.w2 * (self.guess2 < ids)
         return at, end - start + self.w1 * (self.guess1 == ids) + self.w2 * (self.guess2 == ids)
 
-    def find(self, at: np.ndarray) -> np.ndarray:
-        """The ids whose intervals hold the given points."""
-        first = self.guess1 <= self.guess2
-        a, b = np.minimum(self.guess1, self.guess2), np.maximum(self.guess1, self.guess2)
-        wa, wb = np.where(first, self.w1, self.w2), np.where(first, self.w2, self.w1)
-        twice = a == b
-        wa, wb = np.where(twice, wa + wb, wa), np.where(twice, 0, wb)
-        a_end, b_start = self.order0(a + 1) + wa, self.order0(b) + wa
-        b_end = self.order0(b + 1) + wa + wb
-        is_a = (at >= self.order0(a)) & (at < a_end)
-        is_b = (at >= b_start) & (at < b_end) & ~is_a
-        out = np.where(is_a, a, b)
-        rest = np.flatnonzero(~(is_a | is_b))
+    def find(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose intervals hold the given points, and those intervals."""
+        start1, share1 = self.interval(self.guess1)
+        start2, share2 = self.interval(self.guess2)
+        past1, past2 = at >= start1 + share1, at >= start2 + share2  # the guess is smaller than the id
+        is1, is2 = (at >= start1) & ~past1, (at >= start2) & ~past2
+        ids = np.where(is1, self.guess1, self.guess2)
+        start, share = np.where(is1, start1, start2), np.where(is1, share1, share2)
+        rest = np.flatnonzero(~(is1 | is2))
         if len(rest):
-            t = at[rest]
-            t = t - wa[rest] * (t >= a_end[rest]) - wb[rest] * (t >= b_end[rest])
-            point = (((t + 1) * self.all - 1) // self.w0[rest]).astype(np.int32)
-            out[rest] = np.searchsorted(self.below, point, side="right") - 1
-        return out
+            before = self.w1[rest] * past1[rest] + self.w2[rest] * past2[rest]
+            point = ((at[rest] - before + 1) * self.all - 1) // self.w0[rest]
+            order = np.argsort(point)  # points in order are found faster
+            found = np.empty(len(rest), np.int64)
+            found[order] = np.searchsorted(self.below, point[order].astype(np.int32), side="right") - 1
+            w0 = self.w0[rest]
+            low = w0 * self.below[found] // self.all
+            ids[rest], start[rest] = found, low + before
+            share[rest] = w0 * self.below[found + 1] // self.all - low
+        return ids, start, share
 
     def learn(self, ids: np.ndarray) -> None:
         hit1, hit2 = self.guess1 == ids, self.guess2 == ids
-        what = np.where(hit2, 0, np.where(hit1, 1, 2))
+        what = np.where(hit2, 0, 2 - hit1.view(np.int8))
         self.right += np.bincount(self.kind * 3 + what, minlength=384).reshape(128, 3)
-        for table, place, guess, sure, hit in ((self.one, self.before, self.guess1, self.sure1, hit1), (self.two, self.slot, self.guess2, self.sure2, hit2)):
-            keep = hit | (sure > 0)
-            level = np.where(hit, np.minimum(sure + 1, 7), np.where(keep, sure >> 1, 0))
-            table[place] = (np.where(keep, guess, ids) << 3) | level  # of lanes with the same place the last one counts
+        fresh = ids.astype(np.int32) << 3
+        for table, place, entry, sure, hit in ((self.one, self.before, self.entry1, self.sure1, hit1), (self.two, self.slot, self.entry2, self.sure2, hit2)):
+            case = sure + (hit.astype(np.int32) << 3)
+            table[place] = np.where(case > 0, entry & -8, fresh) | NEXT[case]  # of lanes with the same place the last one counts
         self.earlier, self.before = self.before, ids
         self.seen.append(ids)
         self.step += 1
@@ -179,8 +182,7 @@ def decode_ids(n: int, lanes: int, size: int, payload: bytes) -> np.ndarray:
     for step in range(steps):
         model.predict()
         unit = width >> np.uint64(TOTAL_BITS)
-        ids = model.find(np.minimum(ahead // unit, most).view(np.int64))
-        at, share = model.interval(ids)
+        ids, at, share = model.find(np.minimum(ahead // unit, most).view(np.int64))
         passed = unit * at.view(np.uint64)
         ahead -= passed
         low += passed

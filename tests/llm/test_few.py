@@ -65,3 +65,36 @@ def test_texts_are_encoded_in_groups(monkeypatch):
     again.tokenizer = Counted()
     assert [x.tolist() for x in again.encode(texts)] == whole
     assert max(seen) <= 3
+
+
+def test_words_go_to_the_library_many_at_a_time(monkeypatch):
+    monkeypatch.setattr(tokens, "JOINED", 7)
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    odd = ["don't", "l'homme", "naïve", "İstanbul", "İ.", "ŉ", "Ĳssel,", "straße!", "деньги$$$", "Ѐ,Ѡ", "漢字", "x9", "ǅ", "a.b,c", "end###", "é", "é", "a<|endoftext|>b", "A.<|startoftext|>", ""]
+    texts = [" ".join(words), "\n".join(odd), " ".join(o + w for o, w in zip(odd, words)), "  ".join(w + o for o, w in zip(odd, words)), "plain"]
+    plain = tokens.Encoder("word_bpe_49k.json", False)
+    library = [plain.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    coder, seen = tokens.Encoder("word_bpe_49k.json", False), []
+    run = coder.tokenizer.encode_batch_fast
+
+    class Counted:
+        encode_batch = None
+
+        def encode_batch_fast(self, group, **how):
+            seen.extend(group)
+            return run(group, **how)
+
+    coder.tokenizer = Counted()
+    ids, lengths = coder.encode(pa.array(texts))
+    ends = lengths.cumsum()
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, lengths)] == library
+    assert len(seen) < len(words) // 2
+
+
+def test_words_that_do_not_come_out_singly_are_encoded_one_by_one():
+    coder = tokens.Encoder("word_bpe_49k.json", False)
+    texts = pa.array(["some words of letters alone", "and more of them"])
+    whole = [x.tolist() for x in coder.encode(texts)]
+    again = tokens.Encoder("word_bpe_49k.json", False)
+    again.closes[:] = False  # as of a vocabulary that drops what it does not know
+    assert [x.tolist() for x in again.encode(texts)] == whole
