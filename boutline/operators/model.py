@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -18,6 +19,7 @@ from boutline.operators.summary import CLIP, cv_folds, with_position
 from boutline.session import stage
 
 FIT_ROWS = 20_000
+PARALLEL = 3  # independent fits at a time: one computes while another waits for its driver or for the last task of a level
 DEFAULTS = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 20}
 # fixed values: ranges the tuner draws from
 SEARCH_SPACE = {
@@ -60,6 +62,16 @@ def spread(rows: DataFrame, order: str = "bout_id") -> DataFrame:
     return stored.repartition(parts, order).sortWithinPartitions(order)
 
 
+@contextmanager
+def dealt(rows: DataFrame, order: str = "bout_id") -> Iterator[DataFrame]:
+    """``rows`` as ``spread`` deals them out, kept as long as fits read them again."""
+    kept = spread(rows, order).cache()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def fit_boosted(train: DataFrame, inputs: Sequence[str], seed: int = 42, **params) -> PipelineModel:
     """Gradient-boosted trees; ``validationIndicatorCol`` among the params stops early."""
     gbt = GBTClassifier(featuresCol="inputs", labelCol="label", seed=seed, **{**DEFAULTS, **params})
@@ -69,8 +81,13 @@ def fit_boosted(train: DataFrame, inputs: Sequence[str], seed: int = 42, **param
 def fit_early(train: DataFrame, inputs: Sequence[str], seed: int = 42, share: float = 0.1, order: str = "bout_id", **params) -> PipelineModel:
     """As ``fit_boosted``; the newest ``share`` of bouts tells how many rounds help, then all rows are fitted with so many.
 
-    Both corner orders of a bout fall on the same side.
+    Both corner orders of a bout fall on the same side. The rows are made once for all passes and dealt out evenly.
     """
+    with dealt(train, order) as rows:
+        return _fit_early(rows, inputs, seed, share, order, **params)
+
+
+def _fit_early(train: DataFrame, inputs: Sequence[str], seed: int = 42, share: float = 0.1, order: str = "bout_id", **params) -> PipelineModel:
     cut = train.agg(F.percentile_approx(order, 1 - share)).scalar()
     trial = fit_boosted(train.withColumn("_held", F.col(order) > cut), inputs, seed, validationIndicatorCol="_held", **params)
     return fit_boosted(train, inputs, seed, **{**params, "maxIter": trial.stages[-1].getNumTrees})
@@ -109,8 +126,9 @@ def log_loss_of(label: Column, p: Column) -> Column:
 
 
 def fit_ensemble(train: DataFrame, inputs: Sequence[str], param_sets: Sequence[dict], seed: int = 42) -> list[PipelineModel]:
-    """One early-stopped model per setting, each with a seed of its own."""
-    return [fit_early(train, inputs, seed + i, **params) for i, params in enumerate(param_sets)]
+    """One early-stopped model per setting, each with a seed of its own; all read the same stored rows, some at a time."""
+    with dealt(train) as rows, ThreadPool(PARALLEL) as pool:
+        return pool.map(lambda x: _fit_early(rows, inputs, seed + x[0], **x[1]), list(enumerate(param_sets)), 1)
 
 
 def ensemble_scores(
