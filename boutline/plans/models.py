@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,14 +98,17 @@ def walk_forward_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Both corner orders scored by the newest model trained before each bout, on the columns kept from that past."""
     feats = staged_features(spark, sf)
     days = epochs(feats)
-    cols, out = side_columns(), None
-    for i, start in enumerate(days[1:], 1):
+    cols = side_columns()
+
+    def scored(i: int) -> DataFrame:
         known = feats if i + 1 == len(days) else feats.where(F.col("d") < F.lit(days[i + 1]))
-        kept = sm.kept_columns(sm.correlation_pairs(feats.where(F.col("d") < F.lit(start)), cols), cols)
+        kept = sm.kept_columns(sm.correlation_pairs(feats.where(F.col("d") < F.lit(days[i])), cols), cols)
         inputs = md.input_names(kept, md.half_pairs(kept))
-        s = md.walk_forward(known, kept, [start], fit=lambda train, inputs=inputs: md.fit_early(train, inputs))
-        out = s if out is None else out.unionByName(s)
-    return out
+        return md.walk_forward(known, kept, [days[i]], fit=lambda train: md.fit_early(train, inputs))
+
+    with ThreadPool(md.PARALLEL) as pool:  # an epoch's model does not wait for another's; the longest histories first
+        parts = pool.map(scored, range(len(days) - 1, 0, -1), 1)
+    return reduce(DataFrame.unionByName, reversed(parts))
 
 
 @query("walk_forward_backtest")
