@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from boutline.llm.shared import prefix_sums, segment_count, stage
 from boutline.llm.tokens import encode_documents, encoder, slices
 
+PART_BYTES = 4 << 20  # text encoded at once: its pieces and ids take some 25 times as much
+
 
 def cut(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, piece, start, length) of the pieces of documents: all of ``most`` ids but the first, which has the rest."""
@@ -42,7 +44,7 @@ def cut_documents(docs: DataFrame, most: int = 1024, vocabulary: str = "byte_bpe
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary, leading)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 ids, counts = encode_documents(part, coder)
                 doc, piece, start, length = cut(counts, most)
                 at = np.cumsum(length) - length

@@ -1,7 +1,7 @@
 import pyarrow as pa
 import pytest
 
-from boutline.llm import minhash, shared, simhash, tokens
+from boutline.llm import minhash, packing, shared, simhash, tokens
 
 
 @pytest.fixture
@@ -98,3 +98,25 @@ def test_words_that_do_not_come_out_singly_are_encoded_one_by_one():
     again = tokens.Encoder("word_bpe_49k.json", False)
     again.closes[:] = False  # as of a vocabulary that drops what it does not know
     assert [x.tolist() for x in again.encode(texts)] == whole
+
+
+def test_a_batch_leaves_no_unused_memory(monkeypatch):
+    batch = pa.record_batch({"text": pa.array(["x" * 1000] * 10)})
+    freed = []
+
+    class Pool:
+        def release_unused(self):
+            freed.append(len(seen))
+
+    monkeypatch.setattr(tokens.pa, "default_memory_pool", Pool)
+    seen = []
+    for part in tokens.slices(batch, "text", 3000):
+        seen.append(part.num_rows)
+    assert sum(seen) == 10 and len(seen) >= 3
+    assert freed == [len(seen)]
+
+
+def test_packing_encodes_smaller_parts():
+    assert packing.PART_BYTES <= tokens.BATCH_BYTES // 2
+    long = pa.record_batch({"text": pa.array(["x" * (1 << 20)] * 16)})
+    assert all(part.num_rows <= 5 for part in tokens.slices(long, "text", packing.PART_BYTES))
