@@ -22,9 +22,12 @@ from __future__ import annotations
 import math
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +39,7 @@ from boutline.operators.scan import NO_SKEW, Run, Skew, find_skew, running
 from boutline.session import checkpoint_root, stage
 
 KEY = ["pool", "entity"]
-GROUP_BOUTS = 100_000
+GROUP_BOUTS = 500_000  # rows of a group pass in batches; ratings of at most twice as many entities are held
 BOUTS_PER_ENTITY = 0.4  # in a slice of a large pool: below 0.5, components of random pairings stay small
 
 
@@ -98,37 +101,54 @@ def _after(known: DataFrame | None, rated: DataFrame) -> DataFrame:
     return both.groupBy(*KEY).agg(F.sum("gain").alias("gain"), F.sum("bouts").alias("bouts"))
 
 
-def _group_replay(fixed_k: float | None, frozen: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Replay of one bounded group in bout order."""
+def _replay_steps(fixed_k: float | None, frozen: bool) -> Callable[[], Callable[[Sequence[Iterable]], Iterator[tuple]]]:
+    """Each call begins a bounded group, whose bouts come in order, in any number of parts. Only its ratings are held."""
 
-    def k_of(n: int) -> float:
-        if fixed_k is not None:
-            return fixed_k
-        return next((k for bound, k in K_TIERS if n < bound), K_REST)
+    tiers = [next(k for bound, k in K_TIERS if n < bound) for n in range(max(bound for bound, _ in K_TIERS))]  # K by number of bouts
 
-    def steps(rows: pd.DataFrame) -> Iterator[tuple[float, float, float, float]]:
+    def begin() -> Callable[[Sequence[Iterable]], Iterator[tuple]]:
         rating, seen, waiting, day = {}, {}, [], None
-        cols = ("d", "red", "blue", "red_score", "red_base", "blue_base", "red_seen", "blue_seen")
-        for d, red, blue, score, red_base, blue_base, red_seen, blue_seen in zip(*(rows[c] for c in cols), strict=True):
-            if d != day:
-                for entity, change in waiting:
-                    rating[entity] += change
-                waiting, day = [], d
-            own, other = rating.setdefault(red, red_base), rating.setdefault(blue, blue_base)
-            seen[red], seen[blue] = seen.get(red, red_seen) + 1, seen.get(blue, blue_seen) + 1
-            red_k, blue_k = k_of(seen[red]), k_of(seen[blue])
-            surprise = score - 1 / (1 + 10.0 ** ((other - own) / 400))
-            moves = ((red, red_k * surprise), (blue, -blue_k * surprise))
-            if frozen:
-                waiting.extend(moves)
-            else:
-                for entity, change in moves:
-                    rating[entity] += change
-            yield red_k, blue_k, own, other
+
+        def steps(cols: Sequence[Iterable]) -> Iterator[tuple[float, float, float, float]]:
+            """K and ratings before each bout; ``cols`` are those of ``STEP``."""
+            nonlocal waiting, day
+            for d, red, blue, score, red_base, blue_base, red_seen, blue_seen in zip(*cols, strict=True):
+                if frozen and d != day:
+                    for entity, change in waiting:
+                        rating[entity] += change
+                    waiting, day = [], d
+                own, other = rating.setdefault(red, red_base), rating.setdefault(blue, blue_base)
+                if fixed_k is not None:
+                    red_k = blue_k = fixed_k
+                else:
+                    seen[red] = n = seen.get(red, red_seen) + 1
+                    seen[blue] = m = seen.get(blue, blue_seen) + 1
+                    red_k = tiers[n] if n < len(tiers) else K_REST
+                    blue_k = tiers[m] if m < len(tiers) else K_REST
+                surprise = score - 1 / (1 + 10.0 ** ((other - own) / 400))
+                if frozen:
+                    waiting += ((red, red_k * surprise), (blue, -blue_k * surprise))
+                else:
+                    rating[red] += red_k * surprise
+                    rating[blue] -= blue_k * surprise
+                yield red_k, blue_k, own, other
+
+        return steps
+
+    return begin
+
+
+STEP = ("d", "red", "blue", "red_score", "red_base", "blue_base", "red_seen", "blue_seen")
+NEW = ["red_k", "blue_k", "red_pre", "blue_pre"]
+
+
+def _group_replay(fixed_k: float | None, frozen: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Replay of one group that is there as a whole, in bout order."""
+    begin = _replay_steps(fixed_k, frozen)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("bout_id", ignore_index=True)
-        new = pd.DataFrame(steps(rows), columns=["red_k", "blue_k", "red_pre", "blue_pre"])
+        new = pd.DataFrame(begin()([rows[c] for c in STEP]), columns=NEW)
         return pd.concat([rows.drop(columns=["red_seen", "blue_seen"]), new], axis=1)
 
     return run
@@ -144,10 +164,37 @@ def _replay_groups(part: DataFrame, group: Column, fixed_k: float | None, frozen
     rows = _with_base(part.withColumn("group", group), known)
     names = ["pool", "bout_id", "d", "red", "blue", "red_score", "red_base", "blue_base"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*names).schema.fields)
-    schema += ", red_k double, blue_k double, red_pre double, blue_pre double"
+    schema += ", " + ", ".join(f"{c} double" for c in NEW)
     kept = rows.select(*names, "red_seen", "blue_seen", "group")
-    run = _group_replay(fixed_k, frozen)
-    return kept.groupBy("pool", "group").applyInPandas(lambda pdf: run(pdf.drop(columns="group")), schema).select(*RATED)
+    # sorted by the engine and read in batches: a task holds the ratings of a group, not its rows
+    dealt = kept.repartition("pool", "group").sortWithinPartitions("pool", "group", "bout_id")
+
+    begin = _replay_steps(fixed_k, frozen)
+
+    def values(col: pa.Array) -> list:
+        plain = not col.null_count and (pa.types.is_integer(col.type) or pa.types.is_floating(col.type))
+        return col.to_numpy().tolist() if plain else col.to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, steps = None, None
+        for batch in batches:
+            new = np.zeros(max(0, batch.num_rows - 1), bool)
+            for c in ("pool", "group"):  # null is a value
+                new |= np.diff(pc.dictionary_encode(batch.column(c), null_encoding="encode").indices.to_numpy(zero_copy_only=False)) != 0
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                at = (part.column("pool")[0].as_py(), part.column("group")[0].as_py())
+                if steps is None or at != now:
+                    now, steps = at, begin()
+                days = values(part.column("d")) if frozen else [None] * part.num_rows
+                found = zip(*steps([days, *(values(part.column(c)) for c in STEP[1:])]), strict=True)
+                cols = [*(part.column(c) for c in names), *(pa.array(x, pa.float64()) for x in found)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, *NEW])
+
+    return dealt.mapInArrow(run, schema).select(*RATED)
 
 
 def _replay_day(part: DataFrame, fixed_k: float | None, known: DataFrame | None) -> DataFrame:
@@ -180,7 +227,8 @@ def _halves(part: DataFrame) -> list[DataFrame]:
 
 def _parts(part: DataFrame, frozen: bool, bound: int) -> Iterator[tuple[DataFrame, Column | None]]:
     """Slices in order, each with a column that names the groups inside a pool (None: a single day of frozen ratings)."""
-    sizes = part.groupBy("pool").agg(F.count("*").alias("n"), F.count_distinct("place").alias("places"))
+    places = F.count_distinct("place") if frozen else F.count("*")
+    sizes = part.groupBy("pool").agg(F.count("*").alias("n"), places.alias("places"))
     most, places = sizes.agg(F.max("n"), F.max("places")).first()
     if (most or 0) <= bound:
         yield part, F.lit(0).cast("bigint")

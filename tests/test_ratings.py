@@ -116,3 +116,20 @@ def test_ratings_before_a_slice_are_not_broadcast(spark):
         (1005.0, 1000.0, 2, 0), (1000.0, 1005.0, 0, 2)
     ]
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_pass_in_batches(spark):
+    """A group's rows are never one frame: batches of three rows, several groups and pools in a task, frozen days across batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        rows = random_bouts(70, names=25, days=4)
+        for frozen in (False, True):
+            got = rt.replay(pooled(spark, rows), frozen=frozen)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+            check(got, replay_ratings(rows, frozen=frozen))
+            check(rt.replay(pooled(spark, rows), frozen=frozen, group_bouts=9), replay_ratings(rows, frozen=frozen))
+    finally:
+        spark.conf.set(key, before)
