@@ -2,8 +2,10 @@
 
 Every token ends at some byte. The byte ends of both tokenizers go into dictionaries from end to token index; the ends
 that both have, in order, slice both id lists into groups, and all pairs of a group are linked. Prose repeats its words,
-so a text is first cut where both tokenizers always cut (before a single space or line end inside other characters), each
-distinct piece is aligned once per worker, and a text's groups are those of its pieces one after another.
+so a text is first cut where both tokenizers always cut (before a single space or line end inside other characters), a
+worker remembers the pieces it meets most, and a text's groups are those of its pieces one after another. New pieces are
+joined again to lines for the tokenizers. A worker lives on beside the engine after its last text, so what it remembers
+and the text it works on at once are kept small.
 
 How many documents hold a pair is counted over all documents. Frequent pairs are few by arithmetic (fewer than
 ``MOST_FREQUENT`` pairs can each have more than that share of all rows), so they go to every task; the others are joined
@@ -17,7 +19,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,16 @@ from boutline.llm.tokens import slices
 
 SPACE_MARK = "▁"
 MOST_FREQUENT = 50_000
-PIECES_KEPT = 400_000  # distinct pieces, and four times as many links, that a worker remembers before it starts anew
-PIECES_AT_ONCE = 50_000
+PIECES_KEPT = 150_000  # distinct pieces that a worker remembers before it forgets rare ones
+LINKS_KEPT = 5  # times as many links
+PIECES_AT_ONCE = 8192
+JOINED = 256  # pieces given to the tokenizers as one line
+TEXT_AT_ONCE = 1 << 20  # bytes of texts that a worker aligns at once
 LONG_GROUP = 64  # links of a group that are listed one by one
 _BLANK = r"\s\x1c-\x1f\x85"
 _CUT = re.compile(rf"(?<=[^{_BLANK}])(?=[ \n][^{_BLANK}])")
+_TWO = re.compile(rf"[{_BLANK}]{{2}}")
+_PLAIN = re.compile(rf"\n?[^{_BLANK}{SPACE_MARK}]+")  # names of pieces that are cut again where they are joined
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 LINK = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("n", T.LongType())])
@@ -56,6 +63,13 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def pieces_of(text: str) -> list[str]:
+    """Names of the pieces of the space and ``text``: without the space before a word; other pieces keep it."""
+    if text[0] not in " \n" and text[-1] not in " \n" and not _TWO.search(text):
+        return text.replace("\n", " \n").split(" ")
+    return [p[1:] if p[0] == " " and p[1:2].strip() else p for p in _CUT.split(" " + text)]
+
+
 def groups_of(a_ends: list[int], b_ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ends that both lists have, in order, and how many a and b tokens lie up to each; the lists end at the same byte."""
     a_index = dict(zip(a_ends, range(1, len(a_ends) + 1), strict=True))
@@ -69,13 +83,19 @@ def _offsets(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)])
 
 
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of spans one after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 @dataclass
 class Pieces:
     """Alignments of some texts: counts (n_a, n_b, n_groups, n_links; zeros if the bytes differ), spelled groups, and links."""
 
     counts: np.ndarray
     spelled: list[str]
-    pairs: np.ndarray  # a << 32 | b, and how often
+    pairs: np.ndarray  # a << 32 | b
+    times: np.ndarray  # how often each is linked
     start: np.ndarray  # of each text's links, and the end
 
 
@@ -115,31 +135,61 @@ class Aligner:
         self.known: dict[str, int] = {}
         self.spelled: list[str] = []
         self.counts = np.empty((4, 1 << 12), np.int64)
-        self.pairs = np.empty((2, 1 << 14), np.int64)
+        self.met = np.zeros(1 << 12, np.int64)
+        self.pairs = np.empty(1 << 14, np.int64)
+        self.times = np.empty(1 << 14, np.int64)
         self.start = np.zeros(1, np.int64)
 
+    def _forget(self) -> None:
+        """Keeps the pieces that were met again, the most frequent ones up to half of the room; their counts are halved."""
+        known, spelled, counts, met, pairs, times = list(self.known), self.spelled, self.counts, self.met, self.pairs, self.times
+        size, start = np.diff(self.start), self.start
+        often = np.argsort(-met[: len(known)], kind="stable")
+        often = often[met[often] > 1][: PIECES_KEPT // 2]
+        at = np.sort(often[np.cumsum(size[often]) <= LINKS_KEPT * PIECES_KEPT // 2])
+        self._reset()
+        place = _spans(start[at], size[at])
+        kept = Pieces(counts[:, at], [spelled[i] for i in at.tolist()], pairs[place], times[place], _offsets(size[at]))
+        self._remember([known[i] for i in at.tolist()], kept)
+        self.met[: len(at)] = met[at] // 2
+
     def _b_ids(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts that begin with a space (which the model adds by itself) or a line end."""
         coded = self.b.encode([t[1:] if t[:1] == " " else t for t in texts], num_threads=1)
         return [ids if t[:1] == " " else ids[1:] for t, ids in zip(texts, coded, strict=True)]
 
-    def _aligned(self, texts: list[str]) -> Pieces:
-        """Alignments of texts that begin with a space or a line end and are not empty, as one stream of bytes."""
+    def _aligned(self, texts: list[str], joined: int = 1) -> Pieces:
+        """Alignments of texts that begin with a space or a line end and are not empty, as one stream of bytes.
+
+        So many texts are ``joined`` to a line if both tokenizers cut between them. If that does not show, each is a line.
+        """
         run = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
-        raw = [t.encode() for t in texts]
-        a, b = [e.ids for e in run(texts, add_special_tokens=False)], self._b_ids(texts)
+        lines = ["".join(texts[i : i + joined]) for i in range(0, len(texts), joined)]
+        raw = [t.encode() for t in lines]
+        a, b = [e.ids for e in run(lines, add_special_tokens=False)], self._b_ids(lines)
         back = lambda ids, spelled: b"".join(map(spelled.__getitem__, ids))
-        good = np.ones(len(texts), bool)
+        good = np.ones(len(lines), bool)
         for ids, spelled in ((a, self.a_bytes), (b, self.b_bytes)):
-            good &= np.fromiter((back(x, spelled) == r for x, r in zip(ids, raw, strict=True)), bool, len(texts))
+            good &= np.fromiter((back(x, spelled) == r for x, r in zip(ids, raw, strict=True)), bool, len(lines))
         if not good.all():
+            if joined > 1:
+                return self._aligned(texts)
             a, b, raw = ([x for x, g in zip(rows, good.tolist(), strict=True) if g] for rows in (a, b, raw))
         of_a, of_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
         ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, of_a), (b, of_b)))
-        ends, a_to, b_to = groups_of(np.cumsum(self.a_size[ids_a]).tolist(), np.cumsum(self.b_size[ids_b]).tolist())
+        if joined > 1:
+            raw, good = [t.encode() for t in texts], np.ones(len(texts), bool)
+        text_ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        a_ends, b_ends = np.cumsum(self.a_size[ids_a]), np.cumsum(self.b_size[ids_b])
+        if joined > 1:
+            upto = [np.searchsorted(ends, text_ends, "right") for ends in (a_ends, b_ends)]
+            if any((ends[n - 1] != text_ends).any() for ends, n in zip((a_ends, b_ends), upto, strict=True)):
+                return self._aligned(texts)
+            of_a, of_b = (np.diff(n, prepend=0) for n in upto)
+        ends, a_to, b_to = groups_of(a_ends.tolist(), b_ends.tolist())
         a_in, b_in = np.diff(a_to, prepend=0), np.diff(b_to, prepend=0)
         a_from, b_from = a_to - a_in, b_to - b_in
-        owner = np.searchsorted(np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))), ends)
+        owner = np.searchsorted(text_ends, ends)
 
         n_groups = np.bincount(owner, minlength=len(raw))
         n_links = np.bincount(owner, a_in * b_in, minlength=len(raw)).astype(np.int64)  # whole below 2^53
@@ -161,7 +211,7 @@ class Aligner:
         pairs, times, whose = self._links(ids_a, ids_b, a_from, a_in, b_from, b_in, owner)
         sizes = np.zeros(len(texts), np.int64)
         sizes[good] = np.bincount(whose, minlength=len(raw))
-        return Pieces(counts, spelled, np.stack([pairs, times]), _offsets(sizes))
+        return Pieces(counts, spelled, pairs, times, _offsets(sizes))
 
     @staticmethod
     def _links(ids_a, ids_b, a_from, a_in, b_from, b_in, owner) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,43 +234,58 @@ class Aligner:
             pairs, times, whose = pairs[order], times[order], whose[order]
         return pairs, times, whose
 
-    def _learn(self, pieces: list[str]) -> None:
-        new = list({p for p in pieces if p not in self.known})
-        for i in range(0, len(new), PIECES_AT_ONCE):
-            some = new[i : i + PIECES_AT_ONCE]
-            found = self._aligned(some)
-            first, end = len(self.spelled), int(self.start[-1] + found.start[-1])
-            self.known.update(zip(some, range(first, first + len(some)), strict=True))
-            self.spelled += found.spelled
-            while len(self.spelled) > self.counts.shape[1]:
-                self.counts = np.concatenate([self.counts, np.empty_like(self.counts)], axis=1)
-            while end > self.pairs.shape[1]:
-                self.pairs = np.concatenate([self.pairs, np.empty_like(self.pairs)], axis=1)
-            self.counts[:, first : len(self.spelled)] = found.counts
-            self.pairs[:, self.start[-1] : end] = found.pairs
-            self.start = np.concatenate([self.start, self.start[-1] + found.start[1:]])
+    def _remember(self, pieces: list[str], found: Pieces) -> None:
+        first, begin, end = len(self.spelled), int(self.start[-1]), int(self.start[-1] + found.start[-1])
+        self.known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+        self.spelled += found.spelled
+        while len(self.spelled) > len(self.met):
+            self.counts = np.concatenate([self.counts, np.empty_like(self.counts)], axis=1)
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
+        while end > len(self.pairs):
+            self.pairs, self.times = (np.concatenate([x, np.empty_like(x)]) for x in (self.pairs, self.times))
+        self.counts[:, first : len(self.spelled)] = found.counts
+        self.pairs[begin:end], self.times[begin:end] = found.pairs, found.times
+        self.start = np.concatenate([self.start, begin + found.start[1:]])
+
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of the pieces of these names; new ones are aligned first."""
+        place = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        at = np.flatnonzero(place < 0)
+        missed = [pieces[i] for i in at.tolist()]
+        plain: dict[bool, list[str]] = {True: [], False: []}
+        for p in dict.fromkeys(missed):
+            plain[_PLAIN.fullmatch(p) is not None].append(p)
+        for is_plain, new in plain.items():
+            for i in range(0, len(new), PIECES_AT_ONCE):
+                some = new[i : i + PIECES_AT_ONCE]
+                spelled = [p if p[0] in " \n" else " " + p for p in some]
+                self._remember(some, self._aligned(spelled, JOINED if is_plain and self.cuts else 1))
+        place[at] = np.fromiter(map(self.known.__getitem__, missed), np.int64, len(missed))
+        self.met[: len(self.spelled)] += np.bincount(place, minlength=len(self.spelled))
+        return place
 
     def align(self, texts: list[str]) -> Iterator[tuple[tuple[int, int, int, int], str, np.ndarray, np.ndarray]]:
         """Per text: counts, spelled groups, distinct pairs (a << 32 | b) and how often each is linked."""
         none = ((0, 0, 0, 0), "", np.empty(0, np.int64), np.empty(0, np.int64))
-        if max(len(self.known), self.start[-1] // 4) > PIECES_KEPT:
-            self._reset()
-        cut = [(_CUT.split(" " + t) if self.cuts else [" " + t]) if t else [] for t in texts]
-        self._learn([p for c in cut for p in c])
-        for text, pieces in zip(texts, cut, strict=True):
-            at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-            own = self.counts[:, at]
-            if not len(at):
+        if len(self.known) > PIECES_KEPT or self.start[-1] > LINKS_KEPT * PIECES_KEPT:
+            self._forget()
+        cut = [(pieces_of(t) if self.cuts else [" " + t]) if t else [] for t in texts]
+        bounds = _offsets(np.fromiter(map(len, cut), np.int64, len(cut))).tolist()
+        place = self._learn(list(chain.from_iterable(cut)))
+        del cut
+        for text, x, y in zip(texts, bounds, bounds[1:], strict=False):
+            if x == y:
                 yield none
                 continue
+            at = place[x:y]
+            own = self.counts[:, at]
             if (own[0] == 0).any():  # the bytes of a piece differ: compare the whole text
                 whole = self._aligned([" " + text])
-                own, spelled, (pairs, times) = whole.counts, whole.spelled[0], whole.pairs
+                own, spelled, pairs, times = whole.counts, whole.spelled[0], whole.pairs, whole.times
             else:
                 spelled = ";".join(map(self.spelled.__getitem__, at.tolist()))
-                size = self.start[at + 1] - self.start[at]
-                place = np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                pairs, times = self.pairs[0, place], self.pairs[1, place]
+                where = _spans(self.start[at], self.start[at + 1] - self.start[at])
+                pairs, times = self.pairs[where], self.times[where]
             distinct, where = np.unique(pairs, return_inverse=True)
             yield tuple(own.sum(axis=1).tolist()), spelled, distinct, np.bincount(where, times, len(distinct)).astype(np.int64)
 
@@ -263,7 +328,7 @@ def aligned(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = aligner(a_vocabulary, b_vocabulary)
         for batch in batches:
-            for part in slices(batch, column, 4 << 20):
+            for part in slices(batch, column, TEXT_AT_ONCE):
                 rows = list(tool.align(pc.fill_null(part.column(column), "").to_pylist()))
                 yield pa.RecordBatch.from_arrays([*part.columns, _column(rows, spell)], [*part.schema.names, name])
 

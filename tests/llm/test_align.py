@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -113,6 +115,48 @@ def test_small_memory(monkeypatch):
     assert [list(map(str, r)) for r in tool.align(["the cat sat", "the hat"])] == first
 
 
+def invented(r, n):
+    return [" ".join("".join(r.choices("abdeghilmnorstu", k=r.randint(6, 11))) for _ in range(200)) for _ in range(n // 200)]
+
+
+def test_memory_is_small_with_many_rare_words():
+    """A worker keeps what it has after its last text, beside the engine."""
+    tool, texts = align.Aligner("byte_bpe_50k.json", "piece_bpe_32k.model"), invented(random.Random(3), 60_000)
+    tracemalloc.start()
+    try:
+        for i in range(0, len(texts), 300):
+            assert all(row[0][0] for row in tool.align(texts[i : i + 300]))
+        now, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert peak < 70e6, (now, peak)
+
+
+def test_frequent_pieces_are_remembered(monkeypatch):
+    monkeypatch.setattr(align, "PIECES_KEPT", 8)
+    tool, plain = (align.Aligner("byte_bpe_50k.json", "piece_bpe_32k.model") for _ in range(2))
+    r = random.Random(4)
+    for k, text in enumerate(invented(r, 1000)):
+        texts = ["the cat\nthe dog the cat", f"the {text} the cat", "\nthe \t the"]
+        got = [list(map(str, row)) for row in tool.align(texts)]
+        if k:
+            assert list(tool.known)[:2] == ["the", "cat"] and len(tool.known) < 8 + 210
+        plain._reset()
+        assert got == [list(map(str, row)) for row in plain.align(texts)]
+
+
+@pytest.mark.parametrize("plain", [r"(?s).+", r"\n?\S+", "$^"])
+def test_joined_pieces_equal_single_ones(tools, monkeypatch, plain):
+    """Also where the bytes of a line differ, so that each of its pieces becomes a line."""
+    r = random.Random(6)
+    texts = ["".join(r.choice(PARTS) + r.choice(["", " "]) for _ in range(r.randint(1, 14))) for _ in range(300)]
+    texts += ["a ▁b c", "▁", " a", "a\n", "a\nb", "\na"]
+    monkeypatch.setattr(align, "_PLAIN", re.compile(plain))
+    tool = align.Aligner("byte_bpe_50k.json", "piece_bpe_32k.model")
+    for text, (_, spelled, _, _) in zip(texts, tool.align(texts), strict=True):
+        assert spelled == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in plain_groups(tools, text)), text
+
+
 @pytest.mark.parametrize("frequent", [50_000, 3])
 def test_query(spark, sf, tools, monkeypatch, frequent):
     """Also with so few pairs sent to all tasks that most are joined by their ids."""
